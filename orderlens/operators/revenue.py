@@ -18,15 +18,14 @@ def total_revenue(sales: DataFrame) -> DataFrame:
     return sales.agg(money_sum("price").alias("revenue"))
 
 
+def _monthly(sales: DataFrame) -> DataFrame:
+    return sales.where(F.col("month").isNotNull()).groupBy("month").agg(money_sum("price").alias("revenue"))
+
+
 def monthly_revenue(sales: DataFrame) -> DataFrame:
     """Revenue per month number present in the data (A2).  Missing months are dropped as
     pandas drops a missing group key (S2)."""
-    return (
-        sales.where(F.col("month").isNotNull())
-        .groupBy("month")
-        .agg(money_sum("price").alias("revenue"))
-        .orderBy("month")
-    )
+    return _monthly(sales).orderBy("month")
 
 
 def revenue_year_month(sales: DataFrame) -> DataFrame:
@@ -46,14 +45,17 @@ def monthly_growth(sales: DataFrame) -> DataFrame:
     The window runs over the monthly aggregate: at most twelve rows, so its single
     partition is bounded whatever the input size.
     """
+    return _growth(sales).orderBy("month")
+
+
+def _growth(sales: DataFrame) -> DataFrame:
     w = Window.orderBy("month")
-    monthly = monthly_revenue(sales)
-    return monthly.withColumn("growth", growth(F.col("revenue"), F.lag("revenue").over(w))).orderBy("month")
+    return _monthly(sales).withColumn("growth", growth(F.col("revenue"), F.lag("revenue").over(w)))
 
 
 def avg_monthly_growth(sales: DataFrame) -> DataFrame:
     """Mean of the month-over-month growths; NULLs are skipped."""
-    return monthly_growth(sales).agg(F.avg("growth").alias("avg_monthly_growth"))
+    return _growth(sales).agg(F.avg("growth").alias("avg_monthly_growth"))
 
 
 def aov(sales: DataFrame) -> DataFrame:
