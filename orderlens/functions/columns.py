@@ -24,7 +24,7 @@ MILLION = 1_000_000
 THOUSAND = 1_000
 # ---------------------------------------------------------------------------
 
-MONEY_TYPE = "decimal(18,2)"
+MONEY_SCALE = 2  # money is exact to 10**-MONEY_SCALE (cents)
 MICROS_PER_DAY = 86_400_000_000
 
 
@@ -32,19 +32,30 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money(c: str | Column, money_type: str = MONEY_TYPE) -> Column:
-    """A price as exact decimal, so sums do not depend on partition order (section 1.4)."""
-    return _col(c).cast(money_type)
+def money_units(c: str | Column, scale: int = MONEY_SCALE) -> Column:
+    """A price as an exact integer count of cents (section 1.4).
+
+    Sums of these longs are exact and do not depend on partition order.  For prices with at
+    most ``scale`` decimals ``rint(x * 10**scale)`` equals ``cast(x as decimal(18, scale))``
+    scaled, and costs a multiply instead of the decimal cast's string round trip.
+    """
+    return F.rint(_col(c).cast("double") * F.lit(float(10**scale))).cast("long")
+
+
+def units_to_money(units: str | Column, scale: int = MONEY_SCALE) -> Column:
+    """Exact integer units back to the public ``double`` money type, correctly rounded."""
+    exact = _col(units).cast("decimal(38,0)") / F.lit(10**scale).cast("decimal(38,0)")
+    return exact.cast("double")
 
 
-def money_sum_exact(c: str | Column, money_type: str = MONEY_TYPE) -> Column:
-    """Exact decimal sum; no rows or only missing prices give 0."""
-    return F.coalesce(F.sum(money(c, money_type)), F.lit(0).cast(money_type))
+def units_sum(units: str | Column) -> Column:
+    """Exact sum of money units; no rows or only missing prices give 0."""
+    return F.coalesce(F.sum(_col(units)), F.lit(0).cast("long"))
 
 
-def money_sum(c: str | Column, money_type: str = MONEY_TYPE) -> Column:
-    """Exact sum returned as double, the public money type."""
-    return money_sum_exact(c, money_type).cast("double")
+def money_sum(c: str | Column, scale: int = MONEY_SCALE) -> Column:
+    """Exact sum of a double price column, returned as double."""
+    return units_to_money(units_sum(money_units(c, scale)), scale)
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

@@ -14,14 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import money_sum_exact
+from ..functions.columns import units_sum, units_to_money
+from .sales import price_units
 
 
 def _revenue_by_key(sales: DataFrame, key: str) -> DataFrame:
     return (
         sales.where(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(money_sum_exact("price").alias("key_revenue"))
+        .agg(units_sum(price_units(sales)).alias("key_revenue"))
     )
 
 
@@ -35,7 +36,7 @@ def revenue_by_category(sales: DataFrame, products: DataFrame) -> DataFrame:
     return (
         per_product.join(cats, "product_id")
         .groupBy("product_category_name")
-        .agg(F.sum("key_revenue").cast("double").alias("revenue"))
+        .agg(units_to_money(F.sum("key_revenue")).alias("revenue"))
         .orderBy(F.desc("revenue"), F.asc("product_category_name"))
     )
 
@@ -78,7 +79,7 @@ def revenue_by_state(sales: DataFrame, orders: DataFrame, customers: DataFrame)
     return (
         per_customer.join(states, "customer_id")
         .groupBy("customer_state")
-        .agg(F.sum("key_revenue").cast("double").alias("price"))
+        .agg(units_to_money(F.sum("key_revenue")).alias("price"))
         .orderBy(F.desc("price"), F.asc("customer_state"))
     )
 

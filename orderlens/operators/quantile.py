@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import money_units, units_to_money
 from ..session import ensure_checkpoint_dir
 
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
@@ -99,12 +100,12 @@ def _numeric_columns(df: DataFrame) -> list[tuple[str, str]]:
 
 def _exact_mean(column: str, dtype: str, money_columns) -> F.Column:
     """Mean from an exact sum where the type allows it, so it does not depend on the order in
-    which partitions are added: integers as decimal(38,0), money as decimal(18,2)."""
+    which partitions are added: integers as decimal(38,0), money as integer cents."""
     c = F.col(column)
     if dtype in ("tinyint", "smallint", "int", "bigint"):
         total = F.sum(c.cast("decimal(38,0)")).cast("double")
     elif column in money_columns:
-        total = F.sum(c.cast("decimal(18,2)")).cast("double")
+        total = units_to_money(F.sum(money_units(c)))
     else:
         total = F.sum(c.cast("double"))
     return F.try_divide(total, F.count(c).cast("double"))

@@ -10,16 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import growth, money, money_sum, money_sum_exact, safe_ratio
+from ..functions.columns import growth, safe_ratio, units_sum, units_to_money
+from .sales import price_units
 
 
 def total_revenue(sales: DataFrame) -> DataFrame:
     """Sum of prices; no rows give 0.0."""
-    return sales.agg(money_sum("price").alias("revenue"))
+    return sales.agg(units_to_money(units_sum(price_units(sales))).alias("revenue"))
 
 
 def _monthly(sales: DataFrame) -> DataFrame:
-    return sales.where(F.col("month").isNotNull()).groupBy("month").agg(money_sum("price").alias("revenue"))
+    revenue = units_to_money(units_sum(price_units(sales))).alias("revenue")
+    return sales.where(F.col("month").isNotNull()).groupBy("month").agg(revenue)
 
 
 def monthly_revenue(sales: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def revenue_year_month(sales: DataFrame) -> DataFrame:
     return (
         sales.where(F.col("year").isNotNull() & F.col("month").isNotNull())
         .groupBy("year", "month")
-        .agg(money_sum("price").alias("revenue"))
+        .agg(units_to_money(units_sum(price_units(sales))).alias("revenue"))
         .orderBy("year", "month")
     )
 
@@ -66,7 +68,7 @@ def aov(sales: DataFrame) -> DataFrame:
     aggregation keyed by ``order_id`` -- the same shuffle that gives the order count.
     """
     keyed = F.col("order_id").isNotNull()
-    total = F.coalesce(F.sum(F.when(keyed, money("price"))), F.lit(0)).cast("double")
+    total = units_to_money(units_sum(F.when(keyed, price_units(sales))))
     return sales.agg(safe_ratio(total, F.count_distinct("order_id")).alias("aov"))
 
 
@@ -76,7 +78,7 @@ def order_count(sales: DataFrame) -> DataFrame:
 
 
 def per_order_totals(sales: DataFrame, *keys: str) -> DataFrame:
-    """``keys..., order_id, order_revenue`` -- one row per order (and key), exact decimal.
+    """``keys..., order_id, order_revenue`` -- one row per order (and key), exact units.
 
     On an order-grain fact this aggregation reuses the ``order_id`` partitioning of the
     join below it and adds no exchange.
@@ -84,7 +86,7 @@ def per_order_totals(sales: DataFrame, *keys: str) -> DataFrame:
     return (
         sales.where(F.col("order_id").isNotNull())
         .groupBy(*keys, "order_id")
-        .agg(money_sum_exact("price").alias("order_revenue"))
+        .agg(units_sum(price_units(sales)).alias("order_revenue"))
     )
 
 
@@ -102,8 +104,8 @@ def period_comparison(sales: DataFrame, current, previous) -> DataFrame:
     cur = F.col("is_current")
     rev = F.col("order_revenue")
     agg = per_order.agg(
-        F.coalesce(F.sum(F.when(cur, rev)), F.lit(0)).cast("double").alias("revenue"),
-        F.coalesce(F.sum(F.when(~cur, rev)), F.lit(0)).cast("double").alias("prev_revenue"),
+        units_to_money(units_sum(F.when(cur, rev))).alias("revenue"),
+        units_to_money(units_sum(F.when(~cur, rev))).alias("prev_revenue"),
         F.count(F.when(cur, F.lit(1))).alias("order_count"),
         F.count(F.when(~cur, F.lit(1))).alias("prev_order_count"),
     )

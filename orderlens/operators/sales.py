@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import DELIVERED_STATUS, MONEY_TYPE, money_sum_exact
+from ..functions.columns import DELIVERED_STATUS, MONEY_SCALE, money_units, units_sum, units_to_money
 
 PURCHASE_TS = "order_purchase_timestamp"
 DELIVERED_TS = "order_delivered_customer_date"
@@ -37,6 +37,12 @@ SALES_COLUMNS = (
 )
 
 
+def price_units(sales: DataFrame) -> Column:
+    """Exact money units of a sales frame's ``price``: the stored ``price_units`` of the
+    order grain, or the line price converted."""
+    return F.col("price_units") if "price_units" in sales.columns else money_units("price")
+
+
 def parse_timestamps(df: DataFrame, columns=(PURCHASE_TS, DELIVERED_TS), lenient: bool = False) -> DataFrame:
     """Text timestamps -> ``timestamp_ntz`` (O7).  Typed columns pass through unchanged.
 
@@ -81,22 +87,30 @@ def build_order_sales(
     order_items: DataFrame,
     orders: DataFrame,
     status: str | None = DELIVERED_STATUS,
-    money_type: str = MONEY_TYPE,
+    scale: int = MONEY_SCALE,
 ) -> DataFrame:
-    """Delivered sales at order grain: ``order_id, price (order total, exact decimal),
-    n_items, order_status, timestamps, month, year``.
+    """Delivered sales at order grain: ``order_id, price (order total), price_units (the same
+    total as exact integer cents), n_items, order_status, timestamps, month, year``.
 
     Equal to ``build_sales_data`` grouped by the orders row: an orders row with at least one
     line item becomes one row.  Duplicate orders rows stay separate rows, exactly as they
     multiply in the line-item join.
     """
     totals = order_items.groupBy("order_id").agg(
-        money_sum_exact("price", money_type).alias("price"),
+        units_sum(money_units("price", scale)).alias("price_units"),
         F.count(F.lit(1)).alias("n_items"),
     )
     joined = totals.join(_orders_meta(orders, status), "order_id")
     return _with_period_columns(joined).select(
-        "order_id", "price", "n_items", "order_status", PURCHASE_TS, DELIVERED_TS, "month", "year"
+        "order_id",
+        units_to_money("price_units", scale).alias("price"),
+        "price_units",
+        "n_items",
+        "order_status",
+        PURCHASE_TS,
+        DELIVERED_TS,
+        "month",
+        "year",
     )
 
 

@@ -22,6 +22,7 @@ from ..functions.columns import (
     round_half_even,
     safe_ratio,
     score_label,
+    units_to_money,
     trend_columns,
 )
 from ..operators.experience import (
@@ -32,7 +33,7 @@ from ..operators.experience import (
 )
 from ..operators.product import revenue_by_category, revenue_by_state, top_n
 from ..operators.revenue import avg_monthly_growth, monthly_growth, per_order_totals, period_comparison
-from ..operators.sales import filter_by_period, period_predicate
+from ..operators.sales import filter_by_period, period_predicate, price_units
 from .model import SalesModel
 
 
@@ -133,8 +134,8 @@ def monthly_trend(model: SalesModel, year: int) -> DataFrame:
     sales = model.order_sales.where(period_predicate(year) | period_predicate(cmp_year))
     cur = F.col("year") == year
     by_month = sales.groupBy("month").agg(
-        F.sum(F.when(cur, F.col("price"))).alias("cur"),
-        F.sum(F.when(~cur, F.col("price"))).alias("prev"),
+        F.sum(F.when(cur, price_units(sales))).alias("cur"),
+        F.sum(F.when(~cur, price_units(sales))).alias("prev"),
     )
     spark = model.orders.sparkSession
     grid = spark.range(1, 13).select(F.col("id").cast("int").alias("month"))
@@ -143,8 +144,8 @@ def monthly_trend(model: SalesModel, year: int) -> DataFrame:
         .select(
             "month",
             month_name("month", short=True).alias("month_name"),
-            F.coalesce(F.col("cur"), F.lit(0)).cast("double").alias("revenue"),
-            F.coalesce(F.col("prev"), F.lit(0)).cast("double").alias("prev_revenue"),
+            units_to_money(F.coalesce(F.col("cur"), F.lit(0))).alias("revenue"),
+            units_to_money(F.coalesce(F.col("prev"), F.lit(0))).alias("prev_revenue"),
         )
         .orderBy("month")
     )
@@ -216,9 +217,9 @@ def period_cube(model: SalesModel) -> DataFrame:
     cells = by_month.unionByName(by_year).select(
         "year",
         "month",
-        F.col("rev").cast("double").alias("revenue"),
+        units_to_money("rev").alias("revenue"),
         "order_count",
-        safe_ratio(F.col("rev"), F.col("order_count")).alias("aov"),
+        safe_ratio(units_to_money("rev"), F.col("order_count")).alias("aov"),
     )
     prev = cells.select(
         (F.col("year") + 1).alias("p_year"),

@@ -25,8 +25,17 @@ REVIEW_LINES = 2  # reviews come from line numbers 1 and 2
 # ---------------------------------------------------------------------------
 
 
+# Read handles per (application, file): like a catalog table, a source DataFrame is
+# resolved once (file listing, footer schema) and reused by every query of the session.
+_HANDLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _HANDLES:
+        _HANDLES[key] = spark.read.parquet(path)
+    return _HANDLES[key]
 
 
 def fixture_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
