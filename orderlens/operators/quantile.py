@@ -3,17 +3,17 @@
 Spark's exact ``percentile`` keeps a map of every distinct value of a group in one buffer,
 and for a global quantile that buffer is merged in one task -- unbounded at scale.
 ``percentile_approx`` is bounded but not exact.  ``exact_quantiles`` computes pandas' linear
-interpolation exactly with work spread over the cluster:
-
-1. count rows per distinct value (partial aggregation: a value holding a third of all rows
-   becomes one row before the shuffle);
-2. range-partition the distinct values and take running counts inside each partition
-   (every partition holds a contiguous, balanced slice of the value domain);
-3. checkpoint that frame so partition ids are fixed, then turn per-partition totals (one row
-   per partition) into offsets;
+interpolation exactly with the work spread over the cluster, for several columns at once:
+
+1. unpivot the columns to ``(column, x)`` and count rows per distinct value (partial
+   aggregation: a value holding a third of all rows becomes one row before the shuffle);
+2. range-partition the distinct values and take running counts inside each partition and
+   column (every partition holds a contiguous, balanced slice of the value domain);
+3. store that frame in the checkpoint folder so partition ids stay fixed, then turn per-partition totals (one row
+   per partition and column) into offsets;
 4. keep only the values whose rank interval covers a wanted rank and interpolate.
 
-Only the per-partition totals (bounded by the partition count) are broadcast.
+Only the per-partition totals (bounded by partitions x columns) are broadcast.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import money_units, units_to_money
-from ..session import ensure_checkpoint_dir
+from ..session import checkpoint_table
 
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
 
@@ -34,61 +34,68 @@ def _quantile_name(p: float) -> str:
 
 
 def exact_quantiles(
-    df: DataFrame, column: str, probs=DESCRIBE_PROBS, partitions: int | None = None
+    df: DataFrame, columns: list[str], probs=DESCRIBE_PROBS, partitions: int | None = None
 ) -> DataFrame:
-    """One row with ``n`` and one column per probability (``p25``, ``p50``, ...), linear
-    interpolation between closest ranks; missing values are ignored; no rows -> NULLs."""
+    """One row per column: ``column, n, p25, p50, ...`` -- linear interpolation between the
+    closest ranks (pandas / numpy default); missing values are ignored.  A column without
+    values gets no row."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     if partitions is None:
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = F.col("x")
+    long_form = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [], list(columns), "column", "x"
+    )
     counts = (
-        df.select(F.col(column).cast("double").alias("x"))
-        .where(x.isNotNull() & ~F.isnan(x))
-        .groupBy("x")
+        long_form.where(x.isNotNull() & ~F.isnan(x))
+        .groupBy("column", "x")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    in_part = Window.partitionBy("pid").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranged = (
-        counts.repartitionByRange(partitions, "x")
+    in_part = (
+        Window.partitionBy("pid", "column").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    ranged = checkpoint_table(
+        counts.repartitionByRange(partitions, "column", "x")
         .withColumn("pid", F.spark_partition_id())
         .withColumn("cum", F.sum("c").over(in_part))
-        .withColumn("part_total", F.sum("c").over(Window.partitionBy("pid")))
-        .checkpoint(eager=True)
+        .withColumn("part_total", F.sum("c").over(Window.partitionBy("pid", "column"))),
+        "quantile-ranks",
     )
-    # One row per partition: offset of the partition's first value, and the global count.
-    parts = ranged.select("pid", "part_total").dropDuplicates(["pid"])
+    # One row per (partition, column): where the partition starts, and the column's count.
+    parts = ranged.select("pid", "column", "part_total").dropDuplicates(["pid", "column"])
     offsets = parts.select(
         "pid",
-        (F.sum("part_total").over(Window.orderBy("pid")) - F.col("part_total")).alias("offset"),
-        F.sum("part_total").over(Window.partitionBy()).alias("n"),
+        "column",
+        (F.sum("part_total").over(Window.partitionBy("column").orderBy("pid")) - F.col("part_total")).alias("offset"),
+        F.sum("part_total").over(Window.partitionBy("column")).alias("n"),
     )
-    ranked = ranged.join(F.broadcast(offsets), "pid").select(
-        "x", "c", "n", (F.col("offset") + F.col("cum") - F.col("c")).alias("start")
+    ranked = ranged.join(F.broadcast(offsets), ["pid", "column"]).select(
+        "column", "x", "c", "n", (F.col("offset") + F.col("cum") - F.col("c")).alias("start")
     )
     n = F.col("n")
+    start, count = F.col("start"), F.col("c")
     aggs = [F.max("n").alias("n")]
-    wanted = []
+    keeps = []
+    names = []
     for p in probs:
         name = _quantile_name(p)
         pos = (n - 1).cast("double") * F.lit(float(p))
         lo = F.floor(pos)
         hi = F.least(F.ceil(pos), n - 1)
-        covers_lo = (F.col("start") <= lo) & (lo < F.col("start") + F.col("c"))
-        covers_hi = (F.col("start") <= hi) & (hi < F.col("start") + F.col("c"))
+        covers_lo = (start <= lo) & (lo < start + count)
+        covers_hi = (start <= hi) & (hi < start + count)
         aggs += [
             F.max(F.when(covers_lo, x)).alias(f"{name}_lo"),
             F.max(F.when(covers_hi, x)).alias(f"{name}_hi"),
             F.max(pos - lo).alias(f"{name}_t"),
         ]
-        wanted.append(name)
-        ranked = ranked.withColumn(f"keep_{name}", covers_lo | covers_hi)
-    keep = reduce(lambda a, b: a | b, [F.col(f"keep_{w}") for w in wanted])
-    picked = ranked.where(keep).agg(*aggs)
-    out = [F.coalesce(F.col("n"), F.lit(0)).alias("n")]
-    for name in wanted:
+        keeps += [covers_lo, covers_hi]
+        names.append(name)
+    picked = ranked.where(reduce(lambda a, b: a | b, keeps)).groupBy("column").agg(*aggs)
+    out = [F.col("column"), F.col("n")]
+    for name in names:
         lo_v, hi_v, t = F.col(f"{name}_lo"), F.col(f"{name}_hi"), F.col(f"{name}_t")
+        # lo + (hi - lo) * t, the same interpolation as DuckDB's quantile_cont
         out.append(F.when(t == 0, lo_v).otherwise(lo_v + (hi_v - lo_v) * t).alias(name))
     return picked.select(*out)
 
@@ -113,41 +120,34 @@ def _exact_mean(column: str, dtype: str, money_columns) -> F.Column:
 
 def describe(df: DataFrame, columns: list[str] | None = None, money_columns=("price",)) -> DataFrame:
     """``DataFrame.describe()`` of pandas for numeric columns, one row per column:
-    ``column, count, mean, std, min, p25, p50, p75, max`` (sample std, exact quartiles)."""
+    ``column, count, mean, std, min, p25, p50, p75, max`` (sample std, exact quartiles).
+
+    Count, mean, std, min and max come from one aggregate over the table, unpivoted to one
+    row per column; the quartiles from one ``exact_quantiles`` pass over all columns.
+    """
     cols = [(c, t) for c, t in _numeric_columns(df) if columns is None or c in columns]
-    basic_aggs = []
+    stats = ("count", "mean", "std", "min", "max")
+    aggs = []
     for c, t in cols:
-        basic_aggs += [
-            F.count(c).alias(f"{c}__count"),
-            _exact_mean(c, t, money_columns).alias(f"{c}__mean"),
-            F.stddev_samp(F.col(c).cast("double")).alias(f"{c}__std"),
-            F.min(F.col(c).cast("double")).alias(f"{c}__min"),
-            F.max(F.col(c).cast("double")).alias(f"{c}__max"),
+        aggs += [
+            F.count(c).alias(f"{c}|count"),
+            _exact_mean(c, t, money_columns).alias(f"{c}|mean"),
+            F.stddev_samp(F.col(c).cast("double")).alias(f"{c}|std"),
+            F.min(F.col(c).cast("double")).alias(f"{c}|min"),
+            F.max(F.col(c).cast("double")).alias(f"{c}|max"),
         ]
-    basic = df.agg(*basic_aggs)
-    rows = []
-    for c, _ in cols:
-        q = exact_quantiles(df, c)
-        b = basic.select(
+    wide = df.agg(*aggs)
+    # one struct per column, exploded into rows: the single-row aggregate is read once
+    per_column = [
+        F.struct(
             F.lit(c).alias("column"),
-            F.col(f"{c}__count").alias("count"),
-            F.col(f"{c}__mean").alias("mean"),
-            F.col(f"{c}__std").alias("std"),
-            F.col(f"{c}__min").alias("min"),
-            F.col(f"{c}__max").alias("max"),
-        )
-        # Both sides are single rows: stack and collapse instead of joining.
-        stacked = b.unionByName(q.select(F.lit(c).alias("column"), "p25", "p50", "p75"), allowMissingColumns=True)
-        rows.append(
-            stacked.groupBy("column").agg(
-                F.max("count").alias("count"),
-                F.max("mean").alias("mean"),
-                F.max("std").alias("std"),
-                F.max("min").alias("min"),
-                F.max("p25").alias("p25"),
-                F.max("p50").alias("p50"),
-                F.max("p75").alias("p75"),
-                F.max("max").alias("max"),
-            )
+            *[F.col(f"`{c}|{s}`").cast("long" if s == "count" else "double").alias(s) for s in stats],
         )
-    return reduce(DataFrame.unionByName, rows)
+        for c, _ in cols
+    ]
+    basic = wide.select(F.inline(F.array(*per_column)))
+    quartiles = exact_quantiles(df, [c for c, _ in cols]).drop("n")
+    # The quartile side holds one row per column: bounded by the column count.
+    return basic.join(F.broadcast(quartiles), "column", "left").select(
+        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
+    )

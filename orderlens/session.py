@@ -99,3 +99,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="orderlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
+
+
+def checkpoint_table(df, name: str):
+    """Cut lineage by writing ``df`` as parquet under the session's checkpoint folder and
+    reading it back.
+
+    The folder is ``spark.checkpoint.dir`` -- a shared location on a cluster -- so the stored
+    result survives lost executors, is computed exactly once, and its rows (including any
+    ``spark_partition_id`` taken before the write) never change afterwards.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
