@@ -85,21 +85,24 @@ def floor_days(start: str | Column, end: str | Column) -> Column:
     return F.floor(micros / F.lit(float(MICROS_PER_DAY))).cast("int")
 
 
-def delivery_bucket(days: str | Column) -> Column:
-    """Bucket label; no lower bound (S7) and a missing value falls to the last bucket."""
+def delivery_bucket(days: str | Column, bounds=BUCKET_BOUNDS, labels=BUCKET_LABELS) -> Column:
+    """Bucket label: the first bucket whose inclusive upper bound holds ``days``, else the
+    last (open) one.  No lower bound (S7); a missing value falls to the last bucket (S6).
+    ``len(labels) == len(bounds) + 1``."""
+    if len(labels) != len(bounds) + 1:
+        raise ValueError("need one label per bound plus one for the open bucket")
     d = _col(days)
-    return (
-        F.when(d <= BUCKET_BOUNDS[0], F.lit(BUCKET_LABELS[0]))
-        .when(d <= BUCKET_BOUNDS[1], F.lit(BUCKET_LABELS[1]))
-        .otherwise(F.lit(BUCKET_LABELS[2]))
-    )
+    expr = F.when(d <= bounds[0], F.lit(labels[0]))
+    for bound, label in zip(bounds[1:], labels[1:]):
+        expr = expr.when(d <= bound, F.lit(label))
+    return expr.otherwise(F.lit(labels[-1]))
 
 
-def bucket_order(label: str | Column) -> Column:
-    """Position of a bucket label (1, 2, 3) for ordered sorting (T4)."""
+def bucket_order(label: str | Column, labels=BUCKET_LABELS) -> Column:
+    """Position of a bucket label (1, 2, 3, ...) for ordered sorting (T4)."""
     lab = _col(label)
-    expr = F.when(lab == BUCKET_LABELS[0], F.lit(1))
-    for pos, name in enumerate(BUCKET_LABELS[1:], start=2):
+    expr = F.when(lab == labels[0], F.lit(1))
+    for pos, name in enumerate(labels[1:], start=2):
         expr = expr.when(lab == name, F.lit(pos))
     return expr
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bucket_order, delivery_bucket, floor_days
+from ..functions.columns import BUCKET_BOUNDS, BUCKET_LABELS, bucket_order, delivery_bucket, floor_days
 from .sales import DELIVERED_TS, PURCHASE_TS
 
 REVIEW_COLUMNS = ("order_id", "delivery_speed", "delivery_time", "review_score")
 
 
-def delivery_metrics(sales: DataFrame) -> DataFrame:
-    """Adds ``delivery_speed`` (floor days, S5) and ``delivery_time`` (bucket, S6/S7)."""
+def delivery_metrics(sales: DataFrame, bounds=BUCKET_BOUNDS, labels=BUCKET_LABELS) -> DataFrame:
+    """Adds ``delivery_speed`` (floor days, S5) and ``delivery_time`` (bucket, S6/S7).
+    Bucket bounds and labels are parameters; the defaults are the reference's."""
     return sales.withColumn("delivery_speed", floor_days(PURCHASE_TS, DELIVERED_TS)).withColumn(
-        "delivery_time", delivery_bucket("delivery_speed")
+        "delivery_time", delivery_bucket("delivery_speed", bounds, labels)
     )
 
 
@@ -55,13 +56,13 @@ def score_distribution(review_table: DataFrame) -> DataFrame:
     ).orderBy("review_score")
 
 
-def score_by_bucket(review_table: DataFrame) -> DataFrame:
+def score_by_bucket(review_table: DataFrame, labels=BUCKET_LABELS) -> DataFrame:
     """Mean score per delivery bucket in bucket order."""
     return (
         review_table.where(F.col("delivery_time").isNotNull())
         .groupBy("delivery_time")
         .agg(F.avg("review_score").alias("review_score"))
-        .withColumn("bucket_ord", bucket_order("delivery_time"))
+        .withColumn("bucket_ord", bucket_order("delivery_time", labels))
         .orderBy("bucket_ord")
     )
 

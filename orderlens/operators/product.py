@@ -84,6 +84,20 @@ def revenue_by_state(sales: DataFrame, orders: DataFrame, customers: DataFrame)
     )
 
 
+def state_scale_labels(state_revenue: DataFrame) -> DataFrame:
+    """The map's colour-bar ticks as rows ``tick, value, label`` -- minimum, midpoint and
+    maximum state revenue with their currency labels (A21, F1)."""
+    from ..functions.columns import currency_label
+
+    scale = state_revenue_scale(state_revenue)
+    ticks = F.array(
+        F.struct(F.lit("min").alias("tick"), F.col("rev_min").alias("value")),
+        F.struct(F.lit("mid").alias("tick"), F.col("rev_mid").alias("value")),
+        F.struct(F.lit("max").alias("tick"), F.col("rev_max").alias("value")),
+    )
+    return scale.select(F.inline(ticks)).withColumn("label", currency_label("value"))
+
+
 def state_revenue_scale(state_revenue: DataFrame) -> DataFrame:
     """Colour-scale ticks of the state map: ``rev_min, rev_mid, rev_max``."""
     return state_revenue.agg(F.min("price").alias("rev_min"), F.max("price").alias("rev_max")).select(

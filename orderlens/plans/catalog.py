@@ -90,6 +90,9 @@ _MODEL_QUERIES: dict[str, Callable[[SalesModel], DataFrame]] = {
     "state_revenue_scale": lambda m: product.state_revenue_scale(
         product.revenue_by_state(_year_orders(m), m.orders, m.customers)
     ),
+    "revenue_labels": lambda m: product.state_scale_labels(
+        product.revenue_by_state(_year_orders(m), m.orders, m.customers)
+    ),
     # customer experience
     "review_speed": lambda m: _review_table(m),
     "review_summary": lambda m: experience.review_summary(_review_table(m)),

@@ -76,7 +76,15 @@ class SalesModel:
         return delivery_metrics(self.order_sales)
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "SalesModel":
+        """Cache the tables and both facts and materialise them once (the dashboard's cached
+        load).  For interactive use on data that fits the cluster's memory and disk; at
+        100 TB prefer ``materialize`` into the shared folder."""
+        self.tables = {name: df.persist(level) for name, df in self.tables.items()}
+        self._cache.clear()
+        self._cache["sales"] = self.sales.persist(level)
         self._cache["order_sales"] = self.order_sales.persist(level)
+        for df in [*self.tables.values(), self._cache["sales"], self._cache["order_sales"]]:
+            df.count()
         return self
 
     def materialize(self, path: str, mode: str = "overwrite") -> "SalesModel":

@@ -315,6 +315,11 @@ def oracle_sql() -> dict[str, str]:
         "top_states_10": _with(_state_cte(y)) + "SELECT customer_state, price FROM st ORDER BY price DESC, customer_state LIMIT 10",
         "state_revenue_scale": _with(_state_cte(y))
         + "SELECT min(price) AS rev_min, (min(price) + max(price)) / 2 AS rev_mid, max(price) AS rev_max FROM st",
+        "revenue_labels": _with(_state_cte(y))
+        + f""", sc AS (SELECT min(price) AS rev_min, (min(price) + max(price)) / 2 AS rev_mid, max(price) AS rev_max FROM st),
+              tk AS (SELECT 'min' AS tick, rev_min AS value FROM sc UNION ALL SELECT 'mid', rev_mid FROM sc
+                     UNION ALL SELECT 'max', rev_max FROM sc)
+              SELECT tick, value, {_currency('value')} AS label FROM tk""",
         "review_speed": _with(sd, rs) + "SELECT order_id, delivery_speed, delivery_time, review_score FROM rs",
         "review_summary": _with(sd, rs)
         + "SELECT avg(review_score) AS avg_score, avg(delivery_speed) AS avg_delivery_speed FROM rs",

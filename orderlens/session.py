@@ -51,6 +51,9 @@ CLUSTER_CONF = {
 }
 
 
+STATIC_KEYS = ("spark.ui.enabled", "spark.ui.showConsoleProgress", "spark.driver.memory")
+
+
 def get_spark(
     app_name: str = "orderlens",
     master: str | None = None,
@@ -59,26 +62,40 @@ def get_spark(
 ) -> SparkSession:
     """Return a SparkSession configured for the given profile.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or 8]`` for the local profile and is left
-    to the launcher (spark-submit) for the cluster profile.
+    ``local``: ``local[$BENCH_CPUS or 8]`` unless ``master`` is given, every setting applied.
+    ``cluster``: the master comes from the launcher; a setting is applied only when the
+    cluster configuration (spark-defaults, ``--conf``) does not set it already.
+    ``extra_conf`` is always applied.
     """
-    builder = SparkSession.builder.appName(app_name)
-    conf = dict(COMMON_CONF)
     if profile == "local":
         cpus = int(os.environ.get("BENCH_CPUS", "8"))
-        builder = builder.master(master or f"local[{cpus}]")
-        conf.update(LOCAL_CONF)
-        conf["spark.sql.shuffle.partitions"] = str(cpus)
+        master = master or f"local[{cpus}]"
+        conf = {**COMMON_CONF, **LOCAL_CONF, "spark.sql.shuffle.partitions": str(cpus)}
     elif profile == "cluster":
-        if master:
-            builder = builder.master(master)
-        conf.update(CLUSTER_CONF)
+        conf = {**COMMON_CONF, **CLUSTER_CONF}
     else:
         raise ValueError(f"unknown profile {profile!r}")
-    conf.update(extra_conf or {})
-    for key, value in conf.items():
-        builder = builder.config(key, value)
+    extra = dict(extra_conf or {})
+    builder = SparkSession.builder.appName(app_name)
+    if master:
+        builder = builder.master(master)
+    for key, value in extra.items():
+        if not key.startswith("spark.sql."):
+            builder = builder.config(key, value)
+    if profile == "local":
+        for key in STATIC_KEYS:
+            if key in conf:
+                builder = builder.config(key, conf[key])
     spark = builder.getOrCreate()
+    explicit = spark.sparkContext.getConf()
+    for key, value in conf.items():
+        if key in STATIC_KEYS:
+            continue
+        if profile == "local" or not explicit.contains(key):
+            spark.conf.set(key, value)
+    for key, value in extra.items():
+        if key.startswith("spark.sql."):
+            spark.conf.set(key, value)
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
