@@ -60,6 +60,13 @@ def avg_monthly_growth(sales: DataFrame) -> DataFrame:
     return _growth(sales).agg(F.avg("growth").alias("avg_monthly_growth"))
 
 
+def avg_growth_of_months(monthly: DataFrame) -> DataFrame:
+    """Mean month-over-month growth of ``month, revenue`` rows (at most twelve)."""
+    w = Window.orderBy("month")
+    g = monthly.withColumn("growth", growth(F.col("revenue"), F.lag("revenue").over(w)))
+    return g.agg(F.avg("growth").alias("avg_monthly_growth"))
+
+
 def aov(sales: DataFrame) -> DataFrame:
     """Average order value: mean over orders of the per-order revenue.
 
@@ -90,6 +97,13 @@ def per_order_totals(sales: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def flag_periods(sales: DataFrame, current, previous) -> DataFrame:
+    """Rows of either period with a boolean ``is_current``."""
+    return sales.where(current | previous).withColumn(
+        "is_current", F.when(current, F.lit(True)).otherwise(F.lit(False))
+    )
+
+
 def period_comparison(sales: DataFrame, current, previous) -> DataFrame:
     """Revenue, order count and AOV of two periods in one pass.
 
@@ -97,10 +111,11 @@ def period_comparison(sales: DataFrame, current, previous) -> DataFrame:
     per-order aggregation serves both periods; the result is one row with
     ``revenue, prev_revenue, order_count, prev_order_count, aov, prev_aov``.
     """
-    flagged = sales.where(current | previous).withColumn(
-        "is_current", F.when(current, F.lit(True)).otherwise(F.lit(False))
-    )
-    per_order = per_order_totals(flagged, "is_current")
+    return comparison_from_orders(per_order_totals(flag_periods(sales, current, previous), "is_current"))
+
+
+def comparison_from_orders(per_order: DataFrame) -> DataFrame:
+    """The two-period comparison from ``is_current, order_id, order_revenue`` rows."""
     cur = F.col("is_current")
     rev = F.col("order_revenue")
     agg = per_order.agg(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -32,7 +32,14 @@ from ..operators.experience import (
     score_distribution,
 )
 from ..operators.product import revenue_by_category, revenue_by_state, top_n
-from ..operators.revenue import avg_monthly_growth, monthly_growth, per_order_totals, period_comparison
+from ..operators.revenue import (
+    avg_growth_of_months,
+    comparison_from_orders,
+    flag_periods,
+    monthly_growth,
+    per_order_totals,
+    period_comparison,
+)
 from ..operators.sales import filter_by_period, period_predicate, price_units
 from .model import SalesModel
 
@@ -80,13 +87,30 @@ def kpi_report(model: SalesModel, year: int, month: int | None = None) -> DataFr
     growth only for a full year; trend indicators (F2) and currency labels (F1) included.
     """
     current, previous, cmp_year = _periods(year, month, None)
-    comp = period_comparison(model.order_sales, current, previous)
+    # One per-(period, month, order) aggregation feeds both the comparison and the monthly
+    # revenue; the month-over-month branch uses conditional sums rather than a filter, so no
+    # predicate is pushed below the shared aggregation and both branches share its exchanges.
+    per_order_month = per_order_totals(flag_periods(model.order_sales, current, previous), "is_current", "month")
+    per_order = per_order_month.groupBy("is_current", "order_id").agg(
+        F.sum("order_revenue").alias("order_revenue")
+    )
+    comp = comparison_from_orders(per_order)
     exp = experience_comparison(model, current, previous).select(
         "avg_score", "avg_delivery_days", "prev_avg_delivery_days"
     )
     parts = [comp, exp]
     if month is None:
-        parts.append(avg_monthly_growth(filter_by_period(model.order_sales, year)))
+        cur = F.col("is_current")
+        monthly = (
+            per_order_month.groupBy("month")
+            .agg(
+                F.sum(F.when(cur, F.col("order_revenue"))).alias("units"),
+                F.count(F.when(cur, F.lit(1))).alias("n_current"),
+            )
+            .where(F.col("n_current") > 0)
+            .select("month", units_to_money("units").alias("revenue"))
+        )
+        parts.append(avg_growth_of_months(monthly))
     merged = collapse_rows(parts)
     if month is None:
         mom = F.col("avg_monthly_growth")
@@ -203,17 +227,24 @@ def period_cube(model: SalesModel) -> DataFrame:
     """Revenue, orders and AOV for every year and every (year, month) in one job (R-1), with
     the dashboard's guarded growth against the same period one year earlier.
 
-    Both per-order aggregations reuse the ``order_id`` partitioning of the order-grain fact,
-    so the only shuffles after the fact are of the (tiny) cell partials.  The full-year order
-    count is counted on (year, order_id), so an order present in two months counts once.
+    One per-order aggregation by (year, month, order) feeds both levels; it reuses the
+    ``order_id`` partitioning of the order-grain fact.  The full-year order count regroups
+    those rows by (year, order), so an order present in two months counts once.  The
+    previous year's cell comes from a range window one year back over the cells -- at most
+    years x 13 rows -- instead of a self-join.
     """
     base = model.order_sales.where(F.col("year").isNotNull())
-    by_month = per_order_totals(base, "year", "month").groupBy("year", "month").agg(
+    per_order = per_order_totals(base, "year", "month")
+    by_month = per_order.groupBy("year", "month").agg(
         F.sum("order_revenue").alias("rev"), F.count(F.lit(1)).alias("order_count")
     )
-    by_year = per_order_totals(base, "year").groupBy("year").agg(
-        F.sum("order_revenue").alias("rev"), F.count(F.lit(1)).alias("order_count")
-    ).withColumn("month", F.lit(None).cast("int"))
+    by_year = (
+        per_order.groupBy("year", "order_id")
+        .agg(F.sum("order_revenue").alias("order_revenue"))
+        .groupBy("year")
+        .agg(F.sum("order_revenue").alias("rev"), F.count(F.lit(1)).alias("order_count"))
+        .withColumn("month", F.lit(None).cast("int"))
+    )
     cells = by_month.unionByName(by_year).select(
         "year",
         "month",
@@ -221,29 +252,18 @@ def period_cube(model: SalesModel) -> DataFrame:
         "order_count",
         safe_ratio(units_to_money("rev"), F.col("order_count")).alias("aov"),
     )
-    prev = cells.select(
-        (F.col("year") + 1).alias("p_year"),
-        F.col("month").alias("p_month"),
-        F.col("revenue").alias("prev_revenue"),
-        F.col("order_count").alias("prev_order_count"),
-        F.col("aov").alias("prev_aov"),
-    )
-    # Both sides hold one row per (year, month-or-null): years x 13 rows at most.
-    joined = cells.join(
-        prev,
-        (cells["year"] == prev["p_year"]) & cells["month"].eqNullSafe(prev["p_month"]),
-        "left",
-    )
-    return joined.select(
+    year_before = Window.partitionBy("month").orderBy("year").rangeBetween(-1, -1)
+    prev = {c: F.max(c).over(year_before) for c in ("revenue", "order_count", "aov")}
+    return cells.select(
         "year",
         "month",
         period_label(F.col("year"), F.col("month")).alias("period_label"),
         "revenue",
         "order_count",
         "aov",
-        guarded_growth("revenue", "prev_revenue").alias("revenue_growth"),
-        guarded_growth("aov", "prev_aov").alias("aov_growth"),
-        guarded_growth("order_count", "prev_order_count").alias("order_growth"),
+        guarded_growth(F.col("revenue"), prev["revenue"]).alias("revenue_growth"),
+        guarded_growth(F.col("aov"), prev["aov"]).alias("aov_growth"),
+        guarded_growth(F.col("order_count"), prev["order_count"]).alias("order_growth"),
         currency_label("revenue").alias("revenue_label"),
         currency_label("aov").alias("aov_label"),
     ).orderBy("year", F.asc_nulls_first("month"))
