@@ -44,7 +44,7 @@ def _review_table(m: SalesModel, year: int = YEAR, month: int | None = None) ->
     return experience.review_speed(sales, m.reviews)
 
 
-def _growth_query(metric: str, count: bool = False) -> Callable[[SalesModel], DataFrame]:
+def _growth_query(metric: str) -> Callable[[SalesModel], DataFrame]:
     def run(m: SalesModel) -> DataFrame:
         comp = revenue.period_comparison(m.order_sales, period_predicate(YEAR), period_predicate(YEAR - 1))
         return comp.select(

@@ -15,7 +15,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import DELIVERED_STATUS
-from ..operators.experience import delivery_metrics
 from ..operators.sales import build_order_sales, build_sales_data
 from ..sources.fixtures import fixture_tables
 from ..sources.tables import load_datasets
@@ -71,10 +70,6 @@ class SalesModel:
             self._cache["order_sales"] = build_order_sales(self.order_items, self.orders, self.status)
         return self._cache["order_sales"]
 
-    @property
-    def order_sales_delivery(self) -> DataFrame:
-        return delivery_metrics(self.order_sales)
-
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "SalesModel":
         """Cache the tables and both facts and materialise them once (the dashboard's cached
         load).  For interactive use on data that fits the cluster's memory and disk; at

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import io
-import os
 import re
-import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
