@@ -68,7 +68,11 @@ def revenue_by_state(sales: DataFrame, orders: DataFrame, customers: DataFrame)
     duplicate orders rows fan out the same way; revenue is reduced to one row per customer
     before the customers join (J4).
     """
-    per_order = _revenue_by_key(sales, "order_id")
+    return state_revenue_from_orders(_revenue_by_key(sales, "order_id"), orders, customers)
+
+
+def state_revenue_from_orders(per_order: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """State revenue from ``order_id, key_revenue`` (exact units per order id)."""
     owners = orders.select("order_id", "customer_id").where(F.col("customer_id").isNotNull())
     per_customer = (
         per_order.join(owners, "order_id")

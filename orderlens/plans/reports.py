@@ -31,7 +31,7 @@ from ..operators.experience import (
     score_by_bucket,
     score_distribution,
 )
-from ..operators.product import revenue_by_category, revenue_by_state, top_n
+from ..operators.product import revenue_by_category, revenue_by_state, state_revenue_from_orders, top_n
 from ..operators.revenue import (
     avg_growth_of_months,
     comparison_from_orders,
@@ -194,15 +194,27 @@ def summary(model: SalesModel, year: int, month: int | None = None, comparison_y
     """Executive summary of the notebook (P3): unguarded growths (zero base -> NULL), top
     category and state (A22: first row by revenue, key ascending on ties), averages."""
     current, previous, cmp_year = _periods(year, month, comparison_year)
-    comp = period_comparison(model.order_sales, current, previous)
+    per_order = per_order_totals(flag_periods(model.order_sales, current, previous), "is_current")
+    comp = comparison_from_orders(per_order)
     exp = experience_comparison(model, current, previous).select("avg_score", "avg_delivery_days")
     cur_lines = model.sales.where(current)
-    cur_orders = model.order_sales.where(current)
     top_cat = top_n(
         revenue_by_category(cur_lines, model.products), 1, "revenue", "product_category_name"
     ).select(F.col("product_category_name").alias("top_category"))
+    # Current-period revenue per order from the comparison's per-order rows: conditional sums
+    # instead of a filter keep the shared aggregation (and its exchanges) identical.
+    cur = F.col("is_current")
+    cur_per_order = (
+        per_order.groupBy("order_id")
+        .agg(
+            F.sum(F.when(cur, F.col("order_revenue"))).alias("key_revenue"),
+            F.count(F.when(cur, F.lit(1))).alias("n_current"),
+        )
+        .where(F.col("n_current") > 0)
+        .select("order_id", "key_revenue")
+    )
     top_state = top_n(
-        revenue_by_state(cur_orders, model.orders, model.customers), 1, "price", "customer_state"
+        state_revenue_from_orders(cur_per_order, model.orders, model.customers), 1, "price", "customer_state"
     ).select(F.col("customer_state").alias("top_state"))
     merged = collapse_rows([comp, exp, top_cat, top_state])
     return merged.select(
