@@ -38,7 +38,6 @@ from ..operators.revenue import (
     flag_periods,
     monthly_growth,
     per_order_totals,
-    period_comparison,
 )
 from ..operators.sales import filter_by_period, period_predicate, price_units
 from .model import SalesModel
@@ -58,17 +57,37 @@ def _periods(year: int, month: int | None, comparison_year: int | None) -> tuple
     return period_predicate(year, month), period_predicate(cmp_year, month), cmp_year
 
 
-def experience_comparison(model: SalesModel, current: Column, previous: Column) -> DataFrame:
+PERIOD_ORDER_KEYS = ("is_current", "month", "delivery_speed", "delivery_time")
+
+
+def period_orders(model: SalesModel, current: Column, previous: Column) -> DataFrame:
+    """``is_current, month, delivery_speed, delivery_time, order_id, order_revenue``: one row
+    per order and period (per orders row, when an id repeats with other times).
+
+    The single aggregation every two-period report branch starts from.  Its grouping keys
+    are all functions of the orders row, so it reuses the order-grain fact's ``order_id``
+    partitioning; branches regroup or select from it with conditional aggregates rather
+    than filters, which keeps their plans identical below it so Spark reuses its exchanges.
+    """
+    flagged = delivery_metrics(flag_periods(model.order_sales, current, previous))
+    return per_order_totals(flagged, *PERIOD_ORDER_KEYS)
+
+
+def comparison_of(orders_by_period: DataFrame) -> DataFrame:
+    """Revenue, orders and AOV of both periods from ``period_orders`` rows."""
+    per_order = orders_by_period.groupBy("is_current", "order_id").agg(
+        F.sum("order_revenue").alias("order_revenue")
+    )
+    return comparison_from_orders(per_order)
+
+
+def experience_comparison(model: SalesModel, orders_by_period: DataFrame) -> DataFrame:
     """Average review score and delivery days of both periods in one pass.
 
     The review table (A9) is built per period -- the period flag is part of the distinct
     key -- then both are averaged by a single aggregate.
     """
-    flagged = model.order_sales.where(current | previous).withColumn(
-        "is_current", F.when(current, F.lit(True)).otherwise(F.lit(False))
-    )
-    with_delivery = delivery_metrics(flagged)
-    left = with_delivery.select("is_current", "order_id", "delivery_speed", "delivery_time").dropDuplicates()
+    left = orders_by_period.select("is_current", "order_id", "delivery_speed", "delivery_time").dropDuplicates()
     right = model.reviews.select("order_id", "review_score").dropDuplicates()
     table = left.join(right, "order_id").dropDuplicates()
     cur = F.col("is_current")
@@ -87,15 +106,12 @@ def kpi_report(model: SalesModel, year: int, month: int | None = None) -> DataFr
     growth only for a full year; trend indicators (F2) and currency labels (F1) included.
     """
     current, previous, cmp_year = _periods(year, month, None)
-    # One per-(period, month, order) aggregation feeds both the comparison and the monthly
-    # revenue; the month-over-month branch uses conditional sums rather than a filter, so no
-    # predicate is pushed below the shared aggregation and both branches share its exchanges.
-    per_order_month = per_order_totals(flag_periods(model.order_sales, current, previous), "is_current", "month")
-    per_order = per_order_month.groupBy("is_current", "order_id").agg(
-        F.sum("order_revenue").alias("order_revenue")
-    )
-    comp = comparison_from_orders(per_order)
-    exp = experience_comparison(model, current, previous).select(
+    # One per-(period, month, delivery, order) aggregation feeds the comparison, the monthly
+    # revenue and the review branch; the month-over-month branch uses conditional sums rather
+    # than a filter, so no predicate is pushed below the shared aggregation.
+    per_order_month = period_orders(model, current, previous)
+    comp = comparison_of(per_order_month)
+    exp = experience_comparison(model, per_order_month).select(
         "avg_score", "avg_delivery_days", "prev_avg_delivery_days"
     )
     parts = [comp, exp]
@@ -194,9 +210,12 @@ def summary(model: SalesModel, year: int, month: int | None = None, comparison_y
     """Executive summary of the notebook (P3): unguarded growths (zero base -> NULL), top
     category and state (A22: first row by revenue, key ascending on ties), averages."""
     current, previous, cmp_year = _periods(year, month, comparison_year)
-    per_order = per_order_totals(flag_periods(model.order_sales, current, previous), "is_current")
+    orders_by_period = period_orders(model, current, previous)
+    per_order = orders_by_period.groupBy("is_current", "order_id").agg(
+        F.sum("order_revenue").alias("order_revenue")
+    )
     comp = comparison_from_orders(per_order)
-    exp = experience_comparison(model, current, previous).select("avg_score", "avg_delivery_days")
+    exp = experience_comparison(model, orders_by_period).select("avg_score", "avg_delivery_days")
     cur_lines = model.sales.where(current)
     top_cat = top_n(
         revenue_by_category(cur_lines, model.products), 1, "revenue", "product_category_name"
