@@ -78,3 +78,18 @@ def test_hot_order_key(spark):
     assert product.revenue_by_state(m.order_sales, m.orders, m.customers).collect()[0]["price"] == 3 * n * 1.25
     table = experience.review_speed(experience.delivery_metrics(m.order_sales), m.reviews)
     assert table.count() == n
+
+
+def test_command_line_reports(spark, tmp_path):
+    from orderlens.__main__ import main
+
+    fixtures = SalesModel.from_fixtures(spark, SF_SMALL)
+    data = tmp_path / "data"
+    for name, df in fixtures.tables.items():
+        df.write.parquet(str(data / f"{name}.parquet"))
+    out = tmp_path / "out"
+    main(["--data", str(data), "--format", "parquet", "--year", "2000", "--out", str(out)])
+    written = sorted(os.listdir(out))
+    assert "kpi" in written and "summary" in written and "monthly_growth" in written
+    kpi = spark.read.parquet(str(out / "kpi")).collect()[0]
+    assert kpi["revenue"] == reports.kpi_report(fixtures, 2000).collect()[0]["revenue"]
