@@ -96,3 +96,30 @@ def test_materialized_facts_prune_partitions(spark, model, tmp_path):
     text = plan_text(revenue.total_revenue(df))
     assert "PartitionFilters" in text and "isnotnull(year" in text
     assert revenue.total_revenue(df).collect() == revenue.total_revenue(filter_by_period(model.order_sales, 2000, 3)).collect()
+
+
+def test_runtime_bloom_filter_lands_below_pre_aggregation(spark, model):
+    """With a shuffle join, the filtered orders build a bloom filter that prunes line items
+    at the scan, before the per-order partial aggregation and its shuffle."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1b",
+    }
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        text = plan_text(revenue.total_revenue(filter_by_period(model.order_sales, 2000)))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    blocks = text.split("\n\n")
+    bloom = [b for b in blocks if b.startswith("(") and " Filter" in b.splitlines()[0] and "might_contain" in b]
+    assert bloom, text
+    node_id = int(bloom[0].split(")")[0].strip("("))
+    # the node right below the filter is the line-item scan
+    scan = re.search(rf"\({node_id - 1}\) Scan parquet.*?ReadSchema: ([^\n]*)", text, re.S)
+    assert scan and "l_orderkey" in scan.group(1)
+    # and the partial aggregation is above it
+    above = [b for b in blocks if b.startswith(f"({node_id + 2}) HashAggregate")]
+    assert above and "partial_sum" in above[0]
