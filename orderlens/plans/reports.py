@@ -167,8 +167,8 @@ def kpi_report(model: SalesModel, year: int, month: int | None = None) -> DataFr
 def monthly_trend(model: SalesModel, year: int) -> DataFrame:
     """Revenue of months 1-12 for the year and the year before, zero-filled.
 
-    Ignores any selected month, as the dashboard chart does.  The month grid is a fixed
-    12-row range: the only thing broadcast.
+    Ignores any selected month, as the dashboard chart does.  The fixed 12-row month grid is
+    left-joined to the per-month sums, which are broadcast: one row per month, at most 12.
     """
     cmp_year = year - 1
     sales = model.order_sales.where(period_predicate(year) | period_predicate(cmp_year))
