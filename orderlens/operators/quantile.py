@@ -118,12 +118,29 @@ def _exact_mean(column: str, dtype: str, money_columns) -> F.Column:
     return F.try_divide(total, F.count(c).cast("double"))
 
 
-def describe(df: DataFrame, columns: list[str] | None = None, money_columns=("price",)) -> DataFrame:
+def approx_quantiles(df: DataFrame, columns: list[str], probs=DESCRIBE_PROBS, accuracy: int = 10000) -> DataFrame:
+    """Same layout as ``exact_quantiles`` from ``percentile_approx`` (rank error at most
+    n / accuracy): one pass, a bounded sketch per task, no stored intermediate."""
+    x = F.col("x")
+    long_form = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [], list(columns), "column", "x"
+    )
+    q = F.percentile_approx(x, list(probs), accuracy)
+    out = long_form.where(x.isNotNull() & ~F.isnan(x)).groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), q.alias("q")
+    )
+    return out.select("column", "n", *[F.col("q")[i].alias(_quantile_name(p)) for i, p in enumerate(probs)])
+
+
+def describe(
+    df: DataFrame, columns: list[str] | None = None, money_columns=("price",), exact: bool = True
+) -> DataFrame:
     """``DataFrame.describe()`` of pandas for numeric columns, one row per column:
     ``column, count, mean, std, min, p25, p50, p75, max`` (sample std, exact quartiles).
 
     Count, mean, std, min and max come from one aggregate over the table, unpivoted to one
-    row per column; the quartiles from one ``exact_quantiles`` pass over all columns.
+    row per column; the quartiles from one ``exact_quantiles`` pass over all columns
+    (``exact=False``: ``approx_quantiles``, for a quick look at very large tables).
     """
     cols = [(c, t) for c, t in _numeric_columns(df) if columns is None or c in columns]
     stats = ("count", "mean", "std", "min", "max")
@@ -146,7 +163,8 @@ def describe(df: DataFrame, columns: list[str] | None = None, money_columns=("pr
         for c, _ in cols
     ]
     basic = wide.select(F.inline(F.array(*per_column)))
-    quartiles = exact_quantiles(df, [c for c, _ in cols]).drop("n")
+    quantiles = exact_quantiles if exact else approx_quantiles
+    quartiles = quantiles(df, [c for c, _ in cols]).drop("n")
     # The quartile side holds one row per column: bounded by the column count.
     return basic.join(F.broadcast(quartiles), "column", "left").select(
         "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"

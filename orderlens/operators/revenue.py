@@ -79,8 +79,14 @@ def aov(sales: DataFrame) -> DataFrame:
     return sales.agg(safe_ratio(total, F.count_distinct("order_id")).alias("aov"))
 
 
-def order_count(sales: DataFrame) -> DataFrame:
-    """Number of distinct orders; missing ids are ignored."""
+def order_count(sales: DataFrame, approx_rsd: float | None = None) -> DataFrame:
+    """Number of distinct orders; missing ids are ignored.
+
+    Exact by default.  ``approx_rsd`` (e.g. 0.01) switches to HyperLogLog++
+    (``approx_count_distinct``): one pass, no shuffle of order ids, for very large data.
+    """
+    if approx_rsd is not None:
+        return sales.agg(F.approx_count_distinct("order_id", approx_rsd).alias("order_count"))
     return sales.agg(F.count_distinct("order_id").alias("order_count"))
 
 

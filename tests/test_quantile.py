@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from orderlens.operators.quantile import describe, exact_quantiles
+from orderlens.operators.quantile import approx_quantiles, describe, exact_quantiles
 
 PROBS = (0.25, 0.5, 0.75)
 
@@ -54,3 +54,18 @@ def test_describe_layout(spark):
     assert out["price"]["count"] == 3 and out["price"]["mean"] == pytest.approx(16.25 / 3)
     assert out["price"]["min"] == 2.5 and out["price"]["max"] == 10.25 and out["price"]["p50"] == 3.5
     assert out["i"]["std"] == pytest.approx(float(np.std([1, 2, 3, 4], ddof=1)))
+
+
+def test_approx_option_close_to_exact(spark):
+    rng = random.Random(3)
+    values = [round(rng.uniform(0, 1000), 2) for _ in range(5000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    approx = approx_quantiles(df, ["v"]).collect()[0]
+    exact = numpy_quantiles(values)
+    ranks = sorted(values)
+    for name, want in zip(("p25", "p50", "p75"), exact):
+        # rank error of the sketch is at most n / accuracy
+        got_rank = sum(v <= approx[name] for v in ranks)
+        want_rank = sum(v <= want for v in ranks)
+        assert abs(got_rank - want_rank) <= len(values) / 10000 + 1
+    assert describe(df, exact=False).collect()[0]["count"] == 5000

@@ -64,6 +64,7 @@ def test_s4_aov_is_mean_of_order_sums(toy):
     assert one(revenue.aov(m.sales))["aov"] == 15.0
     assert one(revenue.aov(m.order_sales))["aov"] == 15.0
     assert one(revenue.order_count(m.sales))["order_count"] == 2
+    assert one(revenue.order_count(m.sales, approx_rsd=0.01))["order_count"] == 2
 
 
 def test_s5_floor_days_not_calendar_days(toy):
