@@ -11,7 +11,7 @@ from orderlens.operators import experience, product, revenue
 from orderlens.plans import reports
 from orderlens.plans.model import SalesModel
 from orderlens.sources.schemas import CSV_FILES
-from orderlens.sources.tables import load_datasets, scan_counts
+from orderlens.sources.tables import load_datasets, save_datasets, scan_counts
 
 
 def _write_csv(df, path):
@@ -43,8 +43,7 @@ def test_csv_round_trip(spark, tmp_path):
 
 def test_parquet_loading(spark, tmp_path):
     fixtures = SalesModel.from_fixtures(spark, SF_SMALL)
-    for name, df in fixtures.tables.items():
-        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    save_datasets(fixtures.tables, str(tmp_path))
     loaded = load_datasets(spark, str(tmp_path), fmt="parquet")
     assert revenue.total_revenue(SalesModel(loaded).order_sales).collect() == revenue.total_revenue(
         fixtures.order_sales
