@@ -90,10 +90,16 @@ _MODEL_QUERIES: dict[str, Callable[[SalesModel], DataFrame]] = {
     "period_counts": lambda m: profile.period_counts(m.order_sales, period_predicate(YEAR), period_predicate(YEAR - 1)),
     # product and geography
     "revenue_by_category": lambda m: product.revenue_by_category(_year_sales(m), m.products),
+    "revenue_by_category_month": lambda m: product.revenue_by_category(
+        filter_by_period(m.sales, YEAR, MONTH), m.products
+    ),
     "categories_with_sales": lambda m: product.category_count(product.revenue_by_category(_year_sales(m), m.products)),
     "top_categories_10": lambda m: reports.top_categories(m, YEAR, n=10, chart_order=True),
     "top_categories_15": lambda m: reports.top_categories(m, YEAR, n=15, with_rank=True),
     "revenue_by_state": lambda m: product.revenue_by_state(_year_orders(m), m.orders, m.customers),
+    "revenue_by_state_month": lambda m: product.revenue_by_state(
+        filter_by_period(m.order_sales, YEAR, MONTH), m.orders, m.customers
+    ),
     "top_states_10": lambda m: reports.top_states(m, YEAR, n=10),
     "state_revenue_scale": lambda m: product.state_revenue_scale(
         product.revenue_by_state(_year_orders(m), m.orders, m.customers)
@@ -104,6 +110,7 @@ _MODEL_QUERIES: dict[str, Callable[[SalesModel], DataFrame]] = {
     # customer experience
     "review_speed": lambda m: _review_table(m),
     "review_summary": lambda m: experience.review_summary(_review_table(m)),
+    "review_summary_month": lambda m: experience.review_summary(_review_table(m, YEAR, MONTH)),
     "score_distribution": lambda m: reports.score_distribution_labeled(m, YEAR),
     "score_by_bucket": lambda m: reports.score_by_bucket_report(m, YEAR),
     "score_by_delivery_day": lambda m: experience.score_by_delivery_day(_review_table(m)),

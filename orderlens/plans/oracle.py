@@ -247,12 +247,13 @@ cat AS (SELECT p.product_category_name, {_money("s.price")} AS revenue
         WHERE {cond} AND p.product_category_name IS NOT NULL GROUP BY 1)"""
 
 
-def _state_cte(year: int) -> str:
+def _state_cte(year: int, month: int | None = None) -> str:
+    cond = _period(year, month).replace("year", "s.year").replace("month", "s.month")
     return f"""
 st AS (SELECT c.customer_state, {_money("s.price")} AS price
        FROM sales s JOIN fx_orders o ON s.order_id = o.order_id
        JOIN fx_customers c ON o.customer_id = c.customer_id
-       WHERE s.year = {year} GROUP BY 1)"""
+       WHERE {cond} GROUP BY 1)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -304,6 +305,8 @@ def oracle_sql() -> dict[str, str]:
                    count(DISTINCT CASE WHEN {_period(py, None)} THEN order_id END) AS prev_orders
             FROM sales WHERE {both}""",
         "revenue_by_category": _with(_category_cte(y)) + "SELECT product_category_name, revenue FROM cat",
+        "revenue_by_category_month": _with(_category_cte(y, m)) + "SELECT product_category_name, revenue FROM cat",
+        "revenue_by_state_month": _with(_state_cte(y, m)) + "SELECT customer_state, price FROM st",
         "categories_with_sales": _with(_category_cte(y)) + "SELECT count(*) AS categories_with_sales FROM cat",
         "top_categories_10": _with(_category_cte(y))
         + f"SELECT product_category_name, revenue, {_currency('revenue')} AS label FROM cat ORDER BY revenue DESC, product_category_name LIMIT 10",
@@ -323,6 +326,8 @@ def oracle_sql() -> dict[str, str]:
         "review_speed": _with(sd, rs) + "SELECT order_id, delivery_speed, delivery_time, review_score FROM rs",
         "review_summary": _with(sd, rs)
         + "SELECT avg(review_score) AS avg_score, avg(delivery_speed) AS avg_delivery_speed FROM rs",
+        "review_summary_month": _with(*_review_cte(y, m))
+        + "SELECT avg(review_score) AS avg_score, avg(delivery_speed) AS avg_delivery_speed FROM rs",
         "score_distribution": _with(sd, rs)
         + """SELECT review_score, CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share,
                     CAST(review_score AS VARCHAR) || ' star' || CASE WHEN review_score > 1 THEN 's' ELSE '' END AS label
