@@ -88,21 +88,25 @@ def build_order_sales(
     orders: DataFrame,
     status: str | None = DELIVERED_STATUS,
     scale: int = MONEY_SCALE,
+    carry_customer: bool = False,
 ) -> DataFrame:
     """Delivered sales at order grain: ``order_id, price (order total), price_units (the same
     total as exact integer cents), n_items, order_status, timestamps, month, year``.
 
     Equal to ``build_sales_data`` grouped by the orders row: an orders row with at least one
     line item becomes one row.  Duplicate orders rows stay separate rows, exactly as they
-    multiply in the line-item join.
+    multiply in the line-item join.  ``carry_customer`` adds the row's ``customer_id`` (see
+    ``revenue_by_state(assume_unique_orders=True)``).
     """
     totals = order_items.groupBy("order_id").agg(
         units_sum(money_units("price", scale)).alias("price_units"),
         F.count(F.lit(1)).alias("n_items"),
     )
-    joined = totals.join(_orders_meta(orders, status), "order_id")
+    extra = ("customer_id",) if carry_customer else ()
+    joined = totals.join(_orders_meta(orders, status, extra), "order_id")
     return _with_period_columns(joined).select(
         "order_id",
+        *extra,
         units_to_money("price_units", scale).alias("price"),
         "price_units",
         "n_items",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from orderlens.operators import experience, product, profile, revenue
-from orderlens.operators.sales import filter_by_period
+from orderlens.operators.sales import build_order_sales, filter_by_period
 from orderlens.plans import reports
 from orderlens.plans.model import SalesModel
 
@@ -70,6 +70,9 @@ def test_line_and_order_grain_agree(model):
     a = product.revenue_by_state(line, model.orders, model.customers).collect()
     b = product.revenue_by_state(orders, model.orders, model.customers).collect()
     assert a == b
+    carried = filter_by_period(build_order_sales(model.order_items, model.orders, carry_customer=True), YEAR)
+    c = product.revenue_by_state(carried, model.orders, model.customers, assume_unique_orders=True).collect()
+    assert c == a  # order ids are unique in the fixtures
     ra = experience.review_speed(experience.delivery_metrics(line), model.reviews)
     rb = experience.review_speed(experience.delivery_metrics(orders), model.reviews)
     assert sorted(ra.collect()) == sorted(rb.collect())

@@ -188,6 +188,10 @@ def test_s15_duplicate_order_rows_multiply_revenue(toy):
     states = {r["customer_state"]: r["price"] for r in product.revenue_by_state(m.order_sales, m.orders, m.customers).collect()}
     line_states = {r["customer_state"]: r["price"] for r in product.revenue_by_state(m.sales, m.orders, m.customers).collect()}
     assert states == line_states == {"SP": 20.0, "RJ": 20.0}
+    # R4 shortcut: each orders row keeps only its own customer, so repeated ids differ
+    carried = build_order_sales(m.order_items, m.orders, carry_customer=True)
+    shortcut = {r["customer_state"]: r["price"] for r in product.revenue_by_state(carried, m.orders, m.customers, assume_unique_orders=True).collect()}
+    assert shortcut == {"SP": 10.0, "RJ": 10.0}
     assert col_list(product.revenue_by_category(m.sales, m.products), "revenue") == [20.0]
 
 
