@@ -16,6 +16,7 @@ from ..functions.columns import growth
 from ..operators import experience, product, profile, revenue
 from ..operators.quantile import describe
 from ..operators.sales import filter_by_period, period_predicate
+from ..session import session_key
 from ..sources.tables import scan_counts
 from . import reports
 from .model import SalesModel
@@ -33,7 +34,7 @@ _MODELS: dict[tuple[str, str], SalesModel] = {}
 
 
 def _model(spark: SparkSession, sf_dir: str) -> SalesModel:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (session_key(spark), sf_dir)
     if key not in _MODELS:
         _MODELS[key] = SalesModel.from_fixtures(spark, sf_dir)
     return _MODELS[key]

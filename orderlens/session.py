@@ -101,19 +101,32 @@ def get_spark(
     return spark
 
 
+def session_key(spark: SparkSession) -> str:
+    """A key for per-session caches: the application id (classic or Spark Connect)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # Spark Connect sessions expose no SparkContext
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make sure reliable checkpoints have a directory.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.  Only
     when nothing is configured (tests, local runs) a scratch folder is created.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: only the configured folder is available
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="orderlens-ckpt-")
+    if sc is None:
+        return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 

@@ -14,6 +14,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import session_key
+
 # ---------------------------------------------------------------------------
 # Fixed values of the fixture mapping (FIXTURES.md)
 # ---------------------------------------------------------------------------
@@ -32,7 +34,7 @@ _HANDLES: dict[tuple[str, str], DataFrame] = {}
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (spark.sparkContext.applicationId, path)
+    key = (session_key(spark), path)
     if key not in _HANDLES:
         _HANDLES[key] = spark.read.parquet(path)
     return _HANDLES[key]
