@@ -216,3 +216,28 @@ def test_metrics_match_brute_force(spark, seed):
             rows = b.period(year, month)
             if rows:
                 assert cube[(year, month)] == (b.revenue(rows), b.orders(rows))
+
+
+@pytest.mark.parametrize("seed", range(6, 9))
+def test_month_kpis_match_brute_force(spark, seed):
+    t = make_tables(seed)
+    b = Brute(t)
+    m = spark_model(spark, t)
+    months = sorted({s[3].month for s in b.period(YEAR)})
+    month = months[len(months) // 2] if months else 6
+    cur, prev = b.period(YEAR, month), b.period(YEAR - 1, month)
+    k = reports.kpi_report(m, YEAR, month).collect()[0]
+    assert (k["revenue"], k["prev_revenue"]) == (b.revenue(cur), b.revenue(prev))
+    assert (k["order_count"], k["prev_order_count"]) == (b.orders(cur), b.orders(prev))
+    assert k["aov"] == b.aov(cur)
+    assert k["aov_growth"] == guarded(b.aov(cur), b.aov(prev))
+    assert k["avg_monthly_growth"] is None
+    table = b.review_table(cur)
+    assert k["avg_score"] == b.mean([r[3] for r in table])
+    assert k["avg_delivery_days"] == b.mean([r[1] for r in table])
+    s = reports.summary(m, YEAR, month).collect()[0]
+    cats = b.category(cur)
+    states = b.state(cur)
+    top_cat = min(cats, key=lambda c: (-cats[c], c)) if cats else None
+    top_state = min(states, key=lambda c: (-states[c], c)) if states else None
+    assert (s["top_category"], s["top_state"]) == (top_cat, top_state)
