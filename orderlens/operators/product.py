@@ -36,7 +36,7 @@ def revenue_by_category(sales: DataFrame, products: DataFrame) -> DataFrame:
     return (
         per_product.join(cats, "product_id")
         .groupBy("product_category_name")
-        .agg(units_to_money(F.sum("key_revenue")).alias("revenue"))
+        .agg(units_to_money("sum(key_revenue)").alias("revenue"))
         .orderBy(F.desc("revenue"), F.asc("product_category_name"))
     )
 
@@ -98,7 +98,7 @@ def _state_revenue_from_customers(per_customer: DataFrame, customers: DataFrame)
     return (
         per_customer.join(states, "customer_id")
         .groupBy("customer_state")
-        .agg(units_to_money(F.sum("key_revenue")).alias("price"))
+        .agg(units_to_money("sum(key_revenue)").alias("price"))
         .orderBy(F.desc("price"), F.asc("customer_state"))
     )
 

@@ -7,20 +7,24 @@ Metrics never filter by period themselves, as in the reference.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import growth, safe_ratio, units_sum, units_to_money
+from ..functions.columns import growth, money_total, safe_ratio, safe_ratio_sql, units_sum, units_sum_sql, units_to_money_sql
 from .sales import price_units
 
 
+# The previous month present in the (at most twelve) monthly rows.
+PREVIOUS_MONTH = "lag(revenue) OVER (ORDER BY month)"
+
+
 def total_revenue(sales: DataFrame) -> DataFrame:
     """Sum of prices; no rows give 0.0."""
-    return sales.agg(units_to_money(units_sum(price_units(sales))).alias("revenue"))
+    return sales.agg(money_total(price_units(sales)).alias("revenue"))
 
 
 def _monthly(sales: DataFrame) -> DataFrame:
-    revenue = units_to_money(units_sum(price_units(sales))).alias("revenue")
+    revenue = money_total(price_units(sales)).alias("revenue")
     return sales.where(F.col("month").isNotNull()).groupBy("month").agg(revenue)
 
 
@@ -35,7 +39,7 @@ def revenue_year_month(sales: DataFrame) -> DataFrame:
     return (
         sales.where(F.col("year").isNotNull() & F.col("month").isNotNull())
         .groupBy("year", "month")
-        .agg(units_to_money(units_sum(price_units(sales))).alias("revenue"))
+        .agg(money_total(price_units(sales)).alias("revenue"))
         .orderBy("year", "month")
     )
 
@@ -51,8 +55,7 @@ def monthly_growth(sales: DataFrame) -> DataFrame:
 
 
 def _growth(sales: DataFrame) -> DataFrame:
-    w = Window.orderBy("month")
-    return _monthly(sales).withColumn("growth", growth(F.col("revenue"), F.lag("revenue").over(w)))
+    return _monthly(sales).withColumn("growth", growth("revenue", PREVIOUS_MONTH))
 
 
 def avg_monthly_growth(sales: DataFrame) -> DataFrame:
@@ -62,8 +65,7 @@ def avg_monthly_growth(sales: DataFrame) -> DataFrame:
 
 def avg_growth_of_months(monthly: DataFrame) -> DataFrame:
     """Mean month-over-month growth of ``month, revenue`` rows (at most twelve)."""
-    w = Window.orderBy("month")
-    g = monthly.withColumn("growth", growth(F.col("revenue"), F.lag("revenue").over(w)))
+    g = monthly.withColumn("growth", growth("revenue", PREVIOUS_MONTH))
     return g.agg(F.avg("growth").alias("avg_monthly_growth"))
 
 
@@ -74,9 +76,8 @@ def aov(sales: DataFrame) -> DataFrame:
     whose prices are all missing counts with 0.  ``count_distinct`` plans as a partial
     aggregation keyed by ``order_id`` -- the same shuffle that gives the order count.
     """
-    keyed = F.col("order_id").isNotNull()
-    total = units_to_money(units_sum(F.when(keyed, price_units(sales))))
-    return sales.agg(safe_ratio(total, F.count_distinct("order_id")).alias("aov"))
+    total = units_to_money_sql(units_sum_sql(f"CASE WHEN order_id IS NOT NULL THEN {price_units(sales)} END"))
+    return sales.agg(F.expr(safe_ratio_sql(total, "count(DISTINCT order_id)")).alias("aov"))
 
 
 def order_count(sales: DataFrame, approx_rsd: float | None = None) -> DataFrame:
@@ -122,13 +123,11 @@ def period_comparison(sales: DataFrame, current, previous) -> DataFrame:
 
 def comparison_from_orders(per_order: DataFrame) -> DataFrame:
     """The two-period comparison from ``is_current, order_id, order_revenue`` rows."""
-    cur = F.col("is_current")
-    rev = F.col("order_revenue")
     agg = per_order.agg(
-        units_to_money(units_sum(F.when(cur, rev))).alias("revenue"),
-        units_to_money(units_sum(F.when(~cur, rev))).alias("prev_revenue"),
-        F.count(F.when(cur, F.lit(1))).alias("order_count"),
-        F.count(F.when(~cur, F.lit(1))).alias("prev_order_count"),
+        money_total("CASE WHEN is_current THEN order_revenue END").alias("revenue"),
+        money_total("CASE WHEN NOT is_current THEN order_revenue END").alias("prev_revenue"),
+        F.expr("count(CASE WHEN is_current THEN 1 END)").alias("order_count"),
+        F.expr("count(CASE WHEN NOT is_current THEN 1 END)").alias("prev_order_count"),
     )
     # Sales come from an inner equi-join on order_id, so no row lacks an order id
     # and the per-order totals add up to the whole revenue.
@@ -137,6 +136,6 @@ def comparison_from_orders(per_order: DataFrame) -> DataFrame:
         "prev_revenue",
         "order_count",
         "prev_order_count",
-        safe_ratio(F.col("revenue"), F.col("order_count")).alias("aov"),
-        safe_ratio(F.col("prev_revenue"), F.col("prev_order_count")).alias("prev_aov"),
+        safe_ratio("revenue", "order_count").alias("aov"),
+        safe_ratio("prev_revenue", "prev_order_count").alias("prev_aov"),
     )

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import DELIVERED_STATUS, MONEY_SCALE, money_units, units_sum, units_to_money
+from ..functions.columns import DELIVERED_STATUS, MONEY_SCALE, money_units_sql, units_sum, units_to_money
 
 PURCHASE_TS = "order_purchase_timestamp"
 DELIVERED_TS = "order_delivered_customer_date"
@@ -37,10 +37,10 @@ SALES_COLUMNS = (
 )
 
 
-def price_units(sales: DataFrame) -> Column:
-    """Exact money units of a sales frame's ``price``: the stored ``price_units`` of the
-    order grain, or the line price converted."""
-    return F.col("price_units") if "price_units" in sales.columns else money_units("price")
+def price_units(sales: DataFrame) -> str:
+    """SQL for the exact money units of a sales frame's ``price``: the stored
+    ``price_units`` of the order grain, or the line price converted."""
+    return "price_units" if "price_units" in sales.columns else money_units_sql("price")
 
 
 def parse_timestamps(df: DataFrame, columns=(PURCHASE_TS, DELIVERED_TS), lenient: bool = False) -> DataFrame:
@@ -99,7 +99,7 @@ def build_order_sales(
     ``revenue_by_state(assume_unique_orders=True)``).
     """
     totals = order_items.groupBy("order_id").agg(
-        units_sum(money_units("price", scale)).alias("price_units"),
+        units_sum(money_units_sql("price", scale)).alias("price_units"),
         F.count(F.lit(1)).alias("n_items"),
     )
     extra = ("customer_id",) if carry_customer else ()
@@ -118,8 +118,8 @@ def build_order_sales(
     )
 
 
-def _ts_literal(value: dt.datetime) -> Column:
-    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S")).cast(T.TimestampNTZType())
+def _ts_literal(value: dt.datetime) -> str:
+    return "TIMESTAMP_NTZ '" + value.strftime("%Y-%m-%d %H:%M:%S") + "'"
 
 
 def period_range(year: int, month: int | None = None) -> tuple[dt.datetime, dt.datetime]:
@@ -138,14 +138,13 @@ def period_predicate(year: int, month: int | None = None, ts_col: str | None = P
     timestamp column is pushed to the scan (row-group skipping) and to the orders side of
     every join.  Both are equivalent, so the result does not change (R3).
     """
-    cond = F.col("year") == F.lit(year)
+    cond = f"year = {int(year)}"
     if month is not None:
-        cond = cond & (F.col("month") == F.lit(month))
+        cond += f" AND month = {int(month)}"
     if ts_col is not None:
         start, end = period_range(year, month)
-        ts = F.col(ts_col)
-        cond = cond & (ts >= _ts_literal(start)) & (ts < _ts_literal(end))
-    return cond
+        cond += f" AND {ts_col} >= {_ts_literal(start)} AND {ts_col} < {_ts_literal(end)}"
+    return F.expr(cond)
 
 
 def filter_by_period(df: DataFrame, year: int, month: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -20,10 +20,11 @@ from ..functions.columns import (
     month_name,
     period_label,
     round_half_even,
-    safe_ratio,
+    safe_ratio_sql,
     score_label,
-    units_to_money,
     trend_columns,
+    units_to_money,
+    units_to_money_sql,
 )
 from ..operators.experience import (
     delivery_metrics,
@@ -52,6 +53,10 @@ def collapse_rows(frames: list[DataFrame]) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in cols])
 
 
+def _label(year: int, month: int | None) -> Column:
+    return period_label(str(int(year)), None if month is None else str(int(month)))
+
+
 def _periods(year: int, month: int | None, comparison_year: int | None) -> tuple[Column, Column, int]:
     cmp_year = year - 1 if comparison_year is None else comparison_year
     return period_predicate(year, month), period_predicate(cmp_year, month), cmp_year
@@ -136,7 +141,7 @@ def kpi_report(model: SalesModel, year: int, month: int | None = None) -> DataFr
         F.lit(year).alias("year"),
         F.lit(month).cast("int").alias("month"),
         F.lit(cmp_year).alias("comparison_year"),
-        period_label(F.lit(year), F.lit(month).cast("int")).alias("period_label"),
+        _label(year, month).alias("period_label"),
         "revenue",
         "prev_revenue",
         guarded_growth("revenue", "prev_revenue").alias("revenue_growth"),
@@ -157,10 +162,10 @@ def kpi_report(model: SalesModel, year: int, month: int | None = None) -> DataFr
         round_half_even("avg_score", 2).alias("avg_score_rounded"),
         currency_label("revenue").alias("revenue_label"),
         currency_label("aov").alias("aov_label"),
-        *trend_columns(F.col("revenue_growth"), prefix="revenue_"),
-        *trend_columns(F.col("aov_growth"), prefix="aov_"),
-        *trend_columns(F.col("order_growth"), prefix="order_"),
-        *trend_columns(F.col("delivery_growth"), inverted=True, prefix="delivery_"),
+        *trend_columns("revenue_growth", prefix="revenue_"),
+        *trend_columns("aov_growth", prefix="aov_"),
+        *trend_columns("order_growth", prefix="order_"),
+        *trend_columns("delivery_growth", inverted=True, prefix="delivery_"),
     )
 
 
@@ -172,10 +177,10 @@ def monthly_trend(model: SalesModel, year: int) -> DataFrame:
     """
     cmp_year = year - 1
     sales = model.order_sales.where(period_predicate(year) | period_predicate(cmp_year))
-    cur = F.col("year") == year
+    units = price_units(sales)
     by_month = sales.groupBy("month").agg(
-        F.sum(F.when(cur, price_units(sales))).alias("cur"),
-        F.sum(F.when(~cur, price_units(sales))).alias("prev"),
+        F.expr(f"sum(CASE WHEN year = {year} THEN {units} END)").alias("cur"),
+        F.expr(f"sum(CASE WHEN NOT (year = {year}) THEN {units} END)").alias("prev"),
     )
     spark = model.orders.sparkSession
     grid = spark.range(1, 13).select(F.col("id").cast("int").alias("month"))
@@ -184,8 +189,8 @@ def monthly_trend(model: SalesModel, year: int) -> DataFrame:
         .select(
             "month",
             month_name("month", short=True).alias("month_name"),
-            units_to_money(F.coalesce(F.col("cur"), F.lit(0))).alias("revenue"),
-            units_to_money(F.coalesce(F.col("prev"), F.lit(0))).alias("prev_revenue"),
+            units_to_money("coalesce(cur, 0)").alias("revenue"),
+            units_to_money("coalesce(prev, 0)").alias("prev_revenue"),
         )
         .orderBy("month")
     )
@@ -240,7 +245,7 @@ def summary(model: SalesModel, year: int, month: int | None = None, comparison_y
         F.lit(year).alias("year"),
         F.lit(month).cast("int").alias("month"),
         F.lit(cmp_year).alias("comparison_year"),
-        period_label(F.lit(year), F.lit(month).cast("int")).alias("period_label"),
+        _label(year, month).alias("period_label"),
         "revenue",
         growth("revenue", "prev_revenue").alias("revenue_growth"),
         "aov",
@@ -281,20 +286,20 @@ def period_cube(model: SalesModel) -> DataFrame:
         "month",
         units_to_money("rev").alias("revenue"),
         "order_count",
-        safe_ratio(units_to_money("rev"), F.col("order_count")).alias("aov"),
+        F.expr(safe_ratio_sql(units_to_money_sql("rev"), "order_count")).alias("aov"),
     )
-    year_before = Window.partitionBy("month").orderBy("year").rangeBetween(-1, -1)
-    prev = {c: F.max(c).over(year_before) for c in ("revenue", "order_count", "aov")}
+    year_before = "OVER (PARTITION BY month ORDER BY year RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
+    prev = {c: f"max({c}) {year_before}" for c in ("revenue", "order_count", "aov")}
     return cells.select(
         "year",
         "month",
-        period_label(F.col("year"), F.col("month")).alias("period_label"),
+        period_label("year", "month").alias("period_label"),
         "revenue",
         "order_count",
         "aov",
-        guarded_growth(F.col("revenue"), prev["revenue"]).alias("revenue_growth"),
-        guarded_growth(F.col("aov"), prev["aov"]).alias("aov_growth"),
-        guarded_growth(F.col("order_count"), prev["order_count"]).alias("order_growth"),
+        guarded_growth("revenue", prev["revenue"]).alias("revenue_growth"),
+        guarded_growth("aov", prev["aov"]).alias("aov_growth"),
+        guarded_growth("order_count", prev["order_count"]).alias("order_growth"),
         currency_label("revenue").alias("revenue_label"),
         currency_label("aov").alias("aov_label"),
     ).orderBy("year", F.asc_nulls_first("month"))

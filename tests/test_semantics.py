@@ -271,7 +271,7 @@ def test_s23_labels_round_like_python(spark):
         assert r["label"] == _py_currency(r["v"]), r["v"]
         assert r["r2"] == round(r["v"], 2)
     g = spark.createDataFrame([(0.123456,), (-0.00004,), (0.0,)], "g double")
-    trend = g.select(*trend_columns(F.col("g"), prefix="x_")).collect()
+    trend = g.select(*trend_columns("g", prefix="x_")).collect()
     assert [(t["x_trend_dir"], t["x_trend_pct"]) for t in trend] == [("up", "12.35"), ("down", "0.00"), ("up", "0.00")]
     assert [f"{abs(x * 100):.2f}" for x in (0.123456, -0.00004, 0.0)] == ["12.35", "0.00", "0.00"]
 
