@@ -95,12 +95,11 @@ def experience_comparison(model: SalesModel, orders_by_period: DataFrame) -> Dat
     left = orders_by_period.select("is_current", "order_id", "delivery_speed", "delivery_time").dropDuplicates()
     right = model.reviews.select("order_id", "review_score").dropDuplicates()
     table = left.join(right, "order_id").dropDuplicates()
-    cur = F.col("is_current")
     return table.agg(
-        F.avg(F.when(cur, F.col("review_score"))).alias("avg_score"),
-        F.avg(F.when(cur, F.col("delivery_speed"))).alias("avg_delivery_days"),
-        F.avg(F.when(~cur, F.col("review_score"))).alias("prev_avg_score"),
-        F.avg(F.when(~cur, F.col("delivery_speed"))).alias("prev_avg_delivery_days"),
+        F.expr("avg(CASE WHEN is_current THEN review_score END)").alias("avg_score"),
+        F.expr("avg(CASE WHEN is_current THEN delivery_speed END)").alias("avg_delivery_days"),
+        F.expr("avg(CASE WHEN NOT is_current THEN review_score END)").alias("prev_avg_score"),
+        F.expr("avg(CASE WHEN NOT is_current THEN delivery_speed END)").alias("prev_avg_delivery_days"),
     )
 
 
@@ -121,12 +120,11 @@ def kpi_report(model: SalesModel, year: int, month: int | None = None) -> DataFr
     )
     parts = [comp, exp]
     if month is None:
-        cur = F.col("is_current")
         monthly = (
             per_order_month.groupBy("month")
             .agg(
-                F.sum(F.when(cur, F.col("order_revenue"))).alias("units"),
-                F.count(F.when(cur, F.lit(1))).alias("n_current"),
+                F.expr("sum(CASE WHEN is_current THEN order_revenue END)").alias("units"),
+                F.expr("count(CASE WHEN is_current THEN 1 END)").alias("n_current"),
             )
             .where(F.col("n_current") > 0)
             .select("month", units_to_money("units").alias("revenue"))
@@ -227,12 +225,11 @@ def summary(model: SalesModel, year: int, month: int | None = None, comparison_y
     ).select(F.col("product_category_name").alias("top_category"))
     # Current-period revenue per order from the comparison's per-order rows: conditional sums
     # instead of a filter keep the shared aggregation (and its exchanges) identical.
-    cur = F.col("is_current")
     cur_per_order = (
         per_order.groupBy("order_id")
         .agg(
-            F.sum(F.when(cur, F.col("order_revenue"))).alias("key_revenue"),
-            F.count(F.when(cur, F.lit(1))).alias("n_current"),
+            F.expr("sum(CASE WHEN is_current THEN order_revenue END)").alias("key_revenue"),
+            F.expr("count(CASE WHEN is_current THEN 1 END)").alias("n_current"),
         )
         .where(F.col("n_current") > 0)
         .select("order_id", "key_revenue")
