@@ -18,7 +18,8 @@ from functools import lru_cache
 
 _PIECE = re.compile(r"\s*\S+|\s+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-CACHE_ENTRIES = 500_000
+_MARKS = ".,;:!?"
+CACHE_ENTRIES = 250_000
 
 
 @lru_cache(maxsize=4)
@@ -40,38 +41,68 @@ class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers, or their counts."""
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
-        self.tokenizer = load_tokenizer(path)
+        import numpy as np
+
+        tokenizer = load_tokenizer(path)
+        self._encode = tokenizer.encode_batch_fast
+        vocab = tokenizer.get_vocab()
+        # a byte-level vocabulary string has one character per byte
+        self._bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for token, i in vocab.items():
+            self._bytes[i] = len(token)
         self.cache_entries = cache_entries
         self._cache: dict[str, bytes] = {}
-        self._sizes: dict[str, int] = {}
-
-    def _split(self, texts: list[str]) -> list[list[str]]:
-        return [[t] if _SEPARATORS.search(t) else _PIECE.findall(t) for t in texts]
-
-    def _fill(self, cache: dict, pieces: list[list[str]], value) -> None:
-        missing = {p for ps in pieces for p in ps if p not in cache}
-        if len(cache) + len(missing) > self.cache_entries:
-            cache.clear()
-            missing = {p for ps in pieces for p in ps}
-        todo = list(missing)
-        for lo in range(0, len(todo), 2000):
-            part = todo[lo : lo + 2000]
-            for piece, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[piece] = value(enc)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        return [text] if _SEPARATORS.search(text) else _PIECE.findall(text)
+
+    def _fill(self, missing: set[str]) -> None:
+        """Put the ids of pieces into the cache.
+
+        A piece that ends in marks is put together from its word and its marks: between a
+        letter and a mark there is always a pre-token boundary.  Words of a blank and
+        letters are one pre-token each, so a whole list of them is encoded as one text.
+        """
         import numpy as np
 
-        pieces = self._split(texts)
-        self._fill(self._cache, pieces, lambda e: np.array(e.ids, dtype="<u4").tobytes())
+        cache = self._cache
+        parts = {}
+        for piece in missing:
+            word = piece.rstrip(_MARKS)
+            if word and len(word) < len(piece) and word[-1].isalpha():
+                parts[piece] = (word, piece[len(word) :])
+        todo = missing.difference(parts)
+        todo.update(*parts.values())
+        todo.difference_update(cache)
+        plain = [w for w in todo if w[0] == " " and w[1:].isalpha()]
+        for lo in range(0, len(plain), 5000):
+            words = plain[lo : lo + 5000]
+            ids = np.array(self._encode(["".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            # tokens share out the bytes of the text, so byte counts find the words' ends
+            ends = np.searchsorted(self._bytes[ids].cumsum(), np.cumsum([len(w.encode()) for w in words])) + 1
+            raw, at = ids.tobytes(), (4 * ends).tolist()
+            cache.update((w, raw[a:b]) for w, a, b in zip(words, [0, *at], at))
+        rest = list(todo.difference(plain))
+        for lo in range(0, len(rest), 2000):
+            some = rest[lo : lo + 2000]
+            for piece, enc in zip(some, self._encode(some, add_special_tokens=False)):
+                cache[piece] = np.array(enc.ids, dtype="<u4").tobytes()
+        for piece, (word, marks) in parts.items():
+            cache[piece] = cache[word] + cache[marks]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        pieces = [self._split(t) for t in texts]
+        missing = set().union(*pieces)
+        if len(self._cache) > self.cache_entries:
+            self._cache.clear()
+        missing.difference_update(self._cache)
+        self._fill(missing)
         get = self._cache.__getitem__
         return [b"".join(map(get, ps)) for ps in pieces]
 
     def count(self, texts: list[str]) -> list[int]:
-        pieces = self._split(texts)
-        self._fill(self._sizes, pieces, len)
-        get = self._sizes.__getitem__
-        return [sum(map(get, ps)) for ps in pieces]
+        return [len(ids) // 4 for ids in self.encode(texts)]
 
 
 def text_slices(column, rows: int = 256):
