@@ -27,20 +27,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.tokens import load_tokenizer, text_slices
+from orderlens.llm.tokens import byte_characters, load_tokenizer, text_slices
 
 CACHE_ENTRIES = 300_000
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-def byte_characters() -> list[str]:
-    """The printable character that stands for each byte: itself where it is printable, the
-    next code point from 256 on otherwise."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
-
-
 class BpeCodec:
     """Encoder and decoder of a word-level BPE file with a word-end suffix."""
 

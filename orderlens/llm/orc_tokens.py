@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm.tokens import piece_encoder, text_slices
+from orderlens.llm.tokens import text_encoder, text_slices
 
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
@@ -47,7 +47,7 @@ def write_token_orc(
     def encode(batches):
         from pyspark import TaskContext
 
-        encoder, file_no, start = piece_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, file_no, start = text_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column("text")
             for lo, part in text_slices(texts):

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.tokens import load_tokenizer, piece_encoder, text_slices
+from orderlens.llm.tokens import load_tokenizer, text_encoder, text_slices
 from orderlens.session import checkpoint_table
 
 CHUNK_CHARS = 32_768
@@ -167,7 +167,7 @@ def count_tokens(
     size = F.length("text")
 
     def count(batches):
-        encoder = piece_encoder(tokenizer_path)
+        encoder = text_encoder(tokenizer_path)
         for batch in batches:
             texts = batch.column("text")
             n = [c for _, part in text_slices(texts) for c in encoder.count(part)]

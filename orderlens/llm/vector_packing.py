@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.tokens import piece_encoder, text_slices
+from orderlens.llm.tokens import text_encoder, text_slices
 
 MAX_TOKENS = 1024
 MAX_SEGMENTS = 256
@@ -235,7 +235,7 @@ def pack_documents(
         import numpy as np
         from pyspark.sql.pandas.types import to_arrow_type
 
-        encoder, packer = piece_encoder(tokenizer_path), VectorPacker(limits, _first_sequence())
+        encoder, packer = text_encoder(tokenizer_path), VectorPacker(limits, _first_sequence())
         end = np.array([end_id], dtype="<u4").tobytes()
 
         def pieces():

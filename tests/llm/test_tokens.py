@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from orderlens.llm import queries
 from orderlens.llm.orc_tokens import read_token_orc, write_token_orc
 from orderlens.llm.token_counts import count_tokens
-from orderlens.llm.tokens import PieceEncoder, load_tokenizer
+from orderlens.llm.tokens import TextEncoder, load_tokenizer, text_encoder
 from orderlens.llm.vector_packing import Limits, VectorPacker, pack_documents, pack_examples
 
 SF = "/root/testdata/sf0.001"
@@ -23,7 +23,7 @@ TOK = load_tokenizer(PATH)
 EDGE = [
     (1, None), (2, ""), (3, " "), (4, "a  b\n\n c\t\td "), (5, "x<|endoftext|>y <|endoftext|> z"),
     (6, "it's we'll  they've n b"), (7, "a\x1cb !\x1d \x1e"), (8, "word " * 5000), (9, "x" * 3000),
-    (9, "x" * 3000), (None, "null id"), (10, "日本語テキスト " * 400 + "🙂" * 500), (11, "<|endof" * 300 + "<|endoftext|>" * 300),
+    (9, "x" * 3000), (12, "y" * 60000 + " z"), (None, "null id"), (10, "日本語テキスト " * 400 + "🙂" * 500), (11, "<|endof" * 300 + "<|endoftext|>" * 300),
 ]
 
 
@@ -39,13 +39,32 @@ def edge(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from("ab'sT1 \n\t 　\x1c\x85é!<|>日"), max_size=40))
-def test_pieces_equal_whole_text(text):
-    enc = PieceEncoder(PATH, cache_entries=50)
+@given(st.text(st.sampled_from("ab'sT1 \n\t \u3000\x1c\x85é!<|>日"), max_size=40))
+def test_encoder_equals_library(text):
+    enc = text_encoder(PATH)
     assert np.frombuffer(enc.encode([text])[0], dtype="<u4").tolist() == ref(text)
     assert enc.count([text]) == [len(ref(text))]
 
 
+def test_engine_is_proven_and_agrees_over_code_points():
+    enc = text_encoder(PATH)
+    assert enc.engine is not None
+    texts = [f"a{c}b 1{c}2 {c}{c} !{c}?\n{c} x" for c in map(chr, [*range(0x300), *range(0x300, 0xD800, 37), *range(0x10000, 0x20000, 101)])]
+    want = [e.ids for e in TOK.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == want
+
+
+def test_engine_is_refused_without_proof(tmp_path):
+    import json
+
+    spec = json.load(open(PATH))
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    enc = TextEncoder(str(tmp_path / "t.json"))
+    assert enc.engine is None
+    assert np.frombuffer(enc.encode(["ABC Def"])[0], "<u4").tolist() == ref("abc def")
+
+
 def test_counts_with_tiny_windows(spark, edge):
     rows = count_tokens(edge, PATH, chunk_chars=256, overlap=64).collect()
     got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in rows)
