@@ -20,7 +20,7 @@ def spark():
 
     from orderlens.session import COMMON_CONF, ensure_checkpoint_dir
 
-    builder = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+    builder = SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[*]")).config("spark.sql.shuffle.partitions", "8")
     for k, v in COMMON_CONF.items():
         builder = builder.config(k, v)
     session = builder.getOrCreate()
