@@ -41,7 +41,7 @@ MARKS = r"[!#*$%&|<>=~^_{}\\]"
 SEPARATORS = r"[|»›•·]"
 SENTENCE_END = r"[.!?:;,…\"')\]»。！？][\x20\x09-\x0D]*$"
 BOILERPLATE = (
-    r"(?i)all rights reserved|licensed under|released under the|privacy policy|terms of (use|service)"
+    r"(?i)all rights reserved|privacy policy|terms of (use|service)"
     r"|cookie|copyright|©|click here|read more|sign (in|up)|log ?in |subscribe|enable javascript"
     r"|lorem ipsum|powered by"
 )
@@ -103,7 +103,9 @@ def clean_lines(
     extra = [F.struct(*[docs[c] for c in docs.columns]).alias("source")] if carry else []
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *extra)
     body = F.regexp_replace("text", f"^{BLANK}+|{BLANK}+$", "")
-    frame = base.withColumn("_words", F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, BLANK + "+")))
+    frame = base.withColumn("_body", body).withColumn(
+        "_words", F.expr(f"CASE WHEN _body = '' THEN CAST(array() AS array<string>) ELSE split(_body, r'{BLANK}+') END")
+    )
     frame = _repeat_words(frame, "_words")
     frame = frame.withColumn("_lines", F.split("text", "\n"))
     with_words = F.filter("_lines", lambda x: x.rlike(WORD))
@@ -122,14 +124,17 @@ def clean_lines(
         F.col("_repeat").alias("n_repeat_words"),
         "_clean_chars",
         "clean_text",
+        # A row number keeps filters on the verdict above this projection: pushed below, they
+        # would repeat the arrays' expressions once per element.
+        F.monotonically_increasing_id().alias("_row"),
         *(["source"] if carry else []),
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    failed = (F.col("_row") >= 0) & ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     lost = F.col("word_chars") - F.col("_clean_chars")
     return (
         frame.withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (lost <= MAX_LOSS * F.col("word_chars")))
-        .drop("_clean_chars")
+        .drop("_clean_chars", "_row")
     )
 
 
@@ -163,7 +168,7 @@ f AS (SELECT doc_id, k, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))
              len(regexp_extract_all(line, '[|»›•·]')) AS seps FROM l),
 j AS (SELECT *, n > 0 AND (2 * marks > n OR (seps >= 2 AND 4 * seps >= n)
         OR (n <= 3 AND NOT regexp_matches(line, '[.!?:;,…"'')\]»。！？][\x20\x09-\x0D]*$'))
-        OR (n <= 25 AND regexp_matches(line, '(?i)all rights reserved|licensed under|released under the|privacy policy|terms of (use|service)|cookie|copyright|©|click here|read more|sign (in|up)|log ?in |subscribe|enable javascript|lorem ipsum|powered by'))) AS fails FROM f),
+        OR (n <= 25 AND regexp_matches(line, '(?i)all rights reserved|privacy policy|terms of (use|service)|cookie|copyright|©|click here|read more|sign (in|up)|log ?in |subscribe|enable javascript|lorem ipsum|powered by'))) AS fails FROM f),
 c AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
              coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (fails), 0) AS lost
       FROM j GROUP BY doc_id),

@@ -118,10 +118,15 @@ def edit_distance_within(a: str, b: str, max_edits: int) -> str:
 def verified(pairs: DataFrame, a: str, b: str, max_edits: int) -> DataFrame:
     """The rows whose strings a and b are at most ``max_edits`` edits apart."""
     longer = f"length({a}) >= length({b})"
-    chars = pairs.withColumn("_long", F.expr(f"split(CASE WHEN {longer} THEN {a} ELSE {b} END, '')")).withColumn(
-        "_short", F.expr(f"split(CASE WHEN {longer} THEN {b} ELSE {a} END, '')")
+    chars = pairs.select(
+        *pairs.columns,
+        F.expr(f"split(CASE WHEN {longer} THEN {a} ELSE {b} END, '')").alias("_long"),
+        F.expr(f"split(CASE WHEN {longer} THEN {b} ELSE {a} END, '')").alias("_short"),
+        # keeps the filter above this projection, so a string is split once, not once per step
+        F.monotonically_increasing_id().alias("_row"),
     )
-    return chars.filter(F.expr(edit_distance_within("_long", "_short", max_edits))).select(*pairs.columns)
+    near = F.expr(edit_distance_within("_long", "_short", max_edits))
+    return chars.filter((F.col("_row") >= 0) & near).select(*pairs.columns)
 
 
 def _bounded(df: DataFrame) -> DataFrame:

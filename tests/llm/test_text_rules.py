@@ -16,6 +16,7 @@ from orderlens.llm import line_cleaning, queries, secret_scan
 from orderlens.llm.bpe_codec import BpeCodec, codec, encode_decode
 
 SF = "/root/testdata/sf0.001"
+SF10 = "/root/testdata/sf0.01"
 WORD = public_tokenizers.path("word_bpe_49k.json")
 
 EDGE = [
@@ -94,9 +95,9 @@ def test_line_cleaning_keeps_good_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = queries.op3_line_cleaning(spark, sf).join(labels, "doc_id").collect()
-    good = [r.kept for r in rows if r.quality == 1 and r.n_words >= 10]
+    good = [r.kept for r in rows if r.quality == 1 and not r.base_failed]
     junk = [r.kept for r in rows if r.quality == 0]
-    assert sum(good) / len(good) > 0.99
+    assert all(good) and len(good) > 300
     assert sum(junk) / len(junk) < 0.2
 
 
@@ -186,7 +187,7 @@ def literals(text):
         ('{"accessKey": "q8Hn 2Lp0 zzT4", "user": "q8Hn 2Lp0 zzT4x"}', ["q8Hn 2Lp0 zzT4"]),
         ('cfg["signing_key"] = "9fA0-Zp3k-11Qe"', ["9fA0-Zp3k-11Qe"]),
         ("<privateKey>MIIB0z9-x8</privateKey>", ["MIIB0z9-x8"]),
-        ("x = y = 'rT55-pl0Q-88'\nmaster_key: y", []),
+        ("x = y = 'rT55-pl0Q-88'\nmaster_key: y", ["rT55-pl0Q-88"]),
         ("y = 'rT55-pl0Q-88'\nmaster_key: y", ["rT55-pl0Q-88"]),
         ("passphrase = z = 'rT55-pl0Q-88'", ["rT55-pl0Q-88"]),
         ("DB_PASSWD=h4x0r!9z", ["h4x0r!9z"]),
@@ -221,8 +222,8 @@ def test_scan_edges_and_redaction(spark, edge):
 
 
 def test_op10_digests(spark):
-    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    rows = queries.op10_secret_scan(spark, SF).collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF10}/documents.parquet").collect()}
+    rows = queries.op10_secret_scan(spark, SF10).collect()
     hits = 0
     for r in rows:
         base = sorted(brute_base(docs[r.doc_id]), key=lambda s: (s[1], secret_scan.KINDS.index(s[0])))
