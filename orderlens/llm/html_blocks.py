@@ -82,7 +82,7 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
     parts: list[str] = []
     link_parts: list[str] = []
     in_link = heading = 0
-    opaque, at = "", 0
+    at = 0
 
     def flush() -> None:
         nonlocal parts, link_parts
@@ -100,23 +100,20 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
         if in_link:
             link_parts.append(text)
 
-    for m in _TAG.finditer(page):
-        if not opaque and m.start() > at:
+    while m := _TAG.search(page, at):
+        if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if opaque:
-            # the body starts even where the head was never closed
-            if (tag == opaque and closing) or (opaque == "head" and tag == "body"):
-                opaque = ""
-            else:
-                continue
-        elif tag in _OPAQUE:
+        if tag in _OPAQUE:
             if not closing and not attributes.rstrip().endswith("/"):
-                opaque = tag
+                # the body starts even where the head was never closed
+                end = re.compile(r"</%s\s*>%s" % (re.escape(tag), r"|(?=<body\b)" if tag == "head" else ""), re.IGNORECASE)
+                stop = end.search(page, at)
+                at = stop.end() if stop else len(page)
             continue
         if tag == "a":
             in_link = 0 if closing else 1
@@ -146,8 +143,7 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
             stack.append((tag, kind))
         elif attributes and _kind(tag, attributes) == -1:
             stack.append((tag, -1))
-    if not opaque:
-        add(page[at:])
+    add(page[at:])
     flush()
     out = []
     for i, (text, n, linked, head, nearest, foreign) in enumerate(blocks):
@@ -219,6 +215,16 @@ _LABELLED_PAGES: list[list[tuple[int, str]]] = [
     [(1, f"<article><p>{_LONG}</p><p><a href='/s'>{_LONG}</a></p><table><tr><td>12</td><td>{_SHORT}</td></tr></table></article>"), (0, f"<aside><article><p>{_LONG}</p></article></aside>"), (0, f"<nav><p>{_LONG}</p></nav>")],
     [(0, f'<div class="menu"><p>Menu</p><ul>{_MENU}</ul></div>'), (1, f"<article><blockquote>{_LONG}</blockquote><p>One</p><p>Two</p><p>Three words here</p></article>"), (0, '<div class="share"><a href="#">Share</a></div>')],
     [(1, f"<div><p>{_LONG} {_LONG}</p></div>"), (0, "<div>All rights reserved</div>")],
+    [(1, f"<article><h1>The bridge</h1><p>{_LONG}</p><p>{_SHORT}</p></article>")],
+    [(1, f"<main><p>{_SHORT}</p><p>{_LONG}</p><p>One</p></main>")],
+    [(1, f"<article><p>{_SHORT}</p></article>")],
+    [(1, f'<div class="post"><p>{_SHORT}</p><p><a href="/s">Two words</a></p></div>')],
+    [(1, "<article><p>One</p><p>Two</p></article>"), (0, f'<div class="ad">{_SHORT}</div>')],
+    [(1, f"<article><p>{_LONG} {_LONG}</p><p><a href='/s'>{_SHORT}</a></p><h3>End</h3></article>")],
+    [(0, f'<div class="banner">{_LONG}</div>'), (1, f"<main><h1>One</h1><p>{_LONG} {_LONG}</p></main>")],
+    [(1, f"<p>{_LONG}</p><p>{_LONG}</p>")],
+    [(1, f"<p>{_LONG} {_LONG}</p>")],
+    [(0, f'<div class="sponsored"><p>{_LONG} {_LONG}</p></div>')],
     [(0, "<div>Welcome</div>"), (1, f"<div><h1>The bridge</h1><p>{_LONG} {_LONG}</p><p>{_LONG}</p></div>"), (0, "<div>12 March</div>"), (0, f"<ul>{_MENU}</ul>")],
 ]
 

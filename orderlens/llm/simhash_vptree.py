@@ -270,6 +270,31 @@ def linked_pairs(
     return spread.groupBy("shard", "r", "c").applyInPandas(links, "a long, b long")
 
 
+def _placed(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    shingle: int,
+    max_bits: int,
+    blocks: int,
+    leaf_rows: int,
+    cell_rows: int,
+    sample_rows: int,
+) -> DataFrame:
+    """(id, fp, root, component_id) per input row; root is the component's smallest fingerprint
+    (ids may repeat, so they do not name components)."""
+    rows = checkpoint_table(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    distinct = checkpoint_table(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
+    edges = linked_pairs(distinct, max_bits, blocks, leaf_rows, cell_rows, sample_rows)
+    roots = connected_components(edges)
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root")
+    )
+    lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    of_fp = placed.select("fp", "root").join(lows, "root").select("fp", "root", "component_id")
+    return rows.join(of_fp, "fp").select("id", "fp", "root", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -282,63 +307,54 @@ def near_duplicates(
     sample_rows: int = SAMPLE,
 ) -> DataFrame:
     """One row per input row: (id, fingerprint as 16 hex digits, component_id)."""
-    rows = checkpoint_table(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = checkpoint_table(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    edges = linked_pairs(distinct, max_bits, blocks, leaf_rows, cell_rows, sample_rows)
-    roots = connected_components(edges)
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
-    lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = placed.select("fp", "root").join(lows, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select(
+    rows = _placed(docs, id_col, text_col, shingle, max_bits, blocks, leaf_rows, cell_rows, sample_rows)
+    return rows.select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def deduplicate_documents(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, in the input's
-    columns.  Of rows that repeat its id within the component one stays."""
-    found = checkpoint_table(near_duplicates(docs), "near-duplicates")
-    keep = found.groupBy("component_id").agg(
-        F.min("doc_id").alias("doc_id"), F.min_by("fingerprint", "doc_id").alias("fingerprint")
+    """One document of each component, the one with the smallest doc_id (null last), in the
+    input's columns.  Of rows that repeat its id within the component one stays."""
+    found = checkpoint_table(
+        _placed(docs, "doc_id", "text", SHINGLE, MAX_BITS, BLOCKS, LEAF_ROWS, CELL_ROWS, SAMPLE), "near-duplicates"
     )
-    per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    keep = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp")).alias("k"))
+    per_id = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     marked = checkpoint_table(
-        keep.join(per_id, keep.doc_id.eqNullSafe(per_id.doc_id)).select(
-            keep.doc_id.alias("doc_id"), "fingerprint", "n"
+        keep.join(per_id, F.col("k.id").eqNullSafe(per_id["id"])).select(
+            F.col("k.id").alias("k_id"), F.col("k.fp").alias("k_fp"), "n"
         ),
         "kept-ids",
     )
-    plain = marked.filter("n = 1 AND doc_id IS NOT NULL").select("doc_id")
+    plain = marked.filter("n = 1 AND k_id IS NOT NULL").select(F.col("k_id").alias("doc_id"))
     if plain.count() <= BROADCAST_ROWS:  # ids alone, 8 bytes each; beyond that a shuffle join
         plain = F.broadcast(plain)
     out = docs.join(plain, "doc_id", "left_semi").select(*docs.columns)
-    repeated = marked.filter("n > 1 OR doc_id IS NULL")
+    repeated = marked.filter("n > 1 OR k_id IS NULL").select("k_id", "k_fp").distinct()
     if not repeated.isEmpty():
         # Ids that do not name one row: find the rows by id and fingerprint, then keep one each.
-        ids = repeated.select(F.col("doc_id").alias("k_id"), F.col("fingerprint").alias("k_fp")).distinct()
-        rows = docs.join(ids.select("k_id").distinct(), docs.doc_id.eqNullSafe(F.col("k_id")), "left_semi")
-        out = out.unionByName(_one_row_each(rows, ids))
+        rows = docs.join(repeated.select("k_id").distinct(), docs.doc_id.eqNullSafe(F.col("k_id")), "left_semi")
+        out = out.unionByName(_one_row_each(rows, repeated))
     return out
 
 
 def _one_row_each(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """One of ``rows`` for each (k_id, k_fp)."""
     import pyarrow as pa
+    from pyspark.sql.types import LongType, StructType
 
     columns = rows.columns
 
     def run(batches):
+        import numpy as np
+
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            fps = [f"{simhash(t.as_py() or ''):016x}" for t in texts]
-            yield batch.append_column("__fp", pa.array(fps, pa.string()))
-
-    from pyspark.sql.types import StringType, StructType
+            fps = np.array([simhash(t.as_py() or "") for t in texts], dtype=np.uint64)
+            yield batch.append_column("__fp", pa.array(fps.view(np.int64)))
 
-    schema = StructType([*rows.schema.fields]).add("__fp", StringType())
-    with_fp = rows.mapInArrow(run, schema)
+    with_fp = rows.mapInArrow(run, StructType([*rows.schema.fields]).add("__fp", LongType()))
     hit = with_fp.join(ids, with_fp.doc_id.eqNullSafe(ids.k_id) & (with_fp["__fp"] == ids.k_fp), "left_semi")
     firsts = hit.groupBy("doc_id", "__fp").agg(F.min(F.struct(*[hit[c] for c in columns])).alias("__row"))
     return firsts.select(*[F.col("__row").getField(c).alias(c) for c in columns])

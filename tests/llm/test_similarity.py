@@ -233,7 +233,7 @@ def brute_top(table, k, query=lambda i: i % 20 == 0):
 
 def recall(got, want):
     hit = total = 0
-    for q, rows in want.items():
+    for q, rows in ((q, rows) for q, rows in want.items() if rows):
         mine = [r for r in got if r[0] == q]
         floor = min(r[3] for r in rows) - 1e-6
         total += len(rows)
