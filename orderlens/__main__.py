@@ -1,10 +1,13 @@
 """Run the period reports from the command line (``python -m orderlens`` or spark-submit).
 
     python -m orderlens --data ecommerce_data --year 2023 [--month 3] [--comparison-year 2022]
-                        [--format csv|parquet] [--out DIR] [--profile local|cluster]
+                        [--format csv|parquet] [--multi-line] [--lenient] [--facts DIR]
+                        [--out DIR] [--profile local|cluster]
 
 Without ``--out`` each report is shown on the console; with it every report is written as
-parquet under ``DIR/<report>`` (a shared folder on a cluster).
+parquet under ``DIR/<report>`` (a shared folder on a cluster).  ``--facts`` names a folder of
+stored facts: they are written there on the first run and opened on later ones, so a period
+report reads its own months instead of joining all items and orders again.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import os
 from .operators import experience, product, profile
 from .operators.sales import filter_by_period
 from .plans import reports
-from .plans.model import SalesModel
+from .plans.model import FACTS, SalesModel
 from .session import get_spark
 
 
@@ -37,6 +40,18 @@ def build_reports(model: SalesModel, year: int, month: int | None, comparison_ye
     return out
 
 
+def _stored(spark, path: str) -> bool:
+    """Whether both facts have been written under ``path``."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        for name in FACTS:
+            spark.read.parquet(os.path.join(path, name))
+    except AnalysisException:
+        return False
+    return True
+
+
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="orderlens", description=__doc__.splitlines()[0])
     ap.add_argument("--data", required=True, help="directory with the five tables")
@@ -45,11 +60,17 @@ def main(argv=None) -> None:
     ap.add_argument("--month", type=int, default=None)
     ap.add_argument("--comparison-year", type=int, default=None)
     ap.add_argument("--out", default=None, help="write each report as parquet under this folder")
+    ap.add_argument("--multi-line", action="store_true", help="CSV fields may hold line breaks")
+    ap.add_argument("--lenient", action="store_true", help="malformed fields are missing, not errors")
+    ap.add_argument("--facts", default=None, help="folder of stored facts, written if it has none")
     ap.add_argument("--profile", default="local", choices=["local", "cluster"])
     args = ap.parse_args(argv)
 
     spark = get_spark("orderlens-reports", profile=args.profile)
-    model = SalesModel.from_files(spark, args.data, fmt=args.format)
+    options = {"strict": not args.lenient, "multi_line": args.multi_line} if args.format == "csv" else {}
+    model = SalesModel.from_files(spark, args.data, fmt=args.format, **options)
+    if args.facts:
+        model = model.with_materialized(args.facts) if _stored(spark, args.facts) else model.materialize(args.facts)
     for name, df in build_reports(model, args.year, args.month, args.comparison_year).items():
         if args.out:
             df.write.mode("overwrite").parquet(os.path.join(args.out, name))

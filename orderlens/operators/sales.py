@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import DELIVERED_STATUS, MONEY_SCALE, money_units_sql, units_sum, units_to_money
+from ..functions.columns import DELIVERED_STATUS, money_units_sql, units_sum, units_to_money
 
 PURCHASE_TS = "order_purchase_timestamp"
 DELIVERED_TS = "order_delivered_customer_date"
@@ -58,8 +58,10 @@ def parse_timestamps(df: DataFrame, columns=(PURCHASE_TS, DELIVERED_TS), lenient
     return out
 
 
-def _orders_meta(orders: DataFrame, status: str | None, extra=()) -> DataFrame:
-    o = parse_timestamps(orders.select("order_id", *extra, "order_status", PURCHASE_TS, DELIVERED_TS))
+def _orders_meta(orders: DataFrame, status: str | None, extra=(), lenient: bool = False) -> DataFrame:
+    o = parse_timestamps(
+        orders.select("order_id", *extra, "order_status", PURCHASE_TS, DELIVERED_TS), lenient=lenient
+    )
     if status is not None:
         o = o.where(F.col("order_status") == status)
     return o
@@ -71,15 +73,16 @@ def _with_period_columns(df: DataFrame) -> DataFrame:
 
 
 def build_sales_data(
-    order_items: DataFrame, orders: DataFrame, status: str | None = DELIVERED_STATUS
+    order_items: DataFrame, orders: DataFrame, status: str | None = DELIVERED_STATUS, lenient: bool = False
 ) -> DataFrame:
     """Delivered line items with order metadata, ``month`` and ``year``.
 
     Inner equi-join on ``order_id`` (S15-S17); the status filter lands on the orders side
-    below the join.  ``status=None`` keeps every status.
+    below the join.  ``status=None`` keeps every status; ``lenient`` reads malformed text
+    timestamps as missing instead of raising.
     """
     items = order_items.select("order_id", "order_item_id", "product_id", "price")
-    joined = items.join(_orders_meta(orders, status), "order_id")
+    joined = items.join(_orders_meta(orders, status, lenient=lenient), "order_id")
     return _with_period_columns(joined).select(*SALES_COLUMNS)
 
 
@@ -87,11 +90,11 @@ def build_order_sales(
     order_items: DataFrame,
     orders: DataFrame,
     status: str | None = DELIVERED_STATUS,
-    scale: int = MONEY_SCALE,
     carry_customer: bool = False,
+    lenient: bool = False,
 ) -> DataFrame:
     """Delivered sales at order grain: ``order_id, price (order total), price_units (the same
-    total as exact integer cents), n_items, order_status, timestamps, month, year``.
+    total in exact integer units), n_items, order_status, timestamps, month, year``.
 
     Equal to ``build_sales_data`` grouped by the orders row: an orders row with at least one
     line item becomes one row.  Duplicate orders rows stay separate rows, exactly as they
@@ -99,15 +102,15 @@ def build_order_sales(
     ``revenue_by_state(assume_unique_orders=True)``).
     """
     totals = order_items.groupBy("order_id").agg(
-        units_sum(money_units_sql("price", scale)).alias("price_units"),
+        units_sum(money_units_sql("price")).alias("price_units"),
         F.count(F.lit(1)).alias("n_items"),
     )
     extra = ("customer_id",) if carry_customer else ()
-    joined = totals.join(_orders_meta(orders, status, extra), "order_id")
+    joined = totals.join(_orders_meta(orders, status, extra, lenient), "order_id")
     return _with_period_columns(joined).select(
         "order_id",
         *extra,
-        units_to_money("price_units", scale).alias("price"),
+        units_to_money("price_units").alias("price"),
         "price_units",
         "n_items",
         "order_status",

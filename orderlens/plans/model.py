@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..functions.columns import DELIVERED_STATUS
 from ..operators.sales import build_order_sales, build_sales_data
@@ -20,10 +21,21 @@ from ..sources.fixtures import fixture_tables
 from ..sources.tables import load_datasets
 
 
+FACTS = ("sales", "order_sales")
+
+
+def _fact_schema(fact: DataFrame) -> T.StructType:
+    """A fact's schema, with its partition columns last as parquet folders give them."""
+    fields = {f.name: f for f in fact.schema.fields}
+    parts = [fields.pop(c) for c in ("year", "month")]
+    return T.StructType([*fields.values(), *parts])
+
+
 @dataclass
 class SalesModel:
     tables: dict[str, DataFrame]
     status: str | None = DELIVERED_STATUS
+    lenient: bool = False  # malformed text timestamps are missing instead of an error
     _cache: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     @classmethod
@@ -60,14 +72,16 @@ class SalesModel:
     def sales(self) -> DataFrame:
         """Line-item grain (``build_sales_data``)."""
         if "sales" not in self._cache:
-            self._cache["sales"] = build_sales_data(self.order_items, self.orders, self.status)
+            self._cache["sales"] = build_sales_data(self.order_items, self.orders, self.status, self.lenient)
         return self._cache["sales"]
 
     @property
     def order_sales(self) -> DataFrame:
         """Order grain, pre-aggregated before the join (``build_order_sales``)."""
         if "order_sales" not in self._cache:
-            self._cache["order_sales"] = build_order_sales(self.order_items, self.orders, self.status)
+            self._cache["order_sales"] = build_order_sales(
+                self.order_items, self.orders, self.status, lenient=self.lenient
+            )
         return self._cache["order_sales"]
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "SalesModel":
@@ -90,13 +104,24 @@ class SalesModel:
         directories, and lets AQE split a month holding a large share of the rows into
         advisory-size tasks and merge small ones -- no rows are dropped and the layout is
         deterministic."""
-        spark = self.orders.sparkSession
-        out = {}
-        for name in ("sales", "order_sales"):
-            target = os.path.join(path, name)
+        for name in FACTS:
             fact = getattr(self, name).hint("rebalance", "year", "month")
-            fact.write.mode(mode).partitionBy("year", "month").parquet(target)
-            out[name] = spark.read.parquet(target)
-        model = SalesModel(self.tables, self.status)
-        model._cache.update(out)
+            fact.write.mode(mode).partitionBy("year", "month").parquet(os.path.join(path, name))
+        return self.with_materialized(path)
+
+    def with_materialized(self, path: str) -> "SalesModel":
+        """This model's tables with the facts that ``materialize`` stored under ``path``."""
+        spark = self.orders.sparkSession
+        model = SalesModel(self.tables, self.status, self.lenient)
+        for name in FACTS:
+            stored = spark.read.schema(_fact_schema(getattr(self, name))).parquet(os.path.join(path, name))
+            model._cache[name] = stored.select(*getattr(self, name).columns)
         return model
+
+    @classmethod
+    def from_materialized(
+        cls, spark: SparkSession, path: str, data_dir: str, fmt: str = "parquet", **kw
+    ) -> "SalesModel":
+        """Open stored facts in a new session: no join of items and orders is run again.  The
+        five tables (for products, customers, reviews) are loaded from ``data_dir``."""
+        return cls.from_files(spark, data_dir, fmt=fmt, **kw).with_materialized(path)

@@ -12,6 +12,7 @@ Two profiles:
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -32,7 +33,7 @@ COMMON_CONF = {
 }
 
 LOCAL_CONF = {
-    "spark.driver.memory": "16g",
+    "spark.driver.memory": "8g",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m",
     "spark.sql.autoBroadcastJoinThreshold": "10m",
 }
@@ -124,6 +125,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="orderlens-ckpt-")
     if sc is None:
         return configured

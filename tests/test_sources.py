@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from orderlens.operators import experience, product, revenue
+from orderlens.operators.sales import filter_by_period
 from orderlens.plans import reports
 from orderlens.plans.model import SalesModel
 from orderlens.sources.schemas import CSV_FILES
@@ -41,6 +43,69 @@ def test_csv_round_trip(spark, tmp_path):
     assert a == b
 
 
+def _text_tables(tables):
+    out = {}
+    for name, df in tables.items():
+        for c, t in df.dtypes:
+            if t.startswith("timestamp"):
+                df = df.withColumn(c, F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+        out[name] = df
+    return out
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_csv_by_name_with_shuffled_and_extra_columns(spark, tmp_path, strict):
+    fixtures = SalesModel.from_fixtures(spark, SF_SMALL)
+    for name, df in _text_tables(fixtures.tables).items():
+        wide = df.withColumn("extra", F.lit("u1")).withColumn("Other", F.lit(7))
+        _write_csv(wide.select("extra", *reversed(df.columns), "Other"), str(tmp_path / CSV_FILES[name]))
+    model = SalesModel.from_files(spark, str(tmp_path), strict=strict)
+    for report in (
+        lambda m: reports.kpi_report(m, 2000),
+        lambda m: product.revenue_by_state(filter_by_period(m.sales, 2000), m.orders, m.customers),
+        lambda m: experience.delivery_metrics(m.sales).groupBy("delivery_speed", "delivery_time").count().orderBy("delivery_speed", "delivery_time"),
+        lambda m: scan_counts(m.tables).orderBy("table_name"),
+    ):
+        assert report(model).collect() == report(fixtures).collect()
+    assert model.customers.select("customer_state").distinct().count() > 1
+
+
+def test_csv_missing_column_words_quotes_and_line_breaks(spark, tmp_path):
+    from orderlens.sources.tables import read_csv
+    from pyspark.sql import types as T
+
+    path = str(tmp_path / "r.csv")
+    with open(path, "w") as f:
+        f.write('note,price,order_id,n\n"a ""quoted"", note",1.5,o1,3\n"two\nlines",NaN,o2,NA\nplain,null,N/A,\n')
+    schema = T.StructType().add("order_id", "string").add("price", "double").add("n", "integer").add("note", "string")
+    rows = [tuple(r) for r in read_csv(spark, path, schema, multi_line=True).collect()]
+    assert rows == [
+        ("o1", 1.5, 3, 'a "quoted", note'), ("o2", None, None, "two\nlines"), (None, None, None, "plain"),
+    ]
+    with pytest.raises(ValueError, match="gone"):
+        read_csv(spark, path, T.StructType().add("gone", "string"))
+    bad = str(tmp_path / "b.csv")
+    with open(bad, "w") as f:
+        f.write("price\n1.5\nmuch\n")
+    only = T.StructType().add("price", "double")
+    assert [r.price for r in read_csv(spark, bad, only, strict=False).collect()] == [1.5, None]
+    with pytest.raises(Exception):
+        read_csv(spark, bad, only).collect()
+
+
+def test_stored_facts_open_in_a_new_model(spark, tmp_path):
+    fixtures = SalesModel.from_fixtures(spark, SF_SMALL)
+    save_datasets(fixtures.tables, str(tmp_path / "data"))
+    fixtures.materialize(str(tmp_path / "facts"))
+    model = SalesModel.from_materialized(spark, str(tmp_path / "facts"), str(tmp_path / "data"))
+    assert model.order_sales.columns == fixtures.order_sales.columns
+    assert reports.kpi_report(model, 2000).collect() == reports.kpi_report(fixtures, 2000).collect()
+    month = filter_by_period(model.order_sales, 2000, 3)
+    assert len({f.rsplit("/", 2)[1] for f in month.inputFiles()}) >= 1
+    plan = revenue.total_revenue(month)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "PartitionFilters" in plan
+
+
 def test_parquet_loading(spark, tmp_path):
     fixtures = SalesModel.from_fixtures(spark, SF_SMALL)
     save_datasets(fixtures.tables, str(tmp_path))
