@@ -31,7 +31,11 @@ MILLION = 1_000_000
 THOUSAND = 1_000
 # ---------------------------------------------------------------------------
 
-MONEY_SCALE = 2  # money is exact to 10**-MONEY_SCALE (cents)
+# Money is exact to 10**-MONEY_SCALE.  The scale is one internal constant, so units made in
+# one place are read the same way everywhere; a price with more decimals raises an error.
+MONEY_SCALE = 4
+# From here on doubles are coarser than a unit, so a price cannot have finer decimals.
+_COARSE_MONEY = 2.0**53 / 10**MONEY_SCALE
 MICROS_PER_DAY = 86_400_000_000
 
 
@@ -42,27 +46,44 @@ def _quote(text: str) -> str:
 # -- money -------------------------------------------------------------------
 
 
-def money_units_sql(c: str, scale: int = MONEY_SCALE) -> str:
-    return f"CAST(rint(CAST({c} AS DOUBLE) * {float(10**scale)}D) AS BIGINT)"
+def money_units_sql(c: str) -> str:
+    price, unit = f"CAST({c} AS DOUBLE)", f"{float(10**MONEY_SCALE)}D"
+    return (
+        f"CASE WHEN {price} IS NULL OR isnan({price}) THEN CAST(NULL AS BIGINT) "
+        f"WHEN abs({price}) >= {_COARSE_MONEY}D OR rint({price} * {unit}) / {unit} = {price} "
+        f"THEN CAST(rint({price} * {unit}) AS BIGINT) "
+        f"ELSE raise_error('a price has more than {MONEY_SCALE} decimals') END"
+    )
 
 
-def money_units(c: str, scale: int = MONEY_SCALE) -> Column:
-    """A price as an exact integer count of cents (section 1.4).
+def money_units(c: str) -> Column:
+    """A price as an exact integer count of units of 10**-MONEY_SCALE (section 1.4).
 
-    Sums of these longs are exact and do not depend on partition order.  For prices with at
-    most ``scale`` decimals ``rint(x * 10**scale)`` equals ``cast(x as decimal(18, scale))``
-    scaled, and costs a multiply instead of the decimal cast's string round trip.
+    Sums of these longs are exact and do not depend on partition order.  A missing price,
+    NaN included, gives NULL.  A price that is no whole number of units raises an error
+    rather than being rounded.  ``rint(x * 10**scale)`` equals ``cast(x as decimal)`` scaled,
+    and costs a multiply instead of the decimal cast's string round trip.
     """
-    return F.expr(money_units_sql(c, scale))
+    return F.expr(money_units_sql(c))
 
 
-def units_to_money_sql(units: str, scale: int = MONEY_SCALE) -> str:
-    return f"CAST(CAST({units} AS DECIMAL(38,0)) / CAST({10**scale} AS DECIMAL(38,0)) AS DOUBLE)"
+def units_to_money_sql(units: str) -> str:
+    return f"CAST(CAST({units} AS DECIMAL(38,0)) / CAST({10**MONEY_SCALE} AS DECIMAL(38,0)) AS DOUBLE)"
 
 
-def units_to_money(units: str, scale: int = MONEY_SCALE) -> Column:
+def units_to_money(units: str) -> Column:
     """Exact integer units back to the public ``double`` money type, correctly rounded."""
-    return F.expr(units_to_money_sql(units, scale))
+    return F.expr(units_to_money_sql(units))
+
+
+def wide_sum_sql(units: str) -> str:
+    """Sum of BIGINT units as DECIMAL(38,0), 0 for no rows: beyond the range of a long, at the
+    cost of two long sums (of the units' high and low parts) instead of a decimal per row."""
+    u = f"CAST({units} AS BIGINT)"
+    return (
+        f"(CAST(coalesce(sum(shiftright({u}, 20)), 0) AS DECIMAL(25,0)) * CAST(1048576 AS DECIMAL(7,0)) + "
+        f"CAST(coalesce(sum({u} & 1048575), 0) AS DECIMAL(25,0)))"
+    )
 
 
 def units_sum_sql(units: str) -> str:
@@ -70,18 +91,23 @@ def units_sum_sql(units: str) -> str:
 
 
 def units_sum(units: str) -> Column:
-    """Exact sum of money units; no rows or only missing prices give 0."""
+    """Exact sum of money units as a long, for groups such as an order or a product; no rows or
+    only missing prices give 0 (S1).  Totals over such groups use ``wide_sum_sql``."""
     return F.expr(units_sum_sql(units))
 
 
-def money_total(units: str, scale: int = MONEY_SCALE) -> Column:
+def money_total_sql(units: str) -> str:
+    return units_to_money_sql(wide_sum_sql(units))
+
+
+def money_total(units: str) -> Column:
     """Exact sum of money units returned as double; no rows give 0.0."""
-    return F.expr(units_to_money_sql(units_sum_sql(units), scale))
+    return F.expr(money_total_sql(units))
 
 
-def money_sum(c: str, scale: int = MONEY_SCALE) -> Column:
+def money_sum(c: str) -> Column:
     """Exact sum of a double price column, returned as double."""
-    return money_total(money_units_sql(c, scale), scale)
+    return money_total(money_units_sql(c))
 
 
 # -- ratios and growth -----------------------------------------------------------

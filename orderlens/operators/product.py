@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import units_sum, units_to_money
+from ..functions.columns import money_total, units_sum
 from .sales import price_units
 
 
@@ -36,7 +36,7 @@ def revenue_by_category(sales: DataFrame, products: DataFrame) -> DataFrame:
     return (
         per_product.join(cats, "product_id")
         .groupBy("product_category_name")
-        .agg(units_to_money("sum(key_revenue)").alias("revenue"))
+        .agg(money_total("key_revenue").alias("revenue"))
         .orderBy(F.desc("revenue"), F.asc("product_category_name"))
     )
 
@@ -98,7 +98,7 @@ def _state_revenue_from_customers(per_customer: DataFrame, customers: DataFrame)
     return (
         per_customer.join(states, "customer_id")
         .groupBy("customer_state")
-        .agg(units_to_money("sum(key_revenue)").alias("price"))
+        .agg(money_total("key_revenue").alias("price"))
         .orderBy(F.desc("price"), F.asc("customer_state"))
     )
 

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import money_units_sql, units_to_money
+from ..functions.columns import money_units_sql, money_total
 from ..session import checkpoint_table
 
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
@@ -112,7 +112,7 @@ def _exact_mean(column: str, dtype: str, money_columns) -> F.Column:
     if dtype in ("tinyint", "smallint", "int", "bigint"):
         total = F.sum(c.cast("decimal(38,0)")).cast("double")
     elif column in money_columns:
-        total = units_to_money(f"sum({money_units_sql(f'`{column}`')})")
+        total = money_total(money_units_sql(f"`{column}`"))
     else:
         total = F.sum(c.cast("double"))
     return F.try_divide(total, F.count(c).cast("double"))

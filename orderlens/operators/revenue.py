@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import growth, money_total, safe_ratio, safe_ratio_sql, units_sum, units_sum_sql, units_to_money_sql
+from ..functions.columns import growth, money_total, money_total_sql, safe_ratio, safe_ratio_sql, units_sum
 from .sales import price_units
 
 
 # The previous month present in the (at most twelve) monthly rows.
 PREVIOUS_MONTH = "lag(revenue) OVER (ORDER BY month)"
+# Mean of the growths of monthly rows.  Only the first month may lack a growth; where a month
+# follows a zero month its growth is undefined (NULL), and so is the mean.
+MEAN_GROWTH = "CASE WHEN count(growth) = count(*) - 1 THEN avg(growth) END"
 
 
 def total_revenue(sales: DataFrame) -> DataFrame:
@@ -59,14 +62,14 @@ def _growth(sales: DataFrame) -> DataFrame:
 
 
 def avg_monthly_growth(sales: DataFrame) -> DataFrame:
-    """Mean of the month-over-month growths; NULLs are skipped."""
-    return _growth(sales).agg(F.avg("growth").alias("avg_monthly_growth"))
+    """Mean of the month-over-month growths (A6, S3); see ``MEAN_GROWTH``."""
+    return _growth(sales).agg(F.expr(MEAN_GROWTH).alias("avg_monthly_growth"))
 
 
 def avg_growth_of_months(monthly: DataFrame) -> DataFrame:
     """Mean month-over-month growth of ``month, revenue`` rows (at most twelve)."""
     g = monthly.withColumn("growth", growth("revenue", PREVIOUS_MONTH))
-    return g.agg(F.avg("growth").alias("avg_monthly_growth"))
+    return g.agg(F.expr(MEAN_GROWTH).alias("avg_monthly_growth"))
 
 
 def aov(sales: DataFrame) -> DataFrame:
@@ -76,7 +79,7 @@ def aov(sales: DataFrame) -> DataFrame:
     whose prices are all missing counts with 0.  ``count_distinct`` plans as a partial
     aggregation keyed by ``order_id`` -- the same shuffle that gives the order count.
     """
-    total = units_to_money_sql(units_sum_sql(f"CASE WHEN order_id IS NOT NULL THEN {price_units(sales)} END"))
+    total = money_total_sql(f"CASE WHEN order_id IS NOT NULL THEN {price_units(sales)} END")
     return sales.agg(F.expr(safe_ratio_sql(total, "count(DISTINCT order_id)")).alias("aov"))
 
 

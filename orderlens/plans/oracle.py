@@ -143,7 +143,7 @@ def _kpi(year: int, month: int | None) -> str:
     ctes = [_comparison_cte(year, month, cmp_year), _experience_cte(year, month, cmp_year)]
     if month is None:
         ctes.append(_monthly_growth_cte(year))
-        mom = "(SELECT avg(growth) FROM mg)"
+        mom = "(SELECT CASE WHEN count(growth) = count(*) - 1 THEN avg(growth) END FROM mg)"
     else:
         mom = "CAST(NULL AS DOUBLE)"
     month_sql = "CAST(NULL AS INTEGER)" if month is None else f"CAST({month} AS INTEGER)"
@@ -288,7 +288,7 @@ def oracle_sql() -> dict[str, str]:
         "revenue_year_month": _with()
         + f"SELECT year, month, {_money('price')} AS revenue FROM sales WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month",
         "monthly_growth": _with(_monthly_growth_cte(y)) + "SELECT month, revenue, growth FROM mg",
-        "avg_monthly_growth": _with(_monthly_growth_cte(y)) + "SELECT avg(growth) AS avg_monthly_growth FROM mg",
+        "avg_monthly_growth": _with(_monthly_growth_cte(y)) + "SELECT CASE WHEN count(growth) = count(*) - 1 THEN avg(growth) END AS avg_monthly_growth FROM mg",
         "aov": _with()
         + f"SELECT CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) / NULLIF(CAST(count(DISTINCT order_id) AS DOUBLE), 0) AS aov FROM sales WHERE {_period(y, None)}",
         "order_count": _with() + f"SELECT count(DISTINCT order_id) AS order_count FROM sales WHERE {_period(y, None)}",
@@ -365,7 +365,7 @@ grid AS (SELECT CAST(range AS INTEGER) AS month FROM range(1, 13))"""
              FROM grid g LEFT JOIN mt ON g.month = mt.month""",
         "monthly_growth_report": _with(_monthly_growth_cte(y))
         + """SELECT CAST(month AS INTEGER) AS month, strftime(make_date(2020, month, 1), '%B') AS month_name, growth FROM mg
-             UNION ALL SELECT CAST(NULL AS INTEGER), 'Average', avg(growth) FROM mg""",
+             UNION ALL SELECT CAST(NULL AS INTEGER), 'Average', CASE WHEN count(growth) = count(*) - 1 THEN avg(growth) END FROM mg""",
         "summary": _summary(y, None),
         "summary_month": _summary(y, m),
         "period_cube": _period_cube(),

@@ -17,14 +17,17 @@ from ..functions.columns import (
     currency_label,
     growth,
     guarded_growth,
+    money_total,
     month_name,
     period_label,
     round_half_even,
+    safe_ratio,
     safe_ratio_sql,
     score_label,
     trend_columns,
     units_to_money,
     units_to_money_sql,
+    wide_sum_sql,
 )
 from ..operators.experience import (
     delivery_metrics,
@@ -34,8 +37,8 @@ from ..operators.experience import (
 )
 from ..operators.product import revenue_by_category, revenue_by_state, state_revenue_from_orders, top_n
 from ..operators.revenue import (
+    MEAN_GROWTH,
     avg_growth_of_months,
-    comparison_from_orders,
     flag_periods,
     monthly_growth,
     per_order_totals,
@@ -78,29 +81,58 @@ def period_orders(model: SalesModel, current: Column, previous: Column) -> DataF
     return per_order_totals(flagged, *PERIOD_ORDER_KEYS)
 
 
-def comparison_of(orders_by_period: DataFrame) -> DataFrame:
-    """Revenue, orders and AOV of both periods from ``period_orders`` rows."""
-    per_order = orders_by_period.groupBy("is_current", "order_id").agg(
-        F.sum("order_revenue").alias("order_revenue")
+def reviews_per_order(reviews: DataFrame) -> DataFrame:
+    """``order_id, n_reviews, n_scores, score_sum`` over an order's *distinct* scores (A9: equal
+    scores collapse, a missing score counts as one more row).  The score set of an order is
+    bounded by the scale, so one aggregation does it."""
+    sets = reviews.groupBy("order_id").agg(
+        F.collect_set("review_score").alias("scores"), F.max(F.col("review_score").isNull()).alias("missing")
+    )
+    return sets.select(
+        "order_id",
+        F.expr("size(scores) + CASE WHEN missing THEN 1 ELSE 0 END").alias("n_reviews"),
+        F.size("scores").alias("n_scores"),
+        F.expr("aggregate(scores, 0L, (a, x) -> a + x)").alias("score_sum"),
     )
-    return comparison_from_orders(per_order)
 
 
-def experience_comparison(model: SalesModel, orders_by_period: DataFrame) -> DataFrame:
-    """Average review score and delivery days of both periods in one pass.
+def comparison_of(model: SalesModel, orders_by_period: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Revenue, orders, AOV, review score and delivery days of both periods, from one chain
+    of aggregations over ``period_orders`` rows; and its per-order rows.
 
-    The review table (A9) is built per period -- the period flag is part of the distinct
-    key -- then both are averaged by a single aggregate.
+    Reviews are reduced to one row per order and joined once.  All groupings hold
+    ``order_id``, so the chain adds no shuffle to that of the facts and reviews.  A review row is
+    one (period, order, delivery, score), so months collapse first; the delivery average
+    weighs an order row by its reviews, as the review table does.
     """
-    left = orders_by_period.select("is_current", "order_id", "delivery_speed", "delivery_time").dropDuplicates()
-    right = model.reviews.select("order_id", "review_score").dropDuplicates()
-    table = left.join(right, "order_id").dropDuplicates()
-    return table.agg(
-        F.expr("avg(CASE WHEN is_current THEN review_score END)").alias("avg_score"),
-        F.expr("avg(CASE WHEN is_current THEN delivery_speed END)").alias("avg_delivery_days"),
-        F.expr("avg(CASE WHEN NOT is_current THEN review_score END)").alias("prev_avg_score"),
-        F.expr("avg(CASE WHEN NOT is_current THEN delivery_speed END)").alias("prev_avg_delivery_days"),
+    review = reviews_per_order(model.reviews)
+    rows = orders_by_period.groupBy("is_current", "order_id", "delivery_speed", "delivery_time").agg(
+        F.sum("order_revenue").alias("order_revenue")
     )
+    per_order = (
+        rows.join(review, "order_id", "left")
+        .groupBy("is_current", "order_id")
+        .agg(
+            F.sum("order_revenue").alias("order_revenue"),
+            F.sum("score_sum").alias("score_sum"),
+            F.sum("n_scores").alias("n_scores"),
+            F.expr("sum(CAST(delivery_speed AS BIGINT) * n_reviews)").alias("days_sum"),
+            F.expr("sum(CASE WHEN delivery_speed IS NOT NULL THEN n_reviews END)").alias("n_days"),
+        )
+    )
+    sums = []
+    for flag, prefix in (("is_current", ""), ("NOT is_current", "prev_")):
+        sums += [
+            money_total(f"CASE WHEN {flag} THEN order_revenue END").alias(f"{prefix}revenue"),
+            F.expr(f"count(CASE WHEN {flag} THEN 1 END)").alias(f"{prefix}order_count"),
+        ]
+        for name, total, count in (("avg_score", "score_sum", "n_scores"), ("avg_delivery_days", "days_sum", "n_days")):
+            pick = [f"sum(CASE WHEN {flag} THEN {c} END)" for c in (total, count)]
+            sums.append(safe_ratio(*pick).alias(f"{prefix}{name}"))
+    both = per_order.agg(*sums)
+    return both.withColumn("aov", safe_ratio("revenue", "order_count")).withColumn(
+        "prev_aov", safe_ratio("prev_revenue", "prev_order_count")
+    ), per_order
 
 
 def kpi_report(model: SalesModel, year: int, month: int | None = None) -> DataFrame:
@@ -110,24 +142,21 @@ def kpi_report(model: SalesModel, year: int, month: int | None = None) -> DataFr
     growth only for a full year; trend indicators (F2) and currency labels (F1) included.
     """
     current, previous, cmp_year = _periods(year, month, None)
-    # One per-(period, month, delivery, order) aggregation feeds the comparison, the monthly
-    # revenue and the review branch; the month-over-month branch uses conditional sums rather
-    # than a filter, so no predicate is pushed below the shared aggregation.
+    # One per-(period, month, delivery, order) aggregation feeds the comparison (reviews
+    # included) and the monthly revenue; the month-over-month branch uses conditional sums
+    # rather than a filter, so no predicate is pushed below the shared aggregation and its
+    # exchanges are reused: line items are scanned once.
     per_order_month = period_orders(model, current, previous)
-    comp = comparison_of(per_order_month)
-    exp = experience_comparison(model, per_order_month).select(
-        "avg_score", "avg_delivery_days", "prev_avg_delivery_days"
-    )
-    parts = [comp, exp]
+    parts = [comparison_of(model, per_order_month)[0]]
     if month is None:
         monthly = (
             per_order_month.groupBy("month")
             .agg(
-                F.expr("sum(CASE WHEN is_current THEN order_revenue END)").alias("units"),
+                money_total("CASE WHEN is_current THEN order_revenue END").alias("revenue"),
                 F.expr("count(CASE WHEN is_current THEN 1 END)").alias("n_current"),
             )
             .where(F.col("n_current") > 0)
-            .select("month", units_to_money("units").alias("revenue"))
+            .select("month", "revenue")
         )
         parts.append(avg_growth_of_months(monthly))
     merged = collapse_rows(parts)
@@ -177,8 +206,8 @@ def monthly_trend(model: SalesModel, year: int) -> DataFrame:
     sales = model.order_sales.where(period_predicate(year) | period_predicate(cmp_year))
     units = price_units(sales)
     by_month = sales.groupBy("month").agg(
-        F.expr(f"sum(CASE WHEN year = {year} THEN {units} END)").alias("cur"),
-        F.expr(f"sum(CASE WHEN NOT (year = {year}) THEN {units} END)").alias("prev"),
+        money_total(f"CASE WHEN year = {year} THEN {units} END").alias("cur"),
+        money_total(f"CASE WHEN NOT (year = {year}) THEN {units} END").alias("prev"),
     )
     spark = model.orders.sparkSession
     grid = spark.range(1, 13).select(F.col("id").cast("int").alias("month"))
@@ -187,8 +216,8 @@ def monthly_trend(model: SalesModel, year: int) -> DataFrame:
         .select(
             "month",
             month_name("month", short=True).alias("month_name"),
-            units_to_money("coalesce(cur, 0)").alias("revenue"),
-            units_to_money("coalesce(prev, 0)").alias("prev_revenue"),
+            F.coalesce("cur", F.lit(0.0)).alias("revenue"),
+            F.coalesce("prev", F.lit(0.0)).alias("prev_revenue"),
         )
         .orderBy("month")
     )
@@ -203,10 +232,11 @@ def monthly_growth_report(model: SalesModel, year: int) -> DataFrame:
         month_name("month").alias("month_name"),
         "growth",
     )
-    avg_row = monthly.agg(F.avg("growth").alias("growth")).select(
+    avg_row = monthly.agg(F.expr(MEAN_GROWTH).alias("growth")).select(
         F.lit(None).cast("int").alias("month"), F.lit("Average").alias("month_name"), "growth"
     )
-    return rows.unionByName(avg_row)
+    # at most 13 rows: months in order, the average last
+    return rows.unionByName(avg_row).orderBy(F.asc_nulls_last("month"))
 
 
 def summary(model: SalesModel, year: int, month: int | None = None, comparison_year: int | None = None) -> DataFrame:
@@ -214,11 +244,10 @@ def summary(model: SalesModel, year: int, month: int | None = None, comparison_y
     category and state (A22: first row by revenue, key ascending on ties), averages."""
     current, previous, cmp_year = _periods(year, month, comparison_year)
     orders_by_period = period_orders(model, current, previous)
+    comp, _ = comparison_of(model, orders_by_period)
     per_order = orders_by_period.groupBy("is_current", "order_id").agg(
         F.sum("order_revenue").alias("order_revenue")
     )
-    comp = comparison_from_orders(per_order)
-    exp = experience_comparison(model, orders_by_period).select("avg_score", "avg_delivery_days")
     cur_lines = model.sales.where(current)
     top_cat = top_n(
         revenue_by_category(cur_lines, model.products), 1, "revenue", "product_category_name"
@@ -237,7 +266,7 @@ def summary(model: SalesModel, year: int, month: int | None = None, comparison_y
     top_state = top_n(
         state_revenue_from_orders(cur_per_order, model.orders, model.customers), 1, "price", "customer_state"
     ).select(F.col("customer_state").alias("top_state"))
-    merged = collapse_rows([comp, exp, top_cat, top_state])
+    merged = collapse_rows([comp, top_cat, top_state])
     return merged.select(
         F.lit(year).alias("year"),
         F.lit(month).cast("int").alias("month"),
@@ -269,13 +298,13 @@ def period_cube(model: SalesModel) -> DataFrame:
     base = model.order_sales.where(F.col("year").isNotNull())
     per_order = per_order_totals(base, "year", "month")
     by_month = per_order.groupBy("year", "month").agg(
-        F.sum("order_revenue").alias("rev"), F.count(F.lit(1)).alias("order_count")
+        F.expr(wide_sum_sql("order_revenue")).alias("rev"), F.count(F.lit(1)).alias("order_count")
     )
     by_year = (
         per_order.groupBy("year", "order_id")
         .agg(F.sum("order_revenue").alias("order_revenue"))
         .groupBy("year")
-        .agg(F.sum("order_revenue").alias("rev"), F.count(F.lit(1)).alias("order_count"))
+        .agg(F.expr(wide_sum_sql("order_revenue")).alias("rev"), F.count(F.lit(1)).alias("order_count"))
         .withColumn("month", F.lit(None).cast("int"))
     )
     cells = by_month.unionByName(by_year).select(

@@ -23,7 +23,7 @@ STATUS_MAP = {"F": "delivered", "O": "shipped"}  # any other status -> "processi
 OTHER_STATUS = "processing"
 NO_CATEGORY_BRAND = "Brand#13"
 DELIVERY_CYCLE = 15  # n = (o_orderkey*7 + o_custkey) % 15; n == 14 -> no delivery date
-REVIEW_LINES = 2  # reviews come from line numbers 1 and 2
+NO_REVIEW_CYCLE = 7  # orders with (o_orderkey / 4) % 7 == 6 get review ids that match no order
 # ---------------------------------------------------------------------------
 
 
@@ -93,8 +93,10 @@ def fixture_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fixture_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem")
-    return li.where(F.col("l_linenumber") <= REVIEW_LINES).select(
-        F.col("l_orderkey").alias("order_id"),
+    # one review row per line item; the negative ids leave some orders without a review
+    order_id = F.expr(f"CASE WHEN (l_orderkey div 4) % {NO_REVIEW_CYCLE} = {NO_REVIEW_CYCLE - 1} THEN -l_orderkey ELSE l_orderkey END")
+    return li.select(
+        order_id.alias("order_id"),
         (F.lit(1) + F.col("l_partkey") % 5).cast("int").alias("review_score"),
     )
 
@@ -132,6 +134,7 @@ fx_customers AS (
   SELECT c_custkey AS customer_id, n_name AS customer_state
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
 fx_reviews AS (
-  SELECT l_orderkey AS order_id, CAST(1 + l_partkey % 5 AS INT) AS review_score
-  FROM lineitem WHERE l_linenumber <= 2)
+  SELECT CASE WHEN (l_orderkey // 4) % 7 = 6 THEN -l_orderkey ELSE l_orderkey END AS order_id,
+         CAST(1 + l_partkey % 5 AS INT) AS review_score
+  FROM lineitem)
 """

@@ -5,11 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from orderlens.plans import catalog, oracle
 from conftest import SF_CHECK
 from oracle_compare import compare, duckdb_connection
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = catalog.queries()
+SQL = oracle.oracle_sql()
 # Floating-point aggregates whose last bits depend on the engine's summation algorithm.
 CLOSE_OK = {"describe_items"}
 
@@ -40,13 +41,13 @@ def test_entry_smoke(spark):
 
 def test_fixture_reference_points(spark):
     """FIXTURES.md reference values, sf0.01, delivered, year 2000."""
-    k = entry.queries()["kpi_report"](spark, SF_CHECK).collect()[0]
+    k = QUERIES["kpi_report"](spark, SF_CHECK).collect()[0]
     assert k["revenue"] == 169719371.01
     assert k["order_count"] == 778
     assert k["aov"] == 218148.29178663238
-    assert k["avg_score"] == 3.057739557739558
-    assert k["avg_delivery_days"] == 5.951633986928105
-    buckets = {r["delivery_time"]: r["review_score"] for r in entry.queries()["score_by_bucket"](spark, SF_CHECK).collect()}
-    assert buckets == {"1-3 days": 3.0125, "4-7 days": 3.110169491525424, "8+ days": 3.0532544378698225}
-    top = entry.queries()["top_categories_15"](spark, SF_CHECK).collect()[0]
+    assert k["avg_score"] == 3.008983717012914
+    assert k["avg_delivery_days"] == 6.020581113801453
+    buckets = {r["delivery_time"]: r["review_score"] for r in QUERIES["score_by_bucket"](spark, SF_CHECK).collect()}
+    assert buckets == {"1-3 days": 3.0081799591002043, "4-7 days": 3.0253623188405796, "8+ days": 2.997297297297297}
+    top = QUERIES["top_categories_15"](spark, SF_CHECK).collect()[0]
     assert (top["product_category_name"], top["revenue"]) == ("Brand#4", 8481022.04)

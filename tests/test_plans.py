@@ -8,11 +8,11 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+
 from conftest import SF_SMALL
 from orderlens.operators import product, revenue
 from orderlens.operators.sales import filter_by_period
-from orderlens.plans import reports
+from orderlens.plans import catalog, reports
 from orderlens.plans.model import SalesModel
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
@@ -34,9 +34,9 @@ def model(spark):
     return SalesModel.from_fixtures(spark, SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"describe_items"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - {"describe_items"}))
 def test_no_python_in_any_query(spark, name):
-    text = plan_text(entry.queries()[name](spark, SF_SMALL))
+    text = plan_text(catalog.queries()[name](spark, SF_SMALL))
     assert not any(node in text for node in PYTHON_NODES), name
 
 
