@@ -11,11 +11,11 @@ runtime statistics rather than a blind hint: at 100 TB neither table is small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import money_total, units_sum
-from .sales import price_units
+from ..functions.columns import DELIVERED_STATUS, money_total, money_units_sql, units_sum
+from .sales import PURCHASE_TS, parse_timestamps, price_units
 
 
 def _revenue_by_key(sales: DataFrame, key: str) -> DataFrame:
@@ -93,6 +93,40 @@ def state_revenue_from_orders(per_order: DataFrame, orders: DataFrame, customers
     return _state_revenue_from_customers(per_customer, customers)
 
 
+def state_revenue_of_period(
+    order_items: DataFrame,
+    orders: DataFrame,
+    customers: DataFrame,
+    period: Column,
+    status: str | None = DELIVERED_STATUS,
+    lenient: bool = False,
+) -> DataFrame:
+    """``revenue_by_state`` of a period straight from the tables, with one scan of each.
+
+    Owners come from every orders row of an order id, sales only from the rows of the period
+    (S15), so the orders table is read once without the period filter and reduced to one row
+    per (order, customer) with two counts: all rows, and rows that are sales of the period.
+    ``period`` is a predicate over ``year``, ``month`` and the purchase timestamp.
+    """
+    rows = parse_timestamps(orders.select("order_id", "customer_id", "order_status", PURCHASE_TS), lenient=lenient)
+    rows = rows.withColumn("year", F.year(PURCHASE_TS)).withColumn("month", F.month(PURCHASE_TS))
+    sale = period if status is None else period & (F.col("order_status") == status)
+    cells = (
+        rows.where(F.col("order_id").isNotNull())
+        .groupBy("order_id", "customer_id")
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(sale, 1)).alias("n_sales"))
+        .withColumn("n_sales", F.sum("n_sales").over(Window.partitionBy("order_id")))
+        .where((F.col("n_sales") > 0) & F.col("customer_id").isNotNull())
+    )
+    totals = order_items.groupBy("order_id").agg(units_sum(money_units_sql("price")).alias("units"))
+    per_customer = (
+        totals.join(cells, "order_id")
+        .groupBy("customer_id")
+        .agg(F.expr("sum(units * n_sales * n_rows)").alias("key_revenue"))
+    )
+    return _state_revenue_from_customers(per_customer, customers)
+
+
 def _state_revenue_from_customers(per_customer: DataFrame, customers: DataFrame) -> DataFrame:
     states = customers.select("customer_id", "customer_state").where(F.col("customer_state").isNotNull())
     return (

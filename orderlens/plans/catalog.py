@@ -97,16 +97,14 @@ _MODEL_QUERIES: dict[str, Callable[[SalesModel], DataFrame]] = {
     "categories_with_sales": lambda m: product.category_count(product.revenue_by_category(_year_sales(m), m.products)),
     "top_categories_10": lambda m: reports.top_categories(m, YEAR, n=10, chart_order=True),
     "top_categories_15": lambda m: reports.top_categories(m, YEAR, n=15, with_rank=True),
-    "revenue_by_state": lambda m: product.revenue_by_state(_year_orders(m), m.orders, m.customers),
-    "revenue_by_state_month": lambda m: product.revenue_by_state(
-        filter_by_period(m.order_sales, YEAR, MONTH), m.orders, m.customers
-    ),
+    "revenue_by_state": lambda m: reports.state_revenue(m, YEAR),
+    "revenue_by_state_month": lambda m: reports.state_revenue(m, YEAR, MONTH),
     "top_states_10": lambda m: reports.top_states(m, YEAR, n=10),
     "state_revenue_scale": lambda m: product.state_revenue_scale(
-        product.revenue_by_state(_year_orders(m), m.orders, m.customers)
+        reports.state_revenue(m, YEAR)
     ),
     "revenue_labels": lambda m: product.state_scale_labels(
-        product.revenue_by_state(_year_orders(m), m.orders, m.customers)
+        reports.state_revenue(m, YEAR)
     ),
     # customer experience
     "review_speed": lambda m: _review_table(m),

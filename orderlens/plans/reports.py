@@ -35,7 +35,7 @@ from ..operators.experience import (
     score_by_bucket,
     score_distribution,
 )
-from ..operators.product import revenue_by_category, revenue_by_state, state_revenue_from_orders, top_n
+from ..operators.product import revenue_by_category, state_revenue_from_orders, state_revenue_of_period, top_n
 from ..operators.revenue import (
     MEAN_GROWTH,
     avg_growth_of_months,
@@ -338,10 +338,16 @@ def top_categories(model: SalesModel, year: int, month: int | None = None, n: in
     return top.withColumn("label", currency_label("revenue"))
 
 
+def state_revenue(model: SalesModel, year: int, month: int | None = None) -> DataFrame:
+    """Revenue by state of a period (A8), each table scanned once."""
+    return state_revenue_of_period(
+        model.order_items, model.orders, model.customers, period_predicate(year, month), model.status, model.lenient
+    )
+
+
 def top_states(model: SalesModel, year: int, month: int | None = None, n: int = 10) -> DataFrame:
     """Top-n states of a period by revenue."""
-    states = revenue_by_state(filter_by_period(model.order_sales, year, month), model.orders, model.customers)
-    return top_n(states, n, "price", "customer_state")
+    return top_n(state_revenue(model, year, month), n, "price", "customer_state")
 
 
 def score_distribution_labeled(model: SalesModel, year: int, month: int | None = None) -> DataFrame:

@@ -123,3 +123,41 @@ def test_runtime_bloom_filter_lands_below_pre_aggregation(spark, model):
     # and the partial aggregation is above it
     above = [b for b in blocks if b.startswith(f"({node_id + 2}) HashAggregate")]
     assert above and "partial_sum" in above[0]
+
+
+def _scans(spark, df, column: str) -> int:
+    """Scans of parquet files that read ``column`` in the final plan, reused exchanges aside."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    return len(re.findall(rf"FileScan parquet \[[^\]]*{column}", plan.split("== Initial Plan ==")[0]))
+
+
+def test_line_item_and_order_scans_of_reports(spark, model):
+    """Prices are scanned once by the KPI report and twice by the summary (the second time at
+    line grain for the category); state revenue scans every table once."""
+    assert _scans(spark, reports.kpi_report(model, 2000), "l_extendedprice") == 1
+    assert _scans(spark, reports.summary(model, 2000), "l_extendedprice") == 2
+    for column in ("o_orderkey", "l_orderkey", "c_custkey"):
+        assert _scans(spark, reports.state_revenue(model, 2000), column) == 1
+
+
+def test_state_revenue_of_period_equals_the_join_back(spark, toy):
+    """Repeated order ids with other customers, periods and states fan out alike."""
+    m = toy(
+        orders=[
+            ("o1", "c1", "delivered", "2023-01-05 00:00:00", None), ("o1", "c2", "delivered", "2022-01-05 00:00:00", None),
+            ("o1", "c2", "shipped", "2023-01-06 00:00:00", None), ("o2", "c1", "delivered", "2023-02-05 00:00:00", None),
+            ("o2", None, "delivered", "2023-02-05 00:00:00", None), ("o3", "c3", "shipped", "2023-02-05 00:00:00", None),
+            (None, "c1", "delivered", "2023-02-05 00:00:00", None),
+        ],
+        items=[("o1", 1, "p", 10.0), ("o1", 2, "p", 5.5), ("o2", 1, "p", 3.25), ("o3", 1, "p", 7.0), (None, 1, "p", 1.0)],
+        customers=[("c1", "SP"), ("c2", "RJ"), ("c2", "MG"), ("c3", "SP"), ("c4", None)],
+    )
+    for year, month in ((2023, None), (2023, 1), (2022, None), (2021, None)):
+        want = product.revenue_by_state(filter_by_period(m.sales, year, month), m.orders, m.customers).collect()
+        assert reports.state_revenue(m, year, month).collect() == want
