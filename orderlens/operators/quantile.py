@@ -3,17 +3,17 @@
 Spark's exact ``percentile`` keeps a map of every distinct value of a group in one buffer,
 and for a global quantile that buffer is merged in one task -- unbounded at scale.
 ``percentile_approx`` is bounded but not exact.  ``exact_quantiles`` computes pandas' linear
-interpolation exactly with the work spread over the cluster, for several columns at once:
+interpolation exactly, for several columns at once, as one lazy plan of two scans:
 
-1. unpivot the columns to ``(column, x)`` and count rows per distinct value (partial
-   aggregation: a value holding a third of all rows becomes one row before the shuffle);
-2. range-partition the distinct values and take running counts inside each partition and
-   column (every partition holds a contiguous, balanced slice of the value domain);
-3. store that frame in the checkpoint folder so partition ids stay fixed, then turn per-partition totals (one row
-   per partition and column) into offsets;
-4. keep only the values whose rank interval covers a wanted rank and interpolate.
+1. a bounded sketch (``percentile_approx``, rank error at most n / accuracy) brackets every
+   wanted rank between two values;
+2. one aggregation counts the rows below, between and above the brackets, and per distinct
+   value those inside (partial aggregation: a value holding a third of all rows becomes one
+   row before the shuffle);
+3. running counts over these few rows give exact ranks: about 4 n / accuracy values a quantile.
 
-Only the per-partition totals (bounded by partitions x columns) are broadcast.
+A wanted rank outside its bracket raises an error; an approximate value is never returned.
+The brackets, one row per column, are all that is broadcast.  Nothing is stored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import money_units_sql, money_total
-from ..session import checkpoint_table
 
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
 
@@ -34,44 +33,41 @@ def _quantile_name(p: float) -> str:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs=DESCRIBE_PROBS, partitions: int | None = None
+    df: DataFrame, columns: list[str], probs=DESCRIBE_PROBS, accuracy: int = 10_000
 ) -> DataFrame:
     """One row per column: ``column, n, p25, p50, ...`` -- linear interpolation between the
     closest ranks (pandas / numpy default); missing values are ignored.  A column without
-    values gets no row."""
-    spark = df.sparkSession
-    if partitions is None:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values gets no row.  ``accuracy`` changes the size of the brackets, not the result."""
     x = F.col("x")
-    long_form = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "column", "x"
+    long_form = (
+        df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+        .unpivot([], list(columns), "column", "x")
+        .where(x.isNotNull() & ~F.isnan(x))
     )
+    margin = 2.0 / accuracy
+    edges = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
+    brackets = long_form.groupBy("column").agg(F.percentile_approx(x, edges, accuracy).alias("q"))
+    inside, region = F.lit(False), F.lit(0)
+    for k, p in enumerate(probs):
+        low = F.lit(float("-inf")) if p - margin <= 0 else F.col("q")[2 * k]
+        high = F.lit(float("inf")) if p + margin >= 1 else F.col("q")[2 * k + 1]
+        inside = inside | ((x >= low) & (x <= high))
+        region = region + (x >= low).cast("int") + (x > high).cast("int")
     counts = (
-        long_form.where(x.isNotNull() & ~F.isnan(x))
-        .groupBy("column", "x")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    in_part = (
-        Window.partitionBy("pid", "column").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        long_form.join(F.broadcast(brackets), "column")
+        .select("column", "x", region.alias("region"), F.when(inside, x).alias("value"))
+        .groupBy("column", "region", "value")
+        .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("least"))
     )
-    ranged = checkpoint_table(
-        counts.repartitionByRange(partitions, "column", "x")
-        .withColumn("pid", F.spark_partition_id())
-        .withColumn("cum", F.sum("c").over(in_part))
-        .withColumn("part_total", F.sum("c").over(Window.partitionBy("pid", "column"))),
-        "quantile-ranks",
-    )
-    # One row per (partition, column): where the partition starts, and the column's count.
-    parts = ranged.select("pid", "column", "part_total").dropDuplicates(["pid", "column"])
-    offsets = parts.select(
-        "pid",
+    below = Window.partitionBy("column").orderBy("least").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.select(
         "column",
-        (F.sum("part_total").over(Window.partitionBy("column").orderBy("pid")) - F.col("part_total")).alias("offset"),
-        F.sum("part_total").over(Window.partitionBy("column")).alias("n"),
-    )
-    ranked = ranged.join(F.broadcast(offsets), ["pid", "column"]).select(
-        "column", "x", "c", "n", (F.col("offset") + F.col("cum") - F.col("c")).alias("start")
+        F.col("value").alias("x"),
+        "c",
+        F.sum("c").over(Window.partitionBy("column")).alias("n"),
+        (F.sum("c").over(below) - F.col("c")).alias("start"),
     )
+    x = F.when(x.isNull(), F.raise_error(F.lit("a wanted rank lies outside its bracket"))).otherwise(x)
     n = F.col("n")
     start, count = F.col("start"), F.col("c")
     aggs = [F.max("n").alias("n")]

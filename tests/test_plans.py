@@ -34,7 +34,7 @@ def model(spark):
     return SalesModel.from_fixtures(spark, SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - {"describe_items"}))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_no_python_in_any_query(spark, name):
     text = plan_text(catalog.queries()[name](spark, SF_SMALL))
     assert not any(node in text for node in PYTHON_NODES), name
@@ -161,3 +161,15 @@ def test_state_revenue_of_period_equals_the_join_back(spark, toy):
     for year, month in ((2023, None), (2023, 1), (2022, None), (2021, None)):
         want = product.revenue_by_state(filter_by_period(m.sales, year, month), m.orders, m.customers).collect()
         assert reports.state_revenue(m, year, month).collect() == want
+
+
+def test_describe_is_lazy_and_shuffles_little(spark, model):
+    """Building ``describe`` runs no job; no distinct value outside the brackets is shuffled."""
+    from orderlens.operators.quantile import describe
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("describe-build", "no job expected")
+    df = describe(model.order_items)
+    assert list(tracker.getJobIdsForGroup("describe-build")) == []
+    spark.sparkContext.setJobGroup("other", "")
+    assert "RangePartitioning" not in plan_text(df) and "rangepartitioning" not in plan_text(df)

@@ -17,9 +17,9 @@ def numpy_quantiles(values):
     return [float(np.percentile(arr, p * 100)) for p in PROBS]
 
 
-@pytest.mark.parametrize("partitions", [1, 3, 16])
-def test_matches_numpy_with_hot_value(spark, partitions):
-    rng = random.Random(partitions)
+@pytest.mark.parametrize("accuracy", [2, 10, 100, 10_000])
+def test_matches_numpy_with_hot_value(spark, accuracy):
+    rng = random.Random(accuracy)
     n = 3000
     hot = [42.5] * (n // 3)  # one value holds a third of the rows
     spread = [round(rng.uniform(-100, 1000), 2) for _ in range(n - len(hot) - 50)]
@@ -28,7 +28,7 @@ def test_matches_numpy_with_hot_value(spark, partitions):
     rng.shuffle(a)
     b = [None if rng.random() < 0.1 else rng.randint(1, 9) for _ in range(n)]
     df = spark.createDataFrame(list(zip(a, b)), "a double, b int").repartition(7)
-    got = {r["column"]: r for r in exact_quantiles(df, ["a", "b"], partitions=partitions).collect()}
+    got = {r["column"]: r for r in exact_quantiles(df, ["a", "b"], accuracy=accuracy).collect()}
     for col, values in (("a", a), ("b", b)):
         expected = numpy_quantiles(values)
         row = got[col]
