@@ -233,18 +233,18 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, **options)
     that repeat an earlier line of the corpus; n_chars (where present) follows the text."""
     marked = line_classes(docs, **options).filter(~F.col("first") & (F.col("n_words") >= min_words))
     drops = checkpoint_table(
-        marked.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(
-            F.collect_set("line_no").alias("_drop")
+        marked.groupBy(F.col("doc_id").alias("__line_id"), F.col("th").alias("__line_th")).agg(
+            F.collect_set("line_no").alias("__line_drop")
         ),
         "line-drops",
     )
-    size = drops.agg(F.sum(F.size("_drop"))).first()[0] or 0
+    size = drops.agg(F.sum(F.size("__line_drop"))).first()[0] or 0
     side = F.broadcast(drops) if size <= BROADCAST_ROWS else drops
-    joined = docs.join(side, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_th")), "left")
-    joined = joined.withColumn("_lines", F.when(F.col("_drop").isNotNull(), F.split("text", "\n")))
+    joined = docs.join(side, docs.doc_id.eqNullSafe(F.col("__line_id")) & (F.xxhash64(docs.text) == F.col("__line_th")), "left")
+    joined = joined.withColumn("__line_lines", F.when(F.col("__line_drop").isNotNull(), F.split("text", "\n")))
     text = F.expr(
-        "CASE WHEN _drop IS NULL THEN text ELSE array_join(transform("
-        "array_except(sequence(0, size(_lines) - 1), _drop), i -> get(_lines, i)), '\n') END"
+        "CASE WHEN __line_drop IS NULL THEN text ELSE array_join(transform("
+        "array_except(sequence(0, size(__line_lines) - 1), __line_drop), i -> get(__line_lines, i)), '\n') END"
     )
     out = []
     for c in docs.columns:
@@ -252,7 +252,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, **options)
             out.append(text.alias(c))
         elif c == "n_chars":
             kind = docs.schema[c].dataType
-            out.append(F.when(F.col("_drop").isNull(), docs[c]).otherwise(F.length(text).cast(kind)).alias(c))
+            out.append(F.when(F.col("__line_drop").isNull(), docs[c]).otherwise(F.length(text).cast(kind)).alias(c))
         else:
             out.append(docs[c])
     return joined.select(*out)
