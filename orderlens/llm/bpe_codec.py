@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from orderlens.llm.tokens import byte_characters, load_tokenizer, text_slices
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -43,8 +43,10 @@ class BpeCodec:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.rank = {(a, b): r for r, (a, b) in enumerate(merges)}
+        vocab = self.vocab
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        # a pair of neighbours is one number; its merge gives the rank and the merged symbol
+        self.merges = {vocab[a] << 20 | vocab[b]: (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
         self.suffix = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
@@ -53,41 +55,66 @@ class BpeCodec:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._split = regex.compile(split)
         self._normalize = load_tokenizer(path).normalizer.normalize_str
-        self._bytes = byte_characters()
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        # NFC leaves ASCII as it is, so printable ASCII without blanks is only lower-cased
+        self._ascii_lower = steps == ["NFC", "Replace", "Lowercase"]
+        self._bytes = [vocab[c] for c in byte_characters()]
+        self._last = [vocab[c + self.suffix] for c in byte_characters()]
         self.cache_entries = cache_entries
         self._pieces: dict[str, tuple[int, str, str]] = {}
+        self._words: dict[str, list[int]] = {}
 
-    def merge_word(self, symbols: list[str]) -> list[str]:
+    def merge_word(self, symbols: list[int]) -> list[int]:
         """Apply merges, best rank first and leftmost among equals, until none applies."""
+        find, pop, push = self.merges.get, heapq.heappop, heapq.heappush
+        heap = []
+        for i, pair in enumerate(zip(symbols, symbols[1:])):
+            m = find(pair[0] << 20 | pair[1])
+            if m is not None:
+                heap.append((m[0], i, pair, m[1]))
+        if not heap:
+            return symbols
+        heapq.heapify(heap)
         n = len(symbols)
-        sym: list[str | None] = list(symbols)
+        sym = list(symbols)
         prev = list(range(-1, n - 1))
         nxt = [*range(1, n), -1]
-        rank = self.rank
-        heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := rank.get((sym[i], sym[i + 1]))) is not None]
-        heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            _, i, (a, b), merged = pop(heap)
             j = nxt[i]
             if sym[i] != a or j < 0 or sym[j] != b:
                 continue  # stale: one of the two has been merged since
-            sym[i], sym[j] = a + b, None
+            sym[i], sym[j] = merged, -1
             k = nxt[i] = nxt[j]
             if k >= 0:
                 prev[k] = i
-                if (r := rank.get((sym[i], sym[k]))) is not None:
-                    heapq.heappush(heap, (r, i, sym[i], sym[k]))
+                m = find(merged << 20 | sym[k])
+                if m is not None:
+                    push(heap, (m[0], i, (merged, sym[k]), m[1]))
             h = prev[i]
-            if h >= 0 and (r := rank.get((sym[h], sym[i]))) is not None:
-                heapq.heappush(heap, (r, h, sym[h], sym[i]))
-        return [s for s in sym if s is not None]
+            if h >= 0:
+                m = find(sym[h] << 20 | merged)
+                if m is not None:
+                    push(heap, (m[0], h, (sym[h], merged), m[1]))
+        return [x for x in sym if x >= 0]
 
     def _encode_plain(self, text: str) -> list[int]:
+        if self._ascii_lower and text.isascii() and text.isprintable() and " " not in text:
+            text = text.lower()
+        else:
+            text = self._normalize(text)
         ids: list[int] = []
-        for word in self._split.findall(self._normalize(text)):
-            symbols = [self._bytes[b] for b in word.encode("utf-8")]
-            symbols[-1] += self.suffix
-            ids += [self.vocab[s] for s in self.merge_word(symbols)]
+        words, of_byte = self._words, self._bytes
+        for word in self._split.findall(text):
+            got = words.get(word)
+            if got is None:
+                raw = word.encode("utf-8")
+                symbols = [of_byte[b] for b in raw]
+                symbols[-1] = self._last[raw[-1]]
+                if len(words) >= self.cache_entries:
+                    words.clear()
+                got = words[word] = self.merge_word(symbols)
+            ids += got
         return ids
 
     def encode(self, text: str) -> list[int]:
