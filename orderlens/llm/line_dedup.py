@@ -1,7 +1,9 @@
 """Near-duplicate lines by a segment-partition edit join, in DataFrame expressions only.
 
 Two lines belong together when they are equal, or when both have at least ``min_chars``
-characters and at most ``max_edits`` edits between them; classes are the transitive closure.
+characters and either at most ``max_edits`` edits between them or at most :func:`word_limit`
+changed words (added, dropped or replaced), a limit that grows with the shorter line's number
+of words; classes are the transitive closure.
 
 * Equal lines fall together in one aggregation; all later steps see distinct lines.
 * Every distinct line is cut into ``max_edits + 1`` even segments.  A pair within the limit
@@ -9,14 +11,22 @@ characters and at most ``max_edits`` edits between them; classes are the transit
   of lengths (Pass-Join, Li et al. 2011).  Index rows carry a hash of (length, segment number,
   segment); probe rows the same for the substrings that can match segments of lines 0 to
   ``max_edits`` shorter.  Rows are two numbers, so the exchange is far smaller than the text.
+* Lines of 2 * RUN + 1 words and more also index their word minimizers: of every RUN words in a
+  row the smallest hash of GRAM words in a row (Schleimer et al. 2003).  k changed words leave
+  RUN unchanged words in a row in a line of RUN + k * (RUN + 1) words, so a pair within the
+  word limit shares a key, wherever the words moved.  One edit touches two words at most, so
+  lines of ``settled`` words and more need no segments.  The join under these keys sees numbers
+  only: hashes, the number of words and a parity sketch of the words.
 * Keys under which only one line stands are dropped behind that exchange.  Texts are
   fetched for the remaining lines alone.
-* Inside a key a pair is first held against its character counts (an edit changes them by
-  at most two) within the join, so unlike lines that share a segment are never emitted.
+* Inside a key a pair is first held against its character counts (an edit changes them by at
+  most two) or its sketches (a changed word flips at most two bits) within the join, so unlike
+  lines that share a key are never emitted.
   Keys with more than ``HOT_KEY`` rows first compare each line with the key's first line; pairs
   of which both are within the limit of it are connected already and are not paired again.
 * Survivors are verified by banded bit-parallel edit distance (Hyyrö 2003): the band of
-  2 * max_edits + 1 diagonals is one small integer, a step is a few bit operations.
+  2 * max_edits + 1 diagonals is one small integer, a step is a few bit operations.  Changed
+  words are counted by Spark's banded Levenshtein distance, every word written as one character.
 
 Defined results: a null text has no lines; only lines with a word count, compared without
 blanks at their ends; rows equal in id and text are one document and get the same marks;
@@ -26,7 +36,7 @@ by :func:`drop_repeated_lines`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.components import connected_components
@@ -35,6 +45,9 @@ from orderlens.session import checkpoint_table
 MAX_EDITS = 2
 MIN_CHARS = 20
 MIN_WORDS = 3
+# Unchanged words in a row that a pair within the word limit must share, and words in a key.
+RUN = 9
+GRAM = 5
 HOT_KEY = 64
 BROADCAST_ROWS = 1_000_000
 BLANKS = " \t\x0b\x0c\r"
@@ -84,6 +97,68 @@ def key_rows(distinct: DataFrame, max_edits: int) -> DataFrame:
     )
 
 
+def words_of(line: str) -> Column:
+    """The words of a line: split at blanks, and behind every character from U+2E80 on, as
+    scripts written without blanks begin there."""
+    wide = F.regexp_replace(line, r"([\x{2E80}-\x{10FFFF}])", "$1 ")
+    return F.split(F.when(F.octet_length(line) == F.length(line), F.col(line)).otherwise(wide), " ")
+
+
+def word_limit(words: str) -> str:
+    """SQL for the number of changed words allowed in a line of ``words`` words."""
+    return f"greatest(0, ({words} - {RUN}) div {RUN + 1})"
+
+
+def settled(max_edits: int) -> int:
+    """Words from which on a pair within ``max_edits`` edits must share a word minimizer."""
+    return RUN * (max_edits + 1) + 2 * max_edits
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def word_key_rows(distinct: DataFrame) -> DataFrame:
+    """(key, h1): the word minimizers of distinct lines (h1, line)."""
+    grams = f"transform(sequence(0, size(words) - {GRAM}), i -> xxhash64(slice(words, i + 1, {GRAM})))"
+    window = RUN - GRAM + 1
+    least = f"array_distinct(transform(sequence(0, size(g) - {window}), i -> array_min(slice(g, i + 1, {window}))))"
+    long_lines = distinct.select("h1", words_of("line").alias("words")).filter(f"size(words) >= {2 * RUN + 1}")
+    return long_lines.selectExpr(f"explode({_let(grams, 'g', least)}) AS key", "h1")
+
+
+def sketches(lines: DataFrame) -> DataFrame:
+    """(h1, m, s0, s1) of the lines with word minimizers: the number of words and 128 parities
+    of the numbers of words by hash."""
+
+    def lane(j: int) -> str:
+        bit = f"CASE WHEN (v & 64) = {64 * j} THEN shiftleft(1L, CAST(v & 63 AS INT)) ELSE 0L END"
+        return f"aggregate(k, 0L, (s, v) -> s ^ {bit})"
+
+    both = _let("transform(words, v -> xxhash64(v))", "k", f"struct({lane(0)} AS s0, {lane(1)} AS s1)")
+    return (
+        lines.select("h1", words_of("line").alias("words"))
+        .filter(f"size(words) >= {2 * RUN + 1}")
+        .selectExpr("h1", "size(words) AS m", f"inline(array({both}))")
+        .dropDuplicates(["h1"])
+    )
+
+
+def words_within(a: str, b: str) -> str:
+    """SQL for 'the word arrays a and b are within the word limit'."""
+    limit = word_limit(f"least(size({a}), size({b}))")
+    # a word's number as a code point, surrogates left out
+    number = "array_position(d, u) + 31"
+    code = f"CASE WHEN {number} < 55296 THEN {number} ELSE {number} + 2048 END"
+
+    def written(words: str) -> str:
+        return f"array_join(transform({words}, u -> decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32')), '')"
+
+    distance = _let(f"array_distinct(concat({a}, {b}))", "d", f"levenshtein({written(a)}, {written(b)}, CAST({limit} AS INT))")
+    return f"({limit} > 0 AND abs(size({a}) - size({b})) <= {limit} AND {distance} >= 0)"
+
+
 def edit_distance_within(a: str, b: str, max_edits: int) -> str:
     """SQL for 'at most max_edits edits between the array columns a and b of characters, a not
     shorter', by the banded bit-parallel recurrence.
@@ -135,15 +210,77 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(h1, h2, line) of the lines whose h1 is in the stored pairs (a, b)."""
+    wanted = checkpoint_table(pairs.selectExpr("explode(array(a, b)) AS h1").distinct(), "line-ids")
+    return checkpoint_table(
+        lines.select("h1", "h2", "line").join(_bounded(wanted), "h1", "left_semi").distinct(), "line-texts"
+    )
+
+
+def _checked(lines: DataFrame, pairs: DataFrame, max_edits: int) -> DataFrame:
+    """(a, b, ida, idb) of the pairs (a, b) of h1 whose lines are within either limit."""
+    pairs = checkpoint_table(pairs.distinct(), "line-pairs")
+    texts = _texts(lines, pairs)
+    ident = F.struct("h1", "h2")
+    p = texts.select(F.col("h1").alias("a"), ident.alias("ida"), F.col("line").alias("p"))
+    q = texts.select(F.col("h1").alias("b"), ident.alias("idb"), F.col("line").alias("q"))
+    both = pairs.join(p, "a").join(q, "b").withColumn("v", words_of("p")).withColumn("w", words_of("q"))
+    # the id keeps the filter above the split
+    both = both.withColumn("row", F.monotonically_increasing_id())
+    near = both.filter(f"row >= 0 AND (levenshtein(p, q, {max_edits}) >= 0 OR {words_within('v', 'w')})")
+    return checkpoint_table(near.select("a", "b", "ida", "idb"), "near-lines")
+
+
+def reworded_lines(lines: DataFrame, distinct: DataFrame, max_edits: int, hot_key: int) -> DataFrame:
+    """Edges (a, b) between identities of lines that share a word minimizer and are within the
+    word limit or ``max_edits`` edits, enough of them to connect every such pair."""
+    from pyspark.sql import Window
+
+    shared = checkpoint_table(
+        word_key_rows(distinct).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("rows > 1"),
+        "word-keys",
+    )
+    rows = checkpoint_table(shared.join(sketches(lines), "h1"), "word-rows")
+
+    def close(x: str, y: str) -> str:
+        """SQL for 'the sketches of x and y allow a link'."""
+        limit = f"greatest({2 * max_edits}, {word_limit(f'least({x}.m, {y}.m)')})"
+        flips = f"bit_count({x}.s0 ^ {y}.s0) + bit_count({x}.s1 ^ {y}.s1)"
+        return f"abs({x}.m - {y}.m) <= {limit} AND {flips} <= 2 * {limit}"
+
+    hot = rows.filter(F.col("rows") > hot_key)
+    heads = hot.groupBy("key").agg(F.min(F.struct("h1", "m", "s0", "s1")).alias("y"))
+    led = hot.select("key", F.struct("h1", "m", "s0", "s1").alias("x")).join(heads, "key")
+    led = led.filter(f"x.h1 <> y.h1 AND {close('x', 'y')}").selectExpr("key", "x.h1 AS a", "y.h1 AS b")
+    # a line meets the same head under many keys and is verified once
+    near_head = _checked(lines, led.select("a", "b"), max_edits)
+    marks = led.join(near_head.select("a", "b").distinct(), ["a", "b"]).selectExpr("key", "a AS h1", "true AS led").distinct()
+    rows = rows.join(marks, ["key", "h1"], "left").withColumn("led", F.coalesce("led", F.lit(False)))
+    pairs = rows.alias("x").join(
+        rows.alias("y"), F.expr(f"x.key = y.key AND x.h1 < y.h1 AND NOT (x.led AND y.led) AND {close('x', 'y')}")
+    )
+    near = _checked(lines, pairs.selectExpr("x.h1 AS a", "y.h1 AS b"), max_edits)
+    return near.unionByName(near_head).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+
+
 def similar_lines(
-    lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot_key: int = HOT_KEY
+    lines: DataFrame,
+    max_edits: int = MAX_EDITS,
+    min_chars: int = MIN_CHARS,
+    hot_key: int = HOT_KEY,
+    changed_words: bool = True,
 ) -> DataFrame:
-    """Edges (a, b) between identities (structs of h1, h2) of lines within the limit, enough
-    of them to connect every such pair."""
+    """Edges (a, b) between identities (structs of h1, h2) of lines within the limits, enough
+    of them to connect every such pair; without ``changed_words`` max_edits alone counts."""
     if min_chars < 2 * (max_edits + 1):
         raise ValueError("min_chars must be at least twice the number of segments")
-    long_lines = lines.select("line").filter(F.length("line") >= min_chars)
-    distinct = long_lines.distinct().select(F.xxhash64("line").alias("h1"), "line", F.length("line").alias("n"))
+    long_lines = lines.filter(F.length("line") >= min_chars)
+    distinct = long_lines.select("line").distinct().select(F.xxhash64("line").alias("h1"), "line", F.length("line").alias("n"))
+    reworded = None
+    if changed_words:
+        reworded = reworded_lines(long_lines, distinct, max_edits, hot_key)
+        distinct = distinct.filter(F.size(words_of("line")) < settled(max_edits))
     from pyspark.sql import Window
 
     by_key = Window.partitionBy("key")
@@ -184,7 +321,8 @@ def similar_lines(
         ),
     ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.line").alias("p"), F.col("y.line").alias("q"))
     linked = verified(pairs.dropDuplicates(["a", "b"]), "p", "q", max_edits).select("a", "b")
-    return linked.unionByName(near_head.select(F.col("id").alias("a"), F.col("head").alias("b"))).distinct()
+    linked = linked.unionByName(near_head.select(F.col("id").alias("a"), F.col("head").alias("b")))
+    return (linked if reworded is None else linked.unionByName(reworded)).distinct()
 
 
 def line_classes(
@@ -194,11 +332,14 @@ def line_classes(
     max_edits: int = MAX_EDITS,
     min_chars: int = MIN_CHARS,
     hot_key: int = HOT_KEY,
+    changed_words: bool = True,
 ) -> DataFrame:
     """One row per line with a word: (id, th, line_no, n_words, class_doc_id, class_line_no,
     n_copies, first); the class is named by its first line in order of id, text hash, line."""
     lines = document_lines(docs, id_col, text_col)
-    roots = checkpoint_table(connected_components(similar_lines(lines, max_edits, min_chars, hot_key)), "line-roots")
+    roots = checkpoint_table(
+        connected_components(similar_lines(lines, max_edits, min_chars, hot_key, changed_words)), "line-roots"
+    )
     names = roots.select("node.h1", "node.h2", F.col("root.h1").alias("r1"), F.col("root.h2").alias("r2"))
     classed = (
         lines.select(

@@ -184,6 +184,52 @@ def test_line_classes_equal_brute_force(spark, limit, hot):
     )
 
 
+def word_edits(a, b):
+    return edits([a.index(x) if x in a else -1 for x in a], [a.index(x) if x in a else -1 - k for k, x in enumerate(b)])
+
+
+@pytest.mark.parametrize("hot", [64, 4])
+def test_line_dedup_recall_of_changed_words(spark, hot):
+    """Long lines with one to many changed words: all within the word limit are found, no other."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 11))) for _ in range(900)]
+    lines = []
+    for k in range(40):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([15, 19, 28, 29, 40, 70, 130, 420]))]
+        if k % 5 == 0:
+            words = [chr(0x4E00 + rng.randrange(3000)) for _ in words]
+        glue = "" if k % 5 == 0 else " "
+        lines.append(glue.join(words))
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(rng.randrange(1, max(3, len(words) // 8))):
+                at, word = rng.randrange(len(copy)), chr(0x7000 + rng.randrange(900)) if glue == "" else rng.choice(vocabulary)
+                rng.choice((lambda: copy.insert(at, word), lambda: copy.pop(at), lambda: copy.__setitem__(at, word)))()
+            lines.append(glue.join(copy))
+    cut = {x: re.sub(r"([\u2e80-\uffff])", r"\1 ", x).split(" ") for x in lines}
+    texts = sorted(set(lines))
+    pairs, longer = [], 0
+    for i, a in enumerate(texts):
+        for b in texts[i + 1 :]:
+            limit = max(0, (min(len(cut[a]), len(cut[b])) - 9) // 10)
+            if min(len(a), len(b)) < 20 or abs(len(cut[a]) - len(cut[b])) > max(limit, 2) or not set(cut[a]) & set(cut[b]):
+                continue
+            if len(set(cut[a]) & set(cut[b])) * 2 < len(set(cut[a])):
+                continue
+            near = abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2
+            if near or word_edits(cut[a], cut[b]) <= limit:
+                pairs.append((a, b))
+                longer += not near
+    assert longer > 60
+    root = roots_of(texts, pairs)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    first = {}
+    for k, x in enumerate(lines):
+        first.setdefault(root[x], k)
+    got = line_dedup.line_classes(df, hot_key=hot).collect()
+    assert sorted((r.doc_id, r.class_doc_id) for r in got) == [(k, first[root[x]]) for k, x in enumerate(lines)]
+
+
 def test_line_dedup_documents(spark):
     a, b = "This is a line of the first document here.", "Another line which is only found in one."
     rows = [
