@@ -95,8 +95,11 @@ def literal_score(value: str, quoted: bool) -> float:
     """How much a literal looks like a secret, 0 to 0.6; below 0 for placeholders."""
     if len(value) < MIN_LITERAL or PLACEHOLDER.match(value):
         return -1.0
-    counts = Counter(value)
-    bits = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
+    return _character_score(len(value), Counter(value), quoted)
+
+
+def _character_score(length: int, counts: dict[str, int], quoted: bool) -> float:
+    bits = -sum(c / length * math.log2(c / length) for c in counts.values())
     kinds = sum(any(t(c) for c in counts) for t in (str.islower, str.isupper, str.isdigit)) + any(
         not c.isalnum() and not c.isspace() for c in counts
     )
@@ -134,11 +137,93 @@ def _operator(text: str, at: int) -> int:
 
 
 Piece = tuple[int, int, bool]
-
-
-def _expression(text: str, at: int, known: dict[str, list[Piece]]) -> list[Piece]:
-    """Literals of the expression that starts at ``at``, identifiers replaced by theirs."""
-    pieces: list[Piece] = []
+_CHAINED = re.compile(r"[ \t]*=(?![=>])")
+# Characters kept of both ends of a long value; no PLACEHOLDER word is as long.
+_ENDS = 64
+
+
+class Value:
+    """An expression's literals (pieces) and constants (shared values), in order."""
+
+    __slots__ = ("parts", "summary", "reported")
+
+    def __init__(self, parts: list[Piece | Value]):
+        self.parts, self.summary, self.reported = parts, None, False
+
+    def _summarize(self, text: str) -> None:
+        length, counts, head, tail, quoted = 0, Counter(), "", "", True
+        for p in self.parts:
+            if isinstance(p, Value):
+                n, c, h, t, q = p.summary
+            else:
+                v = text[p[0] : p[1]]
+                n, c, h, t, q = len(v), Counter(v), v[:_ENDS], v[-_ENDS:], p[2]
+            if len(head) < _ENDS:
+                head = (head + h)[:_ENDS]
+            length, tail, quoted = length + n, (tail + t)[-_ENDS:], quoted and q
+            counts.update(c)
+        if length >> 256:  # doubled over and over: the shares of the characters are all that counts
+            shift = length.bit_length() - 128
+            counts = Counter({k: max(1, n >> shift) for k, n in counts.items()})
+            length = sum(counts.values())
+        self.summary = (length, counts, head, tail, quoted)
+
+    def _below(self, skip) -> list[Value]:
+        """This value and those it is made of that ``skip`` does not stop at, parts first."""
+        order, seen, stack = [], set(), [(self, False)]
+        while stack:
+            v, left = stack.pop()
+            if left:
+                order.append(v)
+            elif id(v) not in seen and not skip(v):
+                seen.add(id(v))
+                stack.append((v, True))
+                stack += [(p, False) for p in v.parts if isinstance(p, Value)]
+        return order
+
+    def score(self, text: str) -> float:
+        """``literal_score`` of the whole value, which is never written out."""
+        for v in self._below(lambda v: v.summary is not None):
+            v._summarize(text)
+        length, counts, head, tail, quoted = self.summary
+        if length <= _ENDS:
+            return literal_score(head, quoted)
+        # the ends and every character once between them match PLACEHOLDER as the value does
+        return -1.0 if PLACEHOLDER.match(head + "".join(counts) + tail) else _character_score(length, counts, quoted)
+
+    def report(self) -> list[Piece]:
+        """Pieces that no value has reported yet."""
+        out = []
+        for v in self._below(lambda v: v.reported):
+            v.reported = True
+            out += [p for p in v.parts if not isinstance(p, Value)]
+        return out
+
+
+def _expression(text: str, at: int, known: dict[str, Value], chains: dict[int, Value]) -> Value:
+    """Literals of the expression that starts at ``at``, identifiers replaced by their values.
+    ``chains`` gets the value for the start of every further target of a chain."""
+    starts = []
+    while (
+        (m := _IDENTIFIER.match(text, _past_blanks(text, at)))
+        and m[0] not in known
+        and (chained := _CHAINED.match(text, m.end()))
+    ):
+        at = chained.end()
+        starts.append(at)
+    value = Value(_parts(text, at, known))
+    chains.update((k, value) for k in starts)
+    return value
+
+
+def _past_blanks(text: str, at: int) -> int:
+    while at < len(text) and text[at] in _BLANKS:
+        at += 1
+    return at
+
+
+def _parts(text: str, at: int, known: dict[str, Value]) -> list[Piece | Value]:
+    pieces: list[Piece | Value] = []
     first = True
     while True:
         while at < len(text) and text[at] in _BLANKS:
@@ -148,10 +233,8 @@ def _expression(text: str, at: int, known: dict[str, list[Piece]]) -> list[Piece
             pieces.append((m.start(k), m.end(k), True))
             at = m.end()
         elif (m := _IDENTIFIER.match(text, at)) and (value := known.get(m[0])) is not None:
-            pieces += value
+            pieces.append(value)
             at = m.end()
-        elif first and (m := _IDENTIFIER.match(text, at)) and re.compile(r"[ \t]*=(?![=>])").match(text, m.end()):
-            return _expression(text, text.index("=", m.end()) + 1, known)
         elif first and (m := _BARE.match(text, at)):
             return [(m.start(), m.end(), False)]
         else:
@@ -165,9 +248,10 @@ def _expression(text: str, at: int, known: dict[str, list[Piece]]) -> list[Piece
             return pieces
 
 
-def assignments(text: str) -> list[tuple[str, list[Piece]]]:
-    """(name, literals) of every assignment, constants propagated."""
-    known: dict[str, list[Piece]] = {}
+def assignments(text: str) -> list[tuple[str, Value]]:
+    """(name, value) of every assignment, constants propagated as shared values."""
+    known: dict[str, Value] = {}
+    chains: dict[int, Value] = {}
     out = []
     skip = 0
     for m in _OPERATOR.finditer(text):
@@ -180,25 +264,24 @@ def assignments(text: str) -> list[tuple[str, list[Piece]]]:
         name = _name_before(text, m.start())
         if not name:
             continue
-        pieces = _expression(text, end, known)
-        if pieces:
-            out.append((name, pieces))
-            known[name] = pieces
+        value = chains.pop(end, None) or _expression(text, end, known, chains)
+        if value.parts:
+            out.append((name, value))
+            known[name] = value
     if "</" in text:
-        out += [(m[1], [(m.start(2), m.end(2), True)]) for m in _ELEMENT.finditer(text)]
+        out += [(m[1], Value([(m.start(2), m.end(2), True)])) for m in _ELEMENT.finditer(text)]
     return out
 
 
 def literal_spans(text: str) -> list[Span]:
     """Literals assigned to sensitive names."""
     out = set()
-    for name, pieces in assignments(text):
+    for name, value in assignments(text):
         score = name_score(name)
         if score <= 0:
             continue
-        value = "".join(text[a:b] for a, b, _ in pieces)
-        if score + literal_score(value, all(q for _, _, q in pieces)) >= THRESHOLD:
-            out.update(("literal", a, b) for a, b, _ in pieces if b > a)
+        if score + value.score(text) >= THRESHOLD:
+            out.update(("literal", a, b) for a, b, _ in value.report() if b > a)
     return sorted(out, key=lambda s: s[1:])
 
 

@@ -207,6 +207,21 @@ def test_lexer(text, found):
     assert literals(text) == found
 
 
+def test_lexer_long_chains_and_shared_constants():
+    n = 20_000
+    chain = "=".join(f"a{k}" for k in range(n)) + "='rT55-pl0Q-88'\nmaster_key: a7"
+    assert literals(chain) == ["rT55-pl0Q-88"]
+    assert literals("_=" * n) == [] and literals("a=" * n + "password = 'rT55-pl0Q-88'") == ["rT55-pl0Q-88"]
+    grown = "s = 'Ab1-x'\n" + "s = s + 'Zx81'\n" * n
+    assert len(literals(grown + "password = s")) == n + 1
+    assert len(literals(grown.replace("s", "token"))) == n + 1
+    doubled = "a = 'Ab1-xyZ9'\n" + "a = a + a\n" * n
+    assert literals(doubled + "password = a") == ["Ab1-xyZ9"]
+    assert literals("a = 'x'\n" + "a = a + a\n" * n + "password = a") == []
+    # a literal used twice counts twice
+    assert literals("a = 'b1-Z'\npassword = a + a") == ["b1-Z"]
+
+
 def test_scan_edges_and_redaction(spark, edge):
     rows = secret_scan.scan_secrets(edge).collect()
     assert len(rows) == len(EDGE) and all(r.spans == "" for r in rows if r.doc_id in (1, 2))
