@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens.llm.lexical_search import LEXICAL_SEARCH_SQL
 from orderlens.llm.line_cleaning import LINE_CLEANING_SQL
 from orderlens.session import ensure_checkpoint_dir
 
@@ -115,6 +116,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orderlens.llm.lexical_search import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orderlens.llm.conversation_repair import damaged, repair_conversations
+
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_vector_packing": op2_vector_packing,
@@ -126,8 +139,13 @@ QUERIES = {
     "op8_orc_tokens": op8_orc_tokens,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op12_hybrid_search": op12_hybrid_search,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 # The other operators depend on a tokenizer, hashes or graphs that SQL does not have; their
 # queries are tested against brute force, the libraries themselves or exact round trips.
-ORACLE_SQL: dict[str, str] = {"op3_line_cleaning": LINE_CLEANING_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_cleaning": LINE_CLEANING_SQL,
+    "op12_hybrid_search": LEXICAL_SEARCH_SQL,
+}
