@@ -116,6 +116,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orderlens.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orderlens.llm.lexical_search import rank_documents
 
@@ -139,6 +145,7 @@ QUERIES = {
     "op8_orc_tokens": op8_orc_tokens,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_embedding_dedup": op11_embedding_dedup,
     "op12_hybrid_search": op12_hybrid_search,
     "op13_conversation_repair": op13_conversation_repair,
 }
