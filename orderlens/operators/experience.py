@@ -19,6 +19,14 @@ def delivery_metrics(sales: DataFrame, bounds=BUCKET_BOUNDS, labels=BUCKET_LABEL
     )
 
 
+def known_scores(reviews: DataFrame) -> DataFrame:
+    """Reviews with NaN scores as NULL: a column of whole scores with a missing one arrives as
+    double with NaN from a pandas export, and NaN is missing there (S3)."""
+    if dict(reviews.dtypes)["review_score"] not in ("float", "double"):
+        return reviews
+    return reviews.withColumn("review_score", F.expr("nullif(review_score, CAST('NaN' AS DOUBLE))"))
+
+
 def review_speed(sales_with_delivery: DataFrame, reviews: DataFrame) -> DataFrame:
     """Distinct ``(order_id, delivery_speed, delivery_time, review_score)`` of the sales
     that have a review (A9, S21, S22).
@@ -29,7 +37,7 @@ def review_speed(sales_with_delivery: DataFrame, reviews: DataFrame) -> DataFram
     The final dedupe reuses the join's ``order_id`` partitioning.
     """
     left = sales_with_delivery.select("order_id", "delivery_speed", "delivery_time").dropDuplicates()
-    right = reviews.select("order_id", "review_score").dropDuplicates()
+    right = known_scores(reviews.select("order_id", "review_score")).dropDuplicates()
     return left.join(right, "order_id").select(*REVIEW_COLUMNS).dropDuplicates()
 
 

@@ -93,6 +93,34 @@ def state_revenue_from_orders(per_order: DataFrame, orders: DataFrame, customers
     return _state_revenue_from_customers(per_customer, customers)
 
 
+def build_customer_sales(order_sales: DataFrame, orders: DataFrame) -> DataFrame:
+    """``customer_id, price_units, year, month``: sales at customer grain, the fact that state
+    revenue of stored facts reads.
+
+    Every orders row of an order id is an owner of the order's sales, whatever its period and
+    status (S15), so the join back to orders (J3) is made here once.  A period is a sum of its
+    months, as a sale belongs to the month of its own orders row.
+    """
+    per_order = (
+        order_sales.where(F.col("order_id").isNotNull())
+        .groupBy("order_id", "year", "month")
+        .agg(units_sum("price_units").alias("order_units"))
+    )
+    owners = orders.select("order_id", "customer_id").where(F.col("customer_id").isNotNull())
+    return (
+        per_order.join(owners, "order_id")
+        .groupBy("customer_id", "year", "month")
+        .agg(F.sum("order_units").alias("price_units"))
+        .select("customer_id", "price_units", "year", "month")
+    )
+
+
+def state_revenue_from_customer_sales(customer_sales: DataFrame, customers: DataFrame) -> DataFrame:
+    """State revenue of the months in ``customer_sales`` (see :func:`build_customer_sales`)."""
+    per_customer = customer_sales.groupBy("customer_id").agg(F.sum("price_units").alias("key_revenue"))
+    return _state_revenue_from_customers(per_customer, customers)
+
+
 def state_revenue_of_period(
     order_items: DataFrame,
     orders: DataFrame,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import growth, money_total, money_total_sql, safe_ratio, safe_ratio_sql, units_sum
+from ..functions.columns import growth, money_total, money_total_sql, safe_ratio, safe_ratio_sql, units_sum, units_to_money_sql, wide_sum_sql
 from .sales import price_units
 
 
@@ -94,6 +94,46 @@ def order_count(sales: DataFrame, approx_rsd: float | None = None) -> DataFrame:
     return sales.agg(F.count_distinct("order_id").alias("order_count"))
 
 
+# Size of the stored order sketches: 2**12 registers, 1.04 / 2**6 = 1.6 % standard error.
+SKETCH_LG_K = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_LG_K / 2)
+
+
+def build_order_cells(order_sales: DataFrame) -> DataFrame:
+    """``revenue_units, order_sketch, year, month``: one row per month with its exact revenue
+    and a distinct-count sketch of its order ids.
+
+    Sketches merge (``hll_union_agg``), so the orders of any set of months come from a few
+    kilobytes per month, an order present in several of them counted once.
+    """
+    sales = order_sales.where(F.col("order_id").isNotNull() & F.col("year").isNotNull())
+    key = F.col("order_id")
+    if dict(order_sales.dtypes)["order_id"] not in ("int", "bigint", "string", "binary"):
+        key = key.cast("string")
+    return sales.groupBy("year", "month").agg(
+        F.expr(wide_sum_sql("price_units")).alias("revenue_units"),
+        F.hll_sketch_agg(key, SKETCH_LG_K).alias("order_sketch"),
+    ).select("revenue_units", "order_sketch", "year", "month")
+
+
+def order_count_of_cells(cells: DataFrame, *keys: str) -> DataFrame:
+    """``keys..., revenue, order_count, aov`` of months put together: revenue exact, orders
+    estimated within ``SKETCH_ERROR`` (one standard error; three hold in 99.7 % of cases)."""
+    return (
+        cells.groupBy(*keys)
+        .agg(
+            F.expr("sum(revenue_units)").alias("units"),
+            F.hll_sketch_estimate(F.hll_union_agg("order_sketch")).alias("order_count"),
+        )
+        .select(
+            *keys,
+            F.expr(units_to_money_sql("units")).alias("revenue"),
+            "order_count",
+            F.expr(safe_ratio_sql(units_to_money_sql("units"), "order_count")).alias("aov"),
+        )
+    )
+
+
 def per_order_totals(sales: DataFrame, *keys: str) -> DataFrame:
     """``keys..., order_id, order_revenue`` -- one row per order (and key), exact units.
 

@@ -16,7 +16,8 @@ from ..functions.columns import growth
 from ..operators import experience, product, profile, revenue
 from ..operators.quantile import describe
 from ..operators.sales import filter_by_period, period_predicate
-from ..session import session_key
+from ..session import new_folder, session_key
+from ..sources.bucketed import save_bucketed
 from ..sources.tables import scan_counts
 from . import reports
 from .model import SalesModel
@@ -65,6 +66,49 @@ def _growth_query(metric: str) -> Callable[[SalesModel], DataFrame]:
     return run
 
 
+def _stored(m: SalesModel) -> SalesModel:
+    """The model with its facts written to a new folder and opened from there."""
+    return m.materialize(new_folder(m.orders.sparkSession, "facts"))
+
+
+def _refreshed(m: SalesModel) -> SalesModel:
+    """Facts stored before the orders of (YEAR, MONTH) had arrived, then refreshed with them."""
+    ts = F.to_date("order_purchase_timestamp")
+    arrives = (F.year(ts) == YEAR) & (F.month(ts) == MONTH)
+    early = m.orders.where(~F.coalesce(arrives, F.lit(False)))
+    folder = new_folder(m.orders.sparkSession, "facts")
+    SalesModel({**m.tables, "orders": early}, m.status, m.lenient).materialize(folder)
+    return m.refresh(folder, m.orders.where(arrives))
+
+
+BUCKETS = 16
+
+
+def _bucketed(m: SalesModel) -> SalesModel:
+    spark = m.orders.sparkSession
+    folder = new_folder(spark, "bucketed")
+    save_bucketed(m.tables, folder, BUCKETS)
+    return SalesModel.from_bucketed(spark, folder)
+
+
+def _double_scores(m: SalesModel) -> SalesModel:
+    """Review scores as a pandas export has them: doubles, a missing one as NaN."""
+    score = F.coalesce(F.col("review_score").cast("double"), F.lit(float("nan")))
+    return SalesModel({**m.tables, "reviews": m.reviews.withColumn("review_score", score)}, m.status, m.lenient)
+
+
+def _order_count_sketches(m: SalesModel) -> DataFrame:
+    """Exact orders of every year and month, and whether the merged sketches come within three
+    standard errors of them."""
+    exact = reports.period_cube(m).select("year", "month", "order_count")
+    near = reports.approx_period_cube(_stored(m)).select(
+        F.col("year").alias("y"), F.col("month").alias("m"), F.col("order_count").alias("estimate")
+    )
+    both = exact.join(near, F.col("year").eqNullSafe(F.col("y")) & F.col("month").eqNullSafe(F.col("m")))
+    bound = F.col("order_count") * (3 * revenue.SKETCH_ERROR)
+    return both.select("year", "month", "order_count", (F.abs(F.col("estimate") - F.col("order_count")) <= bound).alias("within_bound"))
+
+
 def _on_model(fn: Callable[[SalesModel], DataFrame]) -> QueryFn:
     return lambda spark, sf_dir: fn(_model(spark, sf_dir))
 
@@ -130,6 +174,15 @@ _MODEL_QUERIES: dict[str, Callable[[SalesModel], DataFrame]] = {
     "summary": lambda m: reports.summary(m, YEAR),
     "summary_month": lambda m: reports.summary(m, YEAR, MONTH),
     "period_cube": lambda m: reports.period_cube(m),
+    # stored facts, refreshed facts, bucketed tables, other score types
+    "revenue_by_state_stored": lambda m: reports.state_revenue(_stored(m), YEAR),
+    "revenue_by_state_month_stored": lambda m: reports.state_revenue(_stored(m), YEAR, MONTH),
+    "summary_month_refreshed": lambda m: reports.summary(_refreshed(m), YEAR, MONTH),
+    "period_cube_refreshed": lambda m: reports.period_cube(_refreshed(m)),
+    "order_count_sketches": _order_count_sketches,
+    "kpi_report_bucketed": lambda m: reports.kpi_report(_bucketed(m), YEAR),
+    "kpi_report_double_scores": lambda m: reports.kpi_report(_double_scores(m), YEAR),
+    "summary_double_scores": lambda m: reports.summary(_double_scores(m), YEAR),
 }
 
 

@@ -31,16 +31,24 @@ from ..functions.columns import (
 )
 from ..operators.experience import (
     delivery_metrics,
+    known_scores,
     review_speed,
     score_by_bucket,
     score_distribution,
 )
-from ..operators.product import revenue_by_category, state_revenue_from_orders, state_revenue_of_period, top_n
+from ..operators.product import (
+    revenue_by_category,
+    state_revenue_from_customer_sales,
+    state_revenue_from_orders,
+    state_revenue_of_period,
+    top_n,
+)
 from ..operators.revenue import (
     MEAN_GROWTH,
     avg_growth_of_months,
     flag_periods,
     monthly_growth,
+    order_count_of_cells,
     per_order_totals,
 )
 from ..operators.sales import filter_by_period, period_predicate, price_units
@@ -85,14 +93,18 @@ def reviews_per_order(reviews: DataFrame) -> DataFrame:
     """``order_id, n_reviews, n_scores, score_sum`` over an order's *distinct* scores (A9: equal
     scores collapse, a missing score counts as one more row).  The score set of an order is
     bounded by the scale, so one aggregation does it."""
+    reviews = known_scores(reviews)
+    # sums start from a value of the scores' kind: whole numbers stay exact longs
+    whole = dict(reviews.dtypes)["review_score"] in ("tinyint", "smallint", "int", "bigint")
+    start, kind = ("0L", "BIGINT") if whole else ("0D", "DOUBLE")
     sets = reviews.groupBy("order_id").agg(
-        F.collect_set("review_score").alias("scores"), F.max(F.col("review_score").isNull()).alias("missing")
+        F.sort_array(F.collect_set("review_score")).alias("scores"), F.max(F.col("review_score").isNull()).alias("missing")
     )
     return sets.select(
         "order_id",
         F.expr("size(scores) + CASE WHEN missing THEN 1 ELSE 0 END").alias("n_reviews"),
         F.size("scores").alias("n_scores"),
-        F.expr("aggregate(scores, 0L, (a, x) -> a + x)").alias("score_sum"),
+        F.expr(f"aggregate(scores, {start}, (a, x) -> a + CAST(x AS {kind}))").alias("score_sum"),
     )
 
 
@@ -252,20 +264,22 @@ def summary(model: SalesModel, year: int, month: int | None = None, comparison_y
     top_cat = top_n(
         revenue_by_category(cur_lines, model.products), 1, "revenue", "product_category_name"
     ).select(F.col("product_category_name").alias("top_category"))
-    # Current-period revenue per order from the comparison's per-order rows: conditional sums
-    # instead of a filter keep the shared aggregation (and its exchanges) identical.
-    cur_per_order = (
-        per_order.groupBy("order_id")
-        .agg(
-            F.expr("sum(CASE WHEN is_current THEN order_revenue END)").alias("key_revenue"),
-            F.expr("count(CASE WHEN is_current THEN 1 END)").alias("n_current"),
+    if model.keeps("customer_sales"):
+        states = state_revenue(model, year, month)
+    else:
+        # Current-period revenue per order from the comparison's per-order rows: conditional
+        # sums instead of a filter keep the shared aggregation (and its exchanges) identical.
+        cur_per_order = (
+            per_order.groupBy("order_id")
+            .agg(
+                F.expr("sum(CASE WHEN is_current THEN order_revenue END)").alias("key_revenue"),
+                F.expr("count(CASE WHEN is_current THEN 1 END)").alias("n_current"),
+            )
+            .where(F.col("n_current") > 0)
+            .select("order_id", "key_revenue")
         )
-        .where(F.col("n_current") > 0)
-        .select("order_id", "key_revenue")
-    )
-    top_state = top_n(
-        state_revenue_from_orders(cur_per_order, model.orders, model.customers), 1, "price", "customer_state"
-    ).select(F.col("customer_state").alias("top_state"))
+        states = state_revenue_from_orders(cur_per_order, model.orders, model.customers)
+    top_state = top_n(states, 1, "price", "customer_state").select(F.col("customer_state").alias("top_state"))
     merged = collapse_rows([comp, top_cat, top_state])
     return merged.select(
         F.lit(year).alias("year"),
@@ -331,6 +345,15 @@ def period_cube(model: SalesModel) -> DataFrame:
     ).orderBy("year", F.asc_nulls_first("month"))
 
 
+def approx_period_cube(model: SalesModel) -> DataFrame:
+    """``year, month, revenue, order_count, aov`` of every year and month from the month cells:
+    revenue exact, order counts within ``SKETCH_ERROR`` (opt-in, R-1).  On stored facts it reads
+    a few kilobytes a month instead of all orders."""
+    by_month = order_count_of_cells(model.order_cells, "year", "month")
+    by_year = order_count_of_cells(model.order_cells, "year").withColumn("month", F.lit(None).cast("int"))
+    return by_month.unionByName(by_year).orderBy("year", F.asc_nulls_first("month"))
+
+
 def top_categories(model: SalesModel, year: int, month: int | None = None, n: int = 10, with_rank: bool = False, chart_order: bool = False) -> DataFrame:
     """Top-n categories of a period (T1: dashboard top 10 with labels, T2: ranked top 15)."""
     cats = revenue_by_category(filter_by_period(model.sales, year, month), model.products)
@@ -339,7 +362,10 @@ def top_categories(model: SalesModel, year: int, month: int | None = None, n: in
 
 
 def state_revenue(model: SalesModel, year: int, month: int | None = None) -> DataFrame:
-    """Revenue by state of a period (A8), each table scanned once."""
+    """Revenue by state of a period (A8).  A model with stored or cached facts reads the
+    period's months at customer grain; otherwise each table is scanned once."""
+    if model.keeps("customer_sales"):
+        return state_revenue_from_customer_sales(filter_by_period(model.customer_sales, year, month), model.customers)
     return state_revenue_of_period(
         model.order_items, model.orders, model.customers, period_predicate(year, month), model.status, model.lenient
     )

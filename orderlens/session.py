@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -135,6 +136,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared checkpoint folder that nothing uses yet."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint_table(df, name: str):
     """Cut lineage by writing ``df`` as parquet under the session's checkpoint folder and
     reading it back.
@@ -143,10 +149,7 @@ def checkpoint_table(df, name: str):
     result survives lost executors, is computed exactly once, and its rows (including any
     ``spark_partition_id`` taken before the write) never change afterwards.
     """
-    import uuid
-
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
