@@ -69,3 +69,32 @@ def test_approx_option_close_to_exact(spark):
         want_rank = sum(v <= want for v in ranks)
         assert abs(got_rank - want_rank) <= len(values) / 10000 + 1
     assert describe(df, exact=False).collect()[0]["count"] == 5000
+
+
+@pytest.mark.parametrize("accuracy,ranges", [(2, 3), (20, 2), (200, 64)])
+def test_ranges_do_not_change_the_result(spark, accuracy, ranges):
+    """Values spaced exponentially, ties across range ends, NaN and missing values, many quantiles."""
+    rng = random.Random(ranges)
+    a = [rng.choice([2.0**k for k in range(-40, 41)] + [1.5] * 30) for _ in range(1500)] + [float("nan"), None] * 20
+    b = [rng.randrange(10**6) for _ in range(len(a))]
+    probs = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    df = spark.createDataFrame(list(zip(a, b)), "a double, b long").repartition(5)
+    got = {r["column"]: r for r in exact_quantiles(df, ["a", "b"], probs, accuracy=accuracy, ranges=ranges).collect()}
+    for name, values in (("a", [v for v in a if v is not None and v == v]), ("b", b)):
+        want = [float(np.percentile(values, 100 * p)) for p in probs]
+        assert list(got[name])[2:] == pytest.approx(want, rel=1e-12)
+
+
+def test_no_window_or_sort_over_values_and_two_scans(spark):
+    """Windows run over counted ranges only; the table is read twice."""
+    from conftest import SF_SMALL
+    from orderlens.plans.model import SalesModel
+    from test_plans import plan_text
+
+    items = SalesModel.from_fixtures(spark, SF_SMALL).order_items
+    df = describe(items)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 2, plan
+    windows = [line for line in plan_text(df).splitlines() if line.startswith("Arguments") and "windowspecdefinition" in line]
+    assert windows and all("part#" in line or "ORDER" not in line and "ASC" not in line for line in windows)
