@@ -11,22 +11,27 @@ of words; classes are the transitive closure.
   of lengths (Pass-Join, Li et al. 2011).  Index rows carry a hash of (length, segment number,
   segment); probe rows the same for the substrings that can match segments of lines 0 to
   ``max_edits`` shorter.  Rows are two numbers, so the exchange is far smaller than the text.
-* Lines of 2 * RUN + 1 words and more also index their word minimizers: of every RUN words in a
-  row the smallest hash of GRAM words in a row (Schleimer et al. 2003).  k changed words leave
-  RUN unchanged words in a row in a line of RUN + k * (RUN + 1) words, so a pair within the
-  word limit shares a key, wherever the words moved.  One edit touches two words at most, so
-  lines of ``settled`` words and more need no segments.  The join under these keys sees numbers
-  only: hashes, the number of words and a parity sketch of the words.
-* Keys under which only one line stands are dropped behind that exchange.  Texts are
+* Keys with more than ``HOT_KEY`` rows (a prefix or phrase that many lines share) are split by a second
+  segment: what is left of two linked lines without the shared substring is within the limit, so it
+  shares a segment in turn.
+* Lines of 2 * RUN + 1 words and more are also cut by words: of every RUN words in a row the smallest
+  hash of GRAM words in a row (a minimizer, Schleimer et al. 2003) is a key with its position and
+  the line's number of words.  k changed words leave RUN unchanged words in a row in a line of RUN + k
+  * (RUN + 1) words, so a pair within the word limit shares a key at positions, and distances from
+  the end, that differ by k at most: only such rows meet.  One edit touches two words at most, so
+  lines of ``settled`` words and more need no segments of characters.  Hot keys are split by classes of
+  lengths and positions, and a line probes its own class and the next lower one.
+* Keys under which only one line stands are dropped behind their exchange.  Texts are
   fetched for the remaining lines alone.
 * Inside a key a pair is first held against its character counts (an edit changes them by at
-  most two) or its sketches (a changed word flips at most two bits) within the join, so unlike
-  lines that share a key are never emitted.
-  Keys with more than ``HOT_KEY`` rows first compare each line with the key's first line; pairs
-  of which both are within the limit of it are connected already and are not paired again.
+  most two) or its words (a changed word takes one out).  Hot keys first compare each line with the
+  key's first line; two lines that are both within the limit of it are connected already and are
+  not paired again.
 * Survivors are verified by banded bit-parallel edit distance (Hyyrö 2003): the band of
-  2 * max_edits + 1 diagonals is one small integer, a step is a few bit operations.  Changed
-  words are counted by Spark's banded Levenshtein distance, every word written as one character.
+  2 * limit + 1 diagonals is one integer, a step is a few bit operations.  Word pairs are compared
+  by the hashes of their words, without what both begin and end with.  A limit of more than ``WIDEST``
+  words exceeds a long; such pairs go to Spark's banded Levenshtein distance, every word written
+  as one character of 20 bits of its hash.
 
 Defined results: a null text has no lines; only lines with a word count, compared without
 blanks at their ends; rows equal in id and text are one document and get the same marks;
@@ -49,6 +54,11 @@ MIN_WORDS = 3
 RUN = 9
 GRAM = 5
 HOT_KEY = 64
+POSITION_BITS = 24
+# Ratio of the lengths of neighbouring classes; more than any two lengths within the word limit.
+STEP = 1.25
+# Widest word limit whose band of diagonals fits a long.
+WIDEST = 30
 BROADCAST_ROWS = 1_000_000
 BLANKS = " \t\x0b\x0c\r"
 # Characters whose counts are compared before an edit distance is computed.
@@ -77,9 +87,13 @@ def _segment(length: str, i: int, parts: int) -> tuple[str, str]:
     )
 
 
-def key_rows(distinct: DataFrame, max_edits: int) -> DataFrame:
-    """(key, probe, h1): index and probe rows of distinct lines (h1, line, n)."""
+def key_rows(distinct: DataFrame, max_edits: int, within: str = "") -> DataFrame:
+    """(key, probe, h1, spot): index and probe rows of distinct lines (h1, line, n); spot holds the
+    start of the substring (upper half) and its size.  ``within``: a column that keys are made
+    part of; such lines are the rests of lines that share the key ``within``, and a row of a
+    probing rest (column probe) is a probe."""
     parts, rows = max_edits + 1, []
+    before = f"{within}, " if within else ""
     for less in range(max_edits + 1):
         length = f"n{less}"
         for i in range(1, parts + 1):
@@ -88,13 +102,40 @@ def key_rows(distinct: DataFrame, max_edits: int) -> DataFrame:
             high = min(i - 1, less + (parts - i))
             for shift in range(low, high + 1):
                 # the aligned substring of the line's own length is its index row
-                probe = "false" if less == 0 and shift == 0 else "true"
+                probe = "true" if less or shift else "probe" if within else "false"
                 text = f"substring(line, CAST({start} + {shift + 1} AS INT), CAST({size} AS INT))"
-                rows.append(f"struct(xxhash64(CAST({length} AS INT), {i}, {text}) AS key, {probe} AS probe)")
+                spot = f"shiftleft(CAST({start} + {shift} AS BIGINT), 32) + CAST({size} AS BIGINT)"
+                key = f"xxhash64({before}CAST({length} AS INT), {i}, {text})"
+                rows.append(f"struct({key} AS key, {probe} AS probe, {spot} AS spot)")
     lengths = [f"n - {less} AS n{less}" for less in range(max_edits + 1)]
-    return distinct.selectExpr("h1", "line", *lengths).selectExpr("h1", f"inline(array({', '.join(rows)}))").select(
-        "key", "probe", "h1"
+    kept = [within, "probe"] if within else []
+    cut = distinct.selectExpr("h1", "line", *kept, *lengths)
+    return cut.selectExpr("h1", f"inline(array({', '.join(rows)}))").select("key", "probe", "h1", "spot")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """The rows of keys under which an index row and another row stand, with their number."""
+    from pyspark.sql import Window
+
+    by_key = Window.partitionBy("key")
+    counted = rows.withColumn("rows", F.count(F.lit(1)).over(by_key)).withColumn(
+        "indexed", F.count(F.when(~F.col("probe"), 1)).over(by_key)
     )
+    return counted.filter("rows > 1 AND indexed > 0").drop("indexed")
+
+
+def split_hot_keys(shared: DataFrame, lines: DataFrame, max_edits: int, hot_key: int) -> DataFrame:
+    """``shared`` with the rows of keys with more than ``hot_key`` rows dealt to keys of a second segment.
+
+    Of a pair that meets under a key and is within the limit, what stands before and behind the
+    shared substrings is within the limit, too, so these rests share a segment in turn."""
+    hot = shared.filter(F.col("rows") > hot_key)
+    wanted = checkpoint_table(hot.select("h1").distinct(), "line-ids")
+    texts = lines.select("h1", "line").join(_bounded(wanted), "h1", "left_semi").distinct()
+    rest = "concat(substring(line, 1, CAST(shiftright(spot, 32) AS INT)), substring(line, CAST(shiftright(spot, 32) + (spot & 4294967295L) + 1 AS INT)))"
+    rests = hot.join(texts, "h1").selectExpr("h1", "key AS outer", "probe", f"{rest} AS line").withColumn("n", F.length("line"))
+    split = _met(key_rows(rests, max_edits, "outer"))
+    return shared.filter(F.col("rows") <= hot_key).unionByName(split).drop("spot")
 
 
 def words_of(line: str) -> Column:
@@ -119,44 +160,74 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def word_key_rows(distinct: DataFrame) -> DataFrame:
-    """(key, h1): the word minimizers of distinct lines (h1, line)."""
-    grams = f"transform(sequence(0, size(words) - {GRAM}), i -> xxhash64(slice(words, i + 1, {GRAM})))"
-    window = RUN - GRAM + 1
-    least = f"array_distinct(transform(sequence(0, size(g) - {window}), i -> array_min(slice(g, i + 1, {window}))))"
-    long_lines = distinct.select("h1", words_of("line").alias("words")).filter(f"size(words) >= {2 * RUN + 1}")
-    return long_lines.selectExpr(f"explode({_let(grams, 'g', least)}) AS key", "h1")
+def hashed_words(lines: DataFrame) -> DataFrame:
+    """(h1, m, ws) of the lines (h1, line) that word minimizers cover: the number and the hashes of
+    their words."""
+    long_lines = lines.select("h1", words_of("line").alias("words")).filter(f"size(words) >= {2 * RUN + 1}")
+    return long_lines.selectExpr("h1", "size(words) AS m", "transform(words, w -> xxhash64(w)) AS ws")
 
 
-def sketches(lines: DataFrame) -> DataFrame:
-    """(h1, m, s0, s1) of the lines with word minimizers: the number of words and 128 parities
-    of the numbers of words by hash."""
+def word_key_rows(hashed: DataFrame) -> DataFrame:
+    """(key, h1, m, pos): the word minimizers of :func:`hashed_words` and where they stand.
 
-    def lane(j: int) -> str:
-        bit = f"CASE WHEN (v & 64) = {64 * j} THEN shiftleft(1L, CAST(v & 63 AS INT)) ELSE 0L END"
-        return f"aggregate(k, 0L, (s, v) -> s ^ {bit})"
-
-    both = _let("transform(words, v -> xxhash64(v))", "k", f"struct({lane(0)} AS s0, {lane(1)} AS s1)")
-    return (
-        lines.select("h1", words_of("line").alias("words"))
-        .filter(f"size(words) >= {2 * RUN + 1}")
-        .selectExpr("h1", "size(words) AS m", f"inline(array({both}))")
-        .dropDuplicates(["h1"])
+    Of a run of GRAM words the hash's upper bits and the position share a number, so the least
+    number of a window is its minimizer and its position at once."""
+    parts = ", ".join(f"get(ws, i + {k})" for k in range(GRAM))
+    low = (1 << POSITION_BITS) - 1
+    grams = (
+        f"transform(sequence(0, m - {GRAM}), i -> (xxhash64({parts}) & {~low}L) | least(CAST(i AS BIGINT), {low}L))"
+    )
+    window = RUN - GRAM + 1
+    least = f"array_distinct(transform(sequence(0, size(g) - {window}), i -> array_min(slice(g, i + 1, {window}))))"
+    return hashed.selectExpr(f"explode({_let(grams, 'g', least)}) AS gram", "h1", "m").selectExpr(
+        f"shiftright(gram, {POSITION_BITS}) AS key", "h1", "m", f"CAST(gram & {low}L AS INT) AS pos"
     )
 
 
-def words_within(a: str, b: str) -> str:
-    """SQL for 'the word arrays a and b are within the word limit'."""
-    limit = word_limit(f"least(size({a}), size({b}))")
-    # a word's number as a code point, surrogates left out
-    number = "array_position(d, u) + 31"
-    code = f"CASE WHEN {number} < 55296 THEN {number} ELSE {number} + 2048 END"
+def banded_distance_within(a: str, b: str, t: str) -> str:
+    """SQL for 'at most t edits between the arrays a and b, a not shorter', for a t that varies by
+    row, at most ``WIDEST``: the recurrence of :func:`edit_distance_within`, its band of 2 t + 1
+    diagonals in one long."""
+    top, mask = f"shiftleft(1L, 2 * {t})", f"(shiftleft(1L, 2 * {t} + 1) - 1L)"
+    match = (
+        f"aggregate(sequence(0, 2 * {t}), 0L, "
+        f"(m, k) -> m | CASE WHEN get({a}, i - {t} + k) = c THEN shiftleft(1L, k) ELSE 0L END)"
+    )
+    steps = f"transform({b}, (c, i) -> struct({match} AS x, i AS i))"
+    d0 = f"((((s.x & p.vp) + p.vp) ^ p.vp | s.x | p.vn) & {mask})"
+    hp, hn, half = f"((p.vn | ~(d | p.vp)) & {mask})", "(d & p.vp)", "shiftright(d, 1)"
+    row = f"shiftright({top}, 1 + s.i - (size({a}) - {t}))"
+    move = (
+        f"CASE WHEN s.i < size({a}) - {t} THEN CASE WHEN (d & {top}) = 0 THEN 1 ELSE 0 END "
+        f"ELSE CASE WHEN ({hp} & {row}) <> 0 THEN 1 ELSE 0 END - CASE WHEN ({hn} & {row}) <> 0 THEN 1 ELSE 0 END END"
+    )
+    after = f"struct(({hn} | (~({half} | {hp}) & {mask})) AS vp, ({half} & {hp}) AS vn, p.dist + {move} AS dist)"
+    start = f"struct(({mask} & ~(shiftleft(1L, {t}) - 1L)) AS vp, 0L AS vn, least({t}, size({a})) AS dist)"
+    return (
+        f"(size({a}) - size({b}) <= {t} AND aggregate({steps}, {start}, (p, s) -> {_let(d0, 'd', after)}, p -> p.dist) <= {t})"
+    )
 
-    def written(words: str) -> str:
-        return f"array_join(transform({words}, u -> decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32')), '')"
 
-    distance = _let(f"array_distinct(concat({a}, {b}))", "d", f"levenshtein({written(a)}, {written(b)}, CAST({limit} AS INT))")
-    return f"({limit} > 0 AND abs(size({a}) - size({b})) <= {limit} AND {distance} >= 0)"
+def unlike_middles(pairs: DataFrame, v: str, w: str) -> DataFrame:
+    """``pairs`` with the arrays v and w cut by what both begin and end with: columns _long, _short."""
+
+    def shared(x: str, y: str) -> str:
+        """SQL for the number of equal elements that x and y begin with."""
+        return f"coalesce(nullif(array_position(zip_with({x}, {y}, (p, q) -> p <=> q), false), 0) - 1, size({x}))"
+
+    kept = [c for c in pairs.columns if c not in (v, w)]
+    cut = pairs.selectExpr(*kept, v, w, f"CAST({shared(v, w)} AS INT) AS _head")
+    # ids keep the projections apart, so that each is computed once per row
+    cut = cut.withColumn("_row", F.monotonically_increasing_id()).filter("_row >= 0")
+    cut = cut.selectExpr(*kept, *(f"slice({x}, _head + 1, size({x})) AS {x}" for x in (v, w)))
+    cut = cut.selectExpr("*", f"CAST({shared(f'reverse({v})', f'reverse({w})')} AS INT) AS _tail")
+    cut = cut.withColumn("_row", F.monotonically_increasing_id()).filter("_row >= 0")
+    ends = [f"slice({x}, 1, size({x}) - _tail) AS {x}" for x in (v, w)]
+    return cut.selectExpr(*kept, *ends).selectExpr(
+        *kept,
+        f"CASE WHEN size({v}) >= size({w}) THEN {v} ELSE {w} END AS _long",
+        f"CASE WHEN size({v}) >= size({w}) THEN {w} ELSE {v} END AS _short",
+    )
 
 
 def edit_distance_within(a: str, b: str, max_edits: int) -> str:
@@ -211,25 +282,40 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(h1, h2, line) of the lines whose h1 is in the stored pairs (a, b)."""
+    """(h1, h2, line, m, ws, coded), stored: the lines whose h1 is in the stored pairs (a, b), the
+    hashes of their words, and the words as characters of 20 bits of the hash."""
     wanted = checkpoint_table(pairs.selectExpr("explode(array(a, b)) AS h1").distinct(), "line-ids")
-    return checkpoint_table(
-        lines.select("h1", "h2", "line").join(_bounded(wanted), "h1", "left_semi").distinct(), "line-texts"
+    found = lines.select("h1", "h2", "line").join(_bounded(wanted), "h1", "left_semi").distinct()
+    hashed = found.withColumn("words", words_of("line")).selectExpr(
+        "h1", "h2", "line", "size(words) AS m", "transform(words, w -> xxhash64(w)) AS ws"
     )
+    code = "decode(unhex(lpad(hex((w & 1048575) + 65536), 8, '0')), 'UTF-32')"
+    written = f"CASE WHEN {word_limit('m')} > {WIDEST} THEN array_join(transform(ws, w -> {code}), '') END"
+    return checkpoint_table(hashed.selectExpr("*", f"{written} AS coded"), "line-texts")
 
 
 def _checked(lines: DataFrame, pairs: DataFrame, max_edits: int) -> DataFrame:
-    """(a, b, ida, idb) of the pairs (a, b) of h1 whose lines are within either limit."""
+    """(a, b, ida, idb), stored: the pairs (a, b) of h1 whose lines are within either limit."""
     pairs = checkpoint_table(pairs.distinct(), "line-pairs")
     texts = _texts(lines, pairs)
-    ident = F.struct("h1", "h2")
-    p = texts.select(F.col("h1").alias("a"), ident.alias("ida"), F.col("line").alias("p"))
-    q = texts.select(F.col("h1").alias("b"), ident.alias("idb"), F.col("line").alias("q"))
-    both = pairs.join(p, "a").join(q, "b").withColumn("v", words_of("p")).withColumn("w", words_of("q"))
-    # the id keeps the filter above the split
-    both = both.withColumn("row", F.monotonically_increasing_id())
-    near = both.filter(f"row >= 0 AND (levenshtein(p, q, {max_edits}) >= 0 OR {words_within('v', 'w')})")
-    return checkpoint_table(near.select("a", "b", "ida", "idb"), "near-lines")
+    sides = [
+        texts.select(
+            F.col("h1").alias(x), F.struct("h1", "h2").alias(f"id{x}"), *[F.col(c).alias(c + x) for c in ("line", "m", "ws", "coded")]
+        )
+        for x in "ab"
+    ]
+    limit = word_limit("least(ma, mb)")
+    both = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("t", F.expr(f"CAST({limit} AS INT)"))
+    # an edit takes one word at most out of a line, two edits of characters four
+    both = both.filter(f"size(array_except(wsa, wsb)) <= greatest(t, {2 * max_edits})")
+    both = checkpoint_table(both.withColumn("few", F.expr(f"levenshtein(linea, lineb, {max_edits}) >= 0")).drop("linea", "lineb"), "like-lines")
+    ids = ["a", "b", "ida", "idb"]
+    few = both.filter("few").select(*ids)
+    more = both.filter(f"NOT few AND t > 0 AND abs(ma - mb) <= t")
+    wide = more.filter(f"t > {WIDEST} AND levenshtein(codeda, codedb, t) >= 0").select(*ids)
+    middles = unlike_middles(more.filter(f"t <= {WIDEST}").select(*ids, "t", "wsa", "wsb"), "wsa", "wsb")
+    narrow = middles.filter(banded_distance_within("_long", "_short", "t")).select(*ids)
+    return checkpoint_table(few.unionByName(wide).unionByName(narrow), "near-lines")
 
 
 def reworded_lines(lines: DataFrame, distinct: DataFrame, max_edits: int, hot_key: int) -> DataFrame:
@@ -237,30 +323,58 @@ def reworded_lines(lines: DataFrame, distinct: DataFrame, max_edits: int, hot_ke
     word limit or ``max_edits`` edits, enough of them to connect every such pair."""
     from pyspark.sql import Window
 
+    shared = (
+        word_key_rows(hashed_words(distinct))
+        .withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key")))
+        .filter("rows > 1")
+    )
+    # classes of lengths: of a pair within the limit one line is in the other's class or the next
+    cls = f"CAST(floor(ln(m) / ln({STEP}D)) AS INT)"
     shared = checkpoint_table(
-        word_key_rows(distinct).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("rows > 1"),
-        "word-keys",
+        shared.selectExpr("key", "h1", "m", "pos", "rows", f"CASE WHEN rows > {hot_key} THEN {cls} ELSE 0 END AS cls"), "word-keys"
     )
-    rows = checkpoint_table(shared.join(sketches(lines), "h1"), "word-rows")
+
+    def cell(c: str, step: int) -> str:
+        """SQL for the part of a hot key for positions near this row's in lines of class c: cells
+        as wide as the largest limit in that class."""
+        width = f"greatest({2 * max_edits}, {word_limit(f'CAST(ceil(pow({STEP}D, {c} + 1)) AS INT)')})"
+        return f"struct({c} AS c, pos div {width} + {step} AS p)"
+
+    whole = "struct(0 AS c, 0L AS p)"
+    homes = shared.selectExpr("*", f"CASE WHEN rows > {hot_key} THEN {cell('cls', 0)} ELSE {whole} END AS part")
+    near = ", ".join(cell(c, step) for c in ("cls", "(cls - 1)") for step in (-1, 0, 1))
+    guests = shared.selectExpr("*", f"explode(CASE WHEN rows > {hot_key} THEN array({near}) ELSE array({whole}) END) AS part")
 
     def close(x: str, y: str) -> str:
-        """SQL for 'the sketches of x and y allow a link'."""
+        """SQL for 'a link of x and y may hold this run of words at these places'."""
         limit = f"greatest({2 * max_edits}, {word_limit(f'least({x}.m, {y}.m)')})"
-        flips = f"bit_count({x}.s0 ^ {y}.s0) + bit_count({x}.s1 ^ {y}.s1)"
-        return f"abs({x}.m - {y}.m) <= {limit} AND {flips} <= 2 * {limit}"
-
-    hot = rows.filter(F.col("rows") > hot_key)
-    heads = hot.groupBy("key").agg(F.min(F.struct("h1", "m", "s0", "s1")).alias("y"))
-    led = hot.select("key", F.struct("h1", "m", "s0", "s1").alias("x")).join(heads, "key")
-    led = led.filter(f"x.h1 <> y.h1 AND {close('x', 'y')}").selectExpr("key", "x.h1 AS a", "y.h1 AS b")
+        return f"abs({x}.pos - {y}.pos) + abs(({x}.m - {y}.m) - ({x}.pos - {y}.pos)) <= {limit}"
+
+    fields = ("h1", "m", "pos")
+    hot = homes.filter(F.col("rows") > hot_key)
+    heads = hot.groupBy("key", "part").agg(F.min(F.struct(*fields)).alias("y"))
+    led = hot.select("key", "part", F.struct(*fields).alias("x")).join(heads, ["key", "part"])
+    led = checkpoint_table(
+        led.filter(f"x.h1 <> y.h1 AND {close('x', 'y')}").selectExpr("x.h1 AS a", "y.h1 AS b", "key", "x.pos AS pos"), "led-lines"
+    )
     # a line meets the same head under many keys and is verified once
     near_head = _checked(lines, led.select("a", "b"), max_edits)
-    marks = led.join(near_head.select("a", "b").distinct(), ["a", "b"]).selectExpr("key", "a AS h1", "true AS led").distinct()
-    rows = rows.join(marks, ["key", "h1"], "left").withColumn("led", F.coalesce("led", F.lit(False)))
-    pairs = rows.alias("x").join(
-        rows.alias("y"), F.expr(f"x.key = y.key AND x.h1 < y.h1 AND NOT (x.led AND y.led) AND {close('x', 'y')}")
+    marks = led.join(near_head.select("a", "b").distinct(), ["a", "b"]).selectExpr("key", "a AS h1", "pos", "b AS head")
+    marks = checkpoint_table(
+        marks.unionByName(heads.join(marks.select("key", F.col("head").alias("h")).distinct(), "key").filter("h = y.h1").selectExpr(
+            "key", "y.h1 AS h1", "y.pos AS pos", "y.h1 AS head"
+        )).distinct(),
+        "led-marks",
+    )
+    sides = [rows.join(_bounded(marks), ["key", "h1", "pos"], "left").alias(x) for rows, x in ((guests, "x"), (homes, "y"))]
+    pairs = sides[0].join(
+        sides[1],
+        F.expr(
+            "x.key = y.key AND x.part = y.part AND x.h1 <> y.h1 AND (x.cls > y.cls OR x.cls = y.cls AND x.h1 < y.h1) "
+            f"AND NOT coalesce(x.head = y.head, false) AND {close('x', 'y')}"
+        ),
     )
-    near = _checked(lines, pairs.selectExpr("x.h1 AS a", "y.h1 AS b"), max_edits)
+    near = _checked(lines, pairs.selectExpr("least(x.h1, y.h1) AS a", "greatest(x.h1, y.h1) AS b"), max_edits)
     return near.unionByName(near_head).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
 
 
@@ -281,17 +395,8 @@ def similar_lines(
     if changed_words:
         reworded = reworded_lines(long_lines, distinct, max_edits, hot_key)
         distinct = distinct.filter(F.size(words_of("line")) < settled(max_edits))
-    from pyspark.sql import Window
-
-    by_key = Window.partitionBy("key")
-    shared = checkpoint_table(
-        key_rows(distinct, max_edits)
-        .withColumn("rows", F.count(F.lit(1)).over(by_key))
-        .withColumn("indexed", F.count(F.when(~F.col("probe"), 1)).over(by_key))
-        .filter("rows > 1 AND indexed > 0")
-        .drop("indexed"),
-        "line-keys",
-    )
+    shared = checkpoint_table(_met(key_rows(distinct, max_edits)), "line-keys")
+    shared = checkpoint_table(split_hot_keys(shared, long_lines, max_edits, hot_key), "split-keys")
     wanted = checkpoint_table(shared.select("h1").distinct(), "line-ids")
     counts = [f"length(line) - length(replace(line, '{c}', ''))" for c in COUNTED]
     texts = checkpoint_table(
