@@ -14,13 +14,13 @@ of words; classes are the transitive closure.
 * Keys with more than ``HOT_KEY`` rows (a prefix or phrase that many lines share) are split by a second
   segment: what is left of two linked lines without the shared substring is within the limit, so it
   shares a segment in turn.
-* Lines of 2 * RUN + 1 words and more are also cut by words: of every RUN words in a row the smallest
-  hash of GRAM words in a row (a minimizer, Schleimer et al. 2003) is a key with its position and
-  the line's number of words.  k changed words leave RUN unchanged words in a row in a line of RUN + k
-  * (RUN + 1) words, so a pair within the word limit shares a key at positions, and distances from
-  the end, that differ by k at most: only such rows meet.  One edit touches two words at most, so
-  lines of ``settled`` words and more need no segments of characters.  Hot keys are split by classes of
-  lengths and positions, and a line probes its own class and the next lower one.
+* Lines of 2 * RUN + 1 words and more are also cut into words, of which one more than the limit are
+  keys: the longest ones, in an order that all lines share.  A pair within the limit leaves at most
+  the limit of either line's words unmatched, so it shares one of them -- at places, and distances
+  from the end, that differ by the limit at most, where a line does not repeat the word: only such rows
+  meet.  One edit touches two words at most, so lines of ``settled`` words and more need no segments
+  of characters.  Hot keys are split by classes of lengths and by places, and a line probes its own
+  class and the next lower one.
 * Keys under which only one line stands are dropped behind their exchange.  Texts are
   fetched for the remaining lines alone.
 * Inside a key a pair is first held against its character counts (an edit changes them by at
@@ -29,9 +29,9 @@ of words; classes are the transitive closure.
   not paired again.
 * Survivors are verified by banded bit-parallel edit distance (Hyyrö 2003): the band of
   2 * limit + 1 diagonals is one integer, a step is a few bit operations.  Word pairs are compared
-  by the hashes of their words, without what both begin and end with.  A limit of more than ``WIDEST``
-  words exceeds a long; such pairs go to Spark's banded Levenshtein distance, every word written
-  as one character of 20 bits of its hash.
+  by the hashes of their words, without what both begin and end with.  As SQL has to look up each
+  diagonal of a row, pairs with a limit of more than ``WIDEST`` words go to Spark's own banded
+  Levenshtein distance, every word written as one character of 20 bits of its hash.
 
 Defined results: a null text has no lines; only lines with a word count, compared without
 blanks at their ends; rows equal in id and text are one document and get the same marks;
@@ -50,15 +50,16 @@ from orderlens.session import checkpoint_table
 MAX_EDITS = 2
 MIN_CHARS = 20
 MIN_WORDS = 3
-# Unchanged words in a row that a pair within the word limit must share, and words in a key.
+# Unchanged words in a row that a pair within the word limit must share.
 RUN = 9
-GRAM = 5
 HOT_KEY = 64
+# A word among a line's words is one positive long: 6 bits of length, the hash, the place.
+WORD_BITS = 33
 POSITION_BITS = 24
 # Ratio of the lengths of neighbouring classes; more than any two lengths within the word limit.
 STEP = 1.25
-# Widest word limit whose band of diagonals fits a long.
-WIDEST = 30
+# Widest word limit that the bit-parallel distance verifies (30 would fit a long).
+WIDEST = 4
 BROADCAST_ROWS = 1_000_000
 BLANKS = " \t\x0b\x0c\r"
 # Characters whose counts are compared before an edit distance is computed.
@@ -151,7 +152,7 @@ def word_limit(words: str) -> str:
 
 
 def settled(max_edits: int) -> int:
-    """Words from which on a pair within ``max_edits`` edits must share a word minimizer."""
+    """Words from which on a pair within ``max_edits`` edits must share one of the words of :func:`word_key_rows`."""
     return RUN * (max_edits + 1) + 2 * max_edits
 
 
@@ -160,28 +161,30 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def hashed_words(lines: DataFrame) -> DataFrame:
-    """(h1, m, ws) of the lines (h1, line) that word minimizers cover: the number and the hashes of
-    their words."""
-    long_lines = lines.select("h1", words_of("line").alias("words")).filter(f"size(words) >= {2 * RUN + 1}")
-    return long_lines.selectExpr("h1", "size(words) AS m", "transform(words, w -> xxhash64(w)) AS ws")
+def word_key_rows(distinct: DataFrame, max_edits: int) -> DataFrame:
+    """(key, h1, m, pos): one more than the word limit of each line's words, the longest first.
 
-
-def word_key_rows(hashed: DataFrame) -> DataFrame:
-    """(key, h1, m, pos): the word minimizers of :func:`hashed_words` and where they stand.
-
-    Of a run of GRAM words the hash's upper bits and the position share a number, so the least
-    number of a window is its minimizer and its position at once."""
-    parts = ", ".join(f"get(ws, i + {k})" for k in range(GRAM))
+    Words are ordered by length, then hash, the same way in every line.  A pair within the limit
+    leaves at most that many words of either line unmatched, so the first matched word in this
+    order stands among the first limit + 1 of both: threshold-plus-one pieces, of which one is
+    shared.  Long words are rare ones.  ``pos`` is the word's place, -1 if the line repeats it: places of a
+    matched word differ by the limit at most.  Two edits of characters change four words; lines that
+    segments of characters do not cover take that many."""
     low = (1 << POSITION_BITS) - 1
-    grams = (
-        f"transform(sequence(0, m - {GRAM}), i -> (xxhash64({parts}) & {~low}L) | least(CAST(i AS BIGINT), {low}L))"
+    rank = (
+        f"shiftleft(CAST(63 - least(length(w), 63) AS BIGINT), {WORD_BITS + POSITION_BITS}) "
+        f"| shiftleft(xxhash64(w) & {(1 << WORD_BITS) - 1}L, {POSITION_BITS})"
     )
-    window = RUN - GRAM + 1
-    least = f"array_distinct(transform(sequence(0, size(g) - {window}), i -> array_min(slice(g, i + 1, {window}))))"
-    return hashed.selectExpr(f"explode({_let(grams, 'g', least)}) AS gram", "h1", "m").selectExpr(
-        f"shiftright(gram, {POSITION_BITS}) AS key", "h1", "m", f"CAST(gram & {low}L AS INT) AS pos"
+    ranked = f"sort_array(transform(words, (w, i) -> ({rank}) | least(CAST(i AS BIGINT), {low}L)))"
+    least = f"CASE WHEN m >= {settled(max_edits) - 2 * max_edits} THEN greatest({2 * max_edits}, {word_limit('m')}) ELSE {word_limit('m')} END"
+    lines = distinct.select("h1", words_of("line").alias("words")).filter(f"size(words) >= {2 * RUN + 1}")
+    heads = lines.selectExpr("h1", "size(words) AS m", f"{ranked} AS g").selectExpr(
+        "h1", "m", f"slice(g, 1, CAST({least} + 2 AS INT)) AS g", f"CAST({least} + 1 AS INT) AS taken"
     )
+    word, same = f"shiftright(x, {POSITION_BITS})", f"shiftright(get(g, i {{}} 1), {POSITION_BITS})"
+    repeated = f"coalesce({word} = {same.format('-')}, false) OR coalesce({word} = {same.format('+')}, false)"
+    rows = f"transform(g, (x, i) -> struct({word} AS key, CASE WHEN {repeated} THEN -1 ELSE CAST(x & {low}L AS INT) END AS pos))"
+    return heads.selectExpr("h1", "m", f"inline(array_distinct(slice({rows}, 1, taken)))").select("key", "h1", "m", "pos")
 
 
 def banded_distance_within(a: str, b: str, t: str) -> str:
@@ -227,6 +230,7 @@ def unlike_middles(pairs: DataFrame, v: str, w: str) -> DataFrame:
         *kept,
         f"CASE WHEN size({v}) >= size({w}) THEN {v} ELSE {w} END AS _long",
         f"CASE WHEN size({v}) >= size({w}) THEN {w} ELSE {v} END AS _short",
+        "monotonically_increasing_id() AS _row",
     )
 
 
@@ -314,17 +318,17 @@ def _checked(lines: DataFrame, pairs: DataFrame, max_edits: int) -> DataFrame:
     more = both.filter(f"NOT few AND t > 0 AND abs(ma - mb) <= t")
     wide = more.filter(f"t > {WIDEST} AND levenshtein(codeda, codedb, t) >= 0").select(*ids)
     middles = unlike_middles(more.filter(f"t <= {WIDEST}").select(*ids, "t", "wsa", "wsb"), "wsa", "wsb")
-    narrow = middles.filter(banded_distance_within("_long", "_short", "t")).select(*ids)
+    narrow = middles.filter("_row >= 0 AND " + banded_distance_within("_long", "_short", "t")).select(*ids)
     return checkpoint_table(few.unionByName(wide).unionByName(narrow), "near-lines")
 
 
 def reworded_lines(lines: DataFrame, distinct: DataFrame, max_edits: int, hot_key: int) -> DataFrame:
-    """Edges (a, b) between identities of lines that share a word minimizer and are within the
+    """Edges (a, b) between identities of lines that share one of their longest words and are within the
     word limit or ``max_edits`` edits, enough of them to connect every such pair."""
     from pyspark.sql import Window
 
     shared = (
-        word_key_rows(hashed_words(distinct))
+        word_key_rows(distinct, max_edits)
         .withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key")))
         .filter("rows > 1")
     )
@@ -334,24 +338,35 @@ def reworded_lines(lines: DataFrame, distinct: DataFrame, max_edits: int, hot_ke
         shared.selectExpr("key", "h1", "m", "pos", "rows", f"CASE WHEN rows > {hot_key} THEN {cls} ELSE 0 END AS cls"), "word-keys"
     )
 
+    # A hot key's parts, by class c: r = 0 words that stand once, by cells of places as wide as the
+    # largest limit in the class; r = 1 repeated words, whose places say nothing; r = 2 once more
+    # those that stand once, for repeated ones to meet.
     def cell(c: str, step: int) -> str:
-        """SQL for the part of a hot key for positions near this row's in lines of class c: cells
-        as wide as the largest limit in that class."""
         width = f"greatest({2 * max_edits}, {word_limit(f'CAST(ceil(pow({STEP}D, {c} + 1)) AS INT)')})"
-        return f"struct({c} AS c, pos div {width} + {step} AS p)"
+        return f"struct({c} AS c, pos div {width} + {step} AS p, 0 AS r)"
+
+    def either(c: str, r: int) -> str:
+        return f"struct({c} AS c, 0L AS p, {r} AS r)"
 
-    whole = "struct(0 AS c, 0L AS p)"
-    homes = shared.selectExpr("*", f"CASE WHEN rows > {hot_key} THEN {cell('cls', 0)} ELSE {whole} END AS part")
-    near = ", ".join(cell(c, step) for c in ("cls", "(cls - 1)") for step in (-1, 0, 1))
-    guests = shared.selectExpr("*", f"explode(CASE WHEN rows > {hot_key} THEN array({near}) ELSE array({whole}) END) AS part")
+    def dealt(once: list[str], repeated: list[str]) -> DataFrame:
+        parts = f"CASE WHEN rows <= {hot_key} THEN array({either('0', 0)}) WHEN pos < 0 THEN array({', '.join(repeated)}) ELSE array({', '.join(once)}) END"
+        return shared.selectExpr("*", f"explode({parts}) AS part")
+
+    probed = ("cls", "(cls - 1)")
+    homes = dealt([cell("cls", 0), either("cls", 2)], [either("cls", 1)])
+    guests = dealt(
+        [cell(c, step) for c in probed for step in (-1, 0, 1)] + [either(c, 1) for c in probed],
+        [either(c, r) for c in probed for r in (1, 2)],
+    )
 
     def close(x: str, y: str) -> str:
-        """SQL for 'a link of x and y may hold this run of words at these places'."""
+        """SQL for 'a link of x and y may match this word at these places'."""
         limit = f"greatest({2 * max_edits}, {word_limit(f'least({x}.m, {y}.m)')})"
-        return f"abs({x}.pos - {y}.pos) + abs(({x}.m - {y}.m) - ({x}.pos - {y}.pos)) <= {limit}"
+        shift = f"CASE WHEN {x}.pos < 0 OR {y}.pos < 0 THEN 0 ELSE {x}.pos - {y}.pos END"
+        return f"abs({shift}) + abs(({x}.m - {y}.m) - ({shift})) <= {limit}"
 
     fields = ("h1", "m", "pos")
-    hot = homes.filter(F.col("rows") > hot_key)
+    hot = homes.filter((F.col("rows") > hot_key) & (F.col("part.r") < 2))
     heads = hot.groupBy("key", "part").agg(F.min(F.struct(*fields)).alias("y"))
     led = hot.select("key", "part", F.struct(*fields).alias("x")).join(heads, ["key", "part"])
     led = checkpoint_table(
