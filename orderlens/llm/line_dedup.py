@@ -24,14 +24,14 @@ of words; classes are the transitive closure.
 * Keys under which only one line stands are dropped behind their exchange.  Texts are
   fetched for the remaining lines alone.
 * Inside a key a pair is first held against its character counts (an edit changes them by at
-  most two) or its words (a changed word takes one out).  Hot keys first compare each line with the
+  most two) or its words' parities (a changed word flips two at most).  Hot keys first compare each line with the
   key's first line; two lines that are both within the limit of it are connected already and are
   not paired again.
 * Survivors are verified by banded bit-parallel edit distance (Hyyrö 2003): the band of
   2 * limit + 1 diagonals is one integer, a step is a few bit operations.  Word pairs are compared
-  by the hashes of their words, without what both begin and end with.  As SQL has to look up each
-  diagonal of a row, pairs with a limit of more than ``WIDEST`` words go to Spark's own banded
-  Levenshtein distance, every word written as one character of 20 bits of its hash.
+  with every word written as one character of 20 bits of its hash, without what both begin and end
+  with.  As SQL has to look up each diagonal of a row, pairs with a limit of more than ``WIDEST``
+  words go to Spark's own banded Levenshtein distance.
 
 Defined results: a null text has no lines; only lines with a word count, compared without
 blanks at their ends; rows equal in id and text are one document and get the same marks;
@@ -162,13 +162,14 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def word_key_rows(distinct: DataFrame, max_edits: int) -> DataFrame:
-    """(key, h1, m, pos): one more than the word limit of each line's words, the longest first.
+    """(key, h1, m, pos, s0, s1): one more than the word limit of each line's words, the longest first.
 
     Words are ordered by length, then hash, the same way in every line.  A pair within the limit
     leaves at most that many words of either line unmatched, so the first matched word in this
     order stands among the first limit + 1 of both: threshold-plus-one pieces, of which one is
     shared.  Long words are rare ones.  ``pos`` is the word's place, -1 if the line repeats it: places of a
-    matched word differ by the limit at most.  Two edits of characters change four words; lines that
+    matched word differ by the limit at most.  (s0, s1): 128 parities of the numbers of words by
+    hash, of which a changed word flips two at most.  Two edits of characters change four words; lines that
     segments of characters do not cover take that many."""
     low = (1 << POSITION_BITS) - 1
     rank = (
@@ -178,13 +179,17 @@ def word_key_rows(distinct: DataFrame, max_edits: int) -> DataFrame:
     ranked = f"sort_array(transform(words, (w, i) -> ({rank}) | least(CAST(i AS BIGINT), {low}L)))"
     least = f"CASE WHEN m >= {settled(max_edits) - 2 * max_edits} THEN greatest({2 * max_edits}, {word_limit('m')}) ELSE {word_limit('m')} END"
     lines = distinct.select("h1", words_of("line").alias("words")).filter(f"size(words) >= {2 * RUN + 1}")
+    bit = f"shiftright(x, {POSITION_BITS})"
+    sketch = [f"aggregate(g, 0L, (s, x) -> CASE WHEN ({bit} & 64) = {64 * j} THEN s ^ shiftleft(1L, CAST({bit} & 63 AS INT)) ELSE s END) AS s{j}" for j in (0, 1)]
     heads = lines.selectExpr("h1", "size(words) AS m", f"{ranked} AS g").selectExpr(
-        "h1", "m", f"slice(g, 1, CAST({least} + 2 AS INT)) AS g", f"CAST({least} + 1 AS INT) AS taken"
+        "h1", "m", f"slice(g, 1, CAST({least} + 2 AS INT)) AS g", f"CAST({least} + 1 AS INT) AS taken", *sketch
     )
     word, same = f"shiftright(x, {POSITION_BITS})", f"shiftright(get(g, i {{}} 1), {POSITION_BITS})"
     repeated = f"coalesce({word} = {same.format('-')}, false) OR coalesce({word} = {same.format('+')}, false)"
     rows = f"transform(g, (x, i) -> struct({word} AS key, CASE WHEN {repeated} THEN -1 ELSE CAST(x & {low}L AS INT) END AS pos))"
-    return heads.selectExpr("h1", "m", f"inline(array_distinct(slice({rows}, 1, taken)))").select("key", "h1", "m", "pos")
+    return heads.selectExpr("h1", "m", "s0", "s1", f"inline(array_distinct(slice({rows}, 1, taken)))").select(
+        "key", "h1", "m", "pos", "s0", "s1"
+    )
 
 
 def banded_distance_within(a: str, b: str, t: str) -> str:
@@ -286,16 +291,14 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(h1, h2, line, m, ws, coded), stored: the lines whose h1 is in the stored pairs (a, b), the
-    hashes of their words, and the words as characters of 20 bits of the hash."""
+    """(h1, h2, line, n, m, coded), stored: the lines whose h1 is in the stored pairs (a, b), their
+    numbers of characters and words, and the words as characters of 20 bits of their hash."""
     wanted = checkpoint_table(pairs.selectExpr("explode(array(a, b)) AS h1").distinct(), "line-ids")
     found = lines.select("h1", "h2", "line").join(_bounded(wanted), "h1", "left_semi").distinct()
-    hashed = found.withColumn("words", words_of("line")).selectExpr(
-        "h1", "h2", "line", "size(words) AS m", "transform(words, w -> xxhash64(w)) AS ws"
-    )
-    code = "decode(unhex(lpad(hex((w & 1048575) + 65536), 8, '0')), 'UTF-32')"
-    written = f"CASE WHEN {word_limit('m')} > {WIDEST} THEN array_join(transform(ws, w -> {code}), '') END"
-    return checkpoint_table(hashed.selectExpr("*", f"{written} AS coded"), "line-texts")
+    code = "decode(unhex(lpad(hex((xxhash64(w) & 1048575) + 65536), 8, '0')), 'UTF-32')"
+    written = f"array_join(transform(words, w -> {code}), '') AS coded"
+    coded = found.withColumn("words", words_of("line")).selectExpr("h1", "h2", "line", "length(line) AS n", "size(words) AS m", written)
+    return checkpoint_table(coded, "line-texts")
 
 
 def _checked(lines: DataFrame, pairs: DataFrame, max_edits: int) -> DataFrame:
@@ -303,23 +306,24 @@ def _checked(lines: DataFrame, pairs: DataFrame, max_edits: int) -> DataFrame:
     pairs = checkpoint_table(pairs.distinct(), "line-pairs")
     texts = _texts(lines, pairs)
     sides = [
-        texts.select(
-            F.col("h1").alias(x), F.struct("h1", "h2").alias(f"id{x}"), *[F.col(c).alias(c + x) for c in ("line", "m", "ws", "coded")]
-        )
+        texts.select(F.col("h1").alias(x), F.struct("h1", "h2").alias(f"id{x}"), *[F.col(c).alias(c + x) for c in ("n", "m", "coded")])
         for x in "ab"
     ]
-    limit = word_limit("least(ma, mb)")
-    both = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("t", F.expr(f"CAST({limit} AS INT)"))
-    # an edit takes one word at most out of a line, two edits of characters four
-    both = both.filter(f"size(array_except(wsa, wsb)) <= greatest(t, {2 * max_edits})")
-    both = checkpoint_table(both.withColumn("few", F.expr(f"levenshtein(linea, lineb, {max_edits}) >= 0")).drop("linea", "lineb"), "like-lines")
+    both = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("t", F.expr(f"CAST({word_limit('least(ma, mb)')} AS INT)"))
     ids = ["a", "b", "ida", "idb"]
-    few = both.filter("few").select(*ids)
-    more = both.filter(f"NOT few AND t > 0 AND abs(ma - mb) <= t")
-    wide = more.filter(f"t > {WIDEST} AND levenshtein(codeda, codedb, t) >= 0").select(*ids)
-    middles = unlike_middles(more.filter(f"t <= {WIDEST}").select(*ids, "t", "wsa", "wsb"), "wsa", "wsb")
-    narrow = middles.filter("_row >= 0 AND " + banded_distance_within("_long", "_short", "t")).select(*ids)
-    return checkpoint_table(few.unionByName(wide).unionByName(narrow), "near-lines")
+    wide = f"(abs(ma - mb) <= t AND levenshtein(codeda, codedb, t) >= 0)"
+    # beyond WIDEST, two edits of characters are within the word limit, too
+    coded = both.selectExpr(*ids, "na", "nb", "t", f"CASE WHEN t > {WIDEST} THEN {wide} END AS near", "split(codeda, '') AS v", "split(codedb, '') AS w")
+    far = unlike_middles(coded.filter("near IS NULL").select(*ids, "na", "nb", "t", "v", "w"), "v", "w")
+    narrow = checkpoint_table(
+        far.selectExpr(*ids, "na", "nb", "_row", f"{banded_distance_within('_long', '_short', 't')} AS near"), "word-checks"
+    )
+    few = narrow.filter(f"NOT near AND abs(na - nb) <= {max_edits}").select(*ids)
+    for x in "ab":
+        few = few.join(texts.select(F.col("h1").alias(x), F.col("line").alias(f"line{x}")), x)
+    few = verified(few, "linea", "lineb", max_edits)
+    found = [df.select(*ids) for df in (coded.filter("near"), narrow.filter("near"), few)]
+    return checkpoint_table(found[0].unionByName(found[1]).unionByName(found[2]), "near-lines")
 
 
 def reworded_lines(lines: DataFrame, distinct: DataFrame, max_edits: int, hot_key: int) -> DataFrame:
@@ -335,7 +339,7 @@ def reworded_lines(lines: DataFrame, distinct: DataFrame, max_edits: int, hot_ke
     # classes of lengths: of a pair within the limit one line is in the other's class or the next
     cls = f"CAST(floor(ln(m) / ln({STEP}D)) AS INT)"
     shared = checkpoint_table(
-        shared.selectExpr("key", "h1", "m", "pos", "rows", f"CASE WHEN rows > {hot_key} THEN {cls} ELSE 0 END AS cls"), "word-keys"
+        shared.selectExpr("key", "h1", "m", "pos", "s0", "s1", "rows", f"CASE WHEN rows > {hot_key} THEN {cls} ELSE 0 END AS cls"), "word-keys"
     )
 
     # A hot key's parts, by class c: r = 0 words that stand once, by cells of places as wide as the
@@ -363,9 +367,10 @@ def reworded_lines(lines: DataFrame, distinct: DataFrame, max_edits: int, hot_ke
         """SQL for 'a link of x and y may match this word at these places'."""
         limit = f"greatest({2 * max_edits}, {word_limit(f'least({x}.m, {y}.m)')})"
         shift = f"CASE WHEN {x}.pos < 0 OR {y}.pos < 0 THEN 0 ELSE {x}.pos - {y}.pos END"
-        return f"abs({shift}) + abs(({x}.m - {y}.m) - ({shift})) <= {limit}"
+        flips = f"bit_count({x}.s0 ^ {y}.s0) + bit_count({x}.s1 ^ {y}.s1)"
+        return f"abs({shift}) + abs(({x}.m - {y}.m) - ({shift})) <= {limit} AND {flips} <= 2 * {limit}"
 
-    fields = ("h1", "m", "pos")
+    fields = ("h1", "m", "pos", "s0", "s1")
     hot = homes.filter((F.col("rows") > hot_key) & (F.col("part.r") < 2))
     heads = hot.groupBy("key", "part").agg(F.min(F.struct(*fields)).alias("y"))
     led = hot.select("key", "part", F.struct(*fields).alias("x")).join(heads, ["key", "part"])
