@@ -52,7 +52,9 @@ MIN_CHARS = 20
 MIN_WORDS = 3
 # Unchanged words in a row that a pair within the word limit must share.
 RUN = 9
+# Rows from which a key is split: of a segment, and of a word.
 HOT_KEY = 64
+HOT_WORDS = 1024
 # A word among a line's words is one positive long: 6 bits of length, the hash, the place.
 WORD_BITS = 33
 POSITION_BITS = 24
@@ -131,8 +133,10 @@ def split_hot_keys(shared: DataFrame, lines: DataFrame, max_edits: int, hot_key:
     Of a pair that meets under a key and is within the limit, what stands before and behind the
     shared substrings is within the limit, too, so these rests share a segment in turn."""
     hot = shared.filter(F.col("rows") > hot_key)
+    if hot.isEmpty():
+        return shared.drop("spot")
     wanted = checkpoint_table(hot.select("h1").distinct(), "line-ids")
-    texts = lines.select("h1", "line").join(_bounded(wanted), "h1", "left_semi").distinct()
+    texts = lines.select("h1", "line").join(_bounded(wanted), "h1", "left_semi")
     rest = "concat(substring(line, 1, CAST(shiftright(spot, 32) AS INT)), substring(line, CAST(shiftright(spot, 32) + (spot & 4294967295L) + 1 AS INT)))"
     rests = hot.join(texts, "h1").selectExpr("h1", "key AS outer", "probe", f"{rest} AS line").withColumn("n", F.length("line"))
     split = _met(key_rows(rests, max_edits, "outer"))
@@ -162,14 +166,14 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def word_key_rows(distinct: DataFrame, max_edits: int) -> DataFrame:
-    """(key, h1, m, pos, s0, s1): one more than the word limit of each line's words, the longest first.
+    """(key, h1, m, pos, s0): one more than the word limit of each line's words, the longest first.
 
     Words are ordered by length, then hash, the same way in every line.  A pair within the limit
     leaves at most that many words of either line unmatched, so the first matched word in this
     order stands among the first limit + 1 of both: threshold-plus-one pieces, of which one is
     shared.  Long words are rare ones.  ``pos`` is the word's place, -1 if the line repeats it: places of a
-    matched word differ by the limit at most.  (s0, s1): 128 parities of the numbers of words by
-    hash, of which a changed word flips two at most.  Two edits of characters change four words; lines that
+    matched word differ by the limit at most.  s0: 64 parities of the numbers of words by hash,
+    of which a changed word flips two at most.  Two edits of characters change four words; lines that
     segments of characters do not cover take that many."""
     low = (1 << POSITION_BITS) - 1
     rank = (
@@ -179,16 +183,15 @@ def word_key_rows(distinct: DataFrame, max_edits: int) -> DataFrame:
     ranked = f"sort_array(transform(words, (w, i) -> ({rank}) | least(CAST(i AS BIGINT), {low}L)))"
     least = f"CASE WHEN m >= {settled(max_edits) - 2 * max_edits} THEN greatest({2 * max_edits}, {word_limit('m')}) ELSE {word_limit('m')} END"
     lines = distinct.select("h1", words_of("line").alias("words")).filter(f"size(words) >= {2 * RUN + 1}")
-    bit = f"shiftright(x, {POSITION_BITS})"
-    sketch = [f"aggregate(g, 0L, (s, x) -> CASE WHEN ({bit} & 64) = {64 * j} THEN s ^ shiftleft(1L, CAST({bit} & 63 AS INT)) ELSE s END) AS s{j}" for j in (0, 1)]
+    sketch = f"aggregate(g, 0L, (s, x) -> s ^ shiftleft(1L, CAST(shiftright(x, {POSITION_BITS}) & 63 AS INT))) AS s0"
     heads = lines.selectExpr("h1", "size(words) AS m", f"{ranked} AS g").selectExpr(
-        "h1", "m", f"slice(g, 1, CAST({least} + 2 AS INT)) AS g", f"CAST({least} + 1 AS INT) AS taken", *sketch
+        "h1", "m", f"slice(g, 1, CAST({least} + 2 AS INT)) AS g", f"CAST({least} + 1 AS INT) AS taken", sketch
     )
     word, same = f"shiftright(x, {POSITION_BITS})", f"shiftright(get(g, i {{}} 1), {POSITION_BITS})"
     repeated = f"coalesce({word} = {same.format('-')}, false) OR coalesce({word} = {same.format('+')}, false)"
     rows = f"transform(g, (x, i) -> struct({word} AS key, CASE WHEN {repeated} THEN -1 ELSE CAST(x & {low}L AS INT) END AS pos))"
-    return heads.selectExpr("h1", "m", "s0", "s1", f"inline(array_distinct(slice({rows}, 1, taken)))").select(
-        "key", "h1", "m", "pos", "s0", "s1"
+    return heads.selectExpr("h1", "m", "s0", f"inline(array_distinct(slice({rows}, 1, taken)))").select(
+        "key", "h1", "m", "pos", "s0"
     )
 
 
@@ -294,7 +297,7 @@ def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """(h1, h2, line, n, m, coded), stored: the lines whose h1 is in the stored pairs (a, b), their
     numbers of characters and words, and the words as characters of 20 bits of their hash."""
     wanted = checkpoint_table(pairs.selectExpr("explode(array(a, b)) AS h1").distinct(), "line-ids")
-    found = lines.select("h1", "h2", "line").join(_bounded(wanted), "h1", "left_semi").distinct()
+    found = lines.select("h1", "h2", "line").join(_bounded(wanted), "h1", "left_semi")
     code = "decode(unhex(lpad(hex((xxhash64(w) & 1048575) + 65536), 8, '0')), 'UTF-32')"
     written = f"array_join(transform(words, w -> {code}), '') AS coded"
     coded = found.withColumn("words", words_of("line")).selectExpr("h1", "h2", "line", "length(line) AS n", "size(words) AS m", written)
@@ -326,25 +329,34 @@ def _checked(lines: DataFrame, pairs: DataFrame, max_edits: int) -> DataFrame:
     return checkpoint_table(found[0].unionByName(found[1]).unionByName(found[2]), "near-lines")
 
 
-def reworded_lines(lines: DataFrame, distinct: DataFrame, max_edits: int, hot_key: int) -> DataFrame:
-    """Edges (a, b) between identities of lines that share one of their longest words and are within the
-    word limit or ``max_edits`` edits, enough of them to connect every such pair."""
+def reworded_lines(distinct: DataFrame, max_edits: int, hot_key: int) -> DataFrame:
+    """Edges (a, b) between identities of the stored lines (h1, h2, line) that share one of their longest
+    words and are within the word limit or ``max_edits`` edits, enough to connect every such pair."""
     from pyspark.sql import Window
 
-    shared = (
-        word_key_rows(distinct, max_edits)
-        .withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key")))
-        .filter("rows > 1")
-    )
-    # classes of lengths: of a pair within the limit one line is in the other's class or the next
-    cls = f"CAST(floor(ln(m) / ln({STEP}D)) AS INT)"
-    shared = checkpoint_table(
-        shared.selectExpr("key", "h1", "m", "pos", "s0", "s1", "rows", f"CASE WHEN rows > {hot_key} THEN {cls} ELSE 0 END AS cls"), "word-keys"
-    )
+    counted = word_key_rows(distinct, max_edits).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    shared = checkpoint_table(counted.filter("rows > 1"), "word-keys")
+
+    def close(x: str, y: str) -> str:
+        """SQL for 'a link of x and y may match this word at these places'."""
+        limit = f"greatest({2 * max_edits}, {word_limit(f'least({x}.m, {y}.m)')})"
+        shift = f"CASE WHEN {x}.pos < 0 OR {y}.pos < 0 THEN 0 ELSE {x}.pos - {y}.pos END"
+        return f"abs({shift}) + abs(({x}.m - {y}.m) - ({shift})) <= {limit} AND bit_count({x}.s0 ^ {y}.s0) <= 2 * {limit}"
+
+    few = shared.filter(F.col("rows") <= hot_key).drop("rows")
+    pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key AND x.h1 < y.h1 AND {close('x', 'y')}"))
+    pairs = pairs.selectExpr("x.h1 AS a", "y.h1 AS b")
+    hot = shared.filter(F.col("rows") > hot_key).drop("rows")
+    if hot.isEmpty():
+        near = _checked(distinct, pairs, max_edits)
+        return near.select(F.col("ida").alias("a"), F.col("idb").alias("b"))
 
+    # Classes of lengths: of a pair within the limit one line is in the other's class or the next.
     # A hot key's parts, by class c: r = 0 words that stand once, by cells of places as wide as the
     # largest limit in the class; r = 1 repeated words, whose places say nothing; r = 2 once more
     # those that stand once, for repeated ones to meet.
+    hot = hot.withColumn("cls", F.expr(f"CAST(floor(ln(m) / ln({STEP}D)) AS INT)"))
+
     def cell(c: str, step: int) -> str:
         width = f"greatest({2 * max_edits}, {word_limit(f'CAST(ceil(pow({STEP}D, {c} + 1)) AS INT)')})"
         return f"struct({c} AS c, pos div {width} + {step} AS p, 0 AS r)"
@@ -353,8 +365,7 @@ def reworded_lines(lines: DataFrame, distinct: DataFrame, max_edits: int, hot_ke
         return f"struct({c} AS c, 0L AS p, {r} AS r)"
 
     def dealt(once: list[str], repeated: list[str]) -> DataFrame:
-        parts = f"CASE WHEN rows <= {hot_key} THEN array({either('0', 0)}) WHEN pos < 0 THEN array({', '.join(repeated)}) ELSE array({', '.join(once)}) END"
-        return shared.selectExpr("*", f"explode({parts}) AS part")
+        return hot.selectExpr("*", f"explode(CASE WHEN pos < 0 THEN array({', '.join(repeated)}) ELSE array({', '.join(once)}) END) AS part")
 
     probed = ("cls", "(cls - 1)")
     homes = dealt([cell("cls", 0), either("cls", 2)], [either("cls", 1)])
@@ -362,39 +373,29 @@ def reworded_lines(lines: DataFrame, distinct: DataFrame, max_edits: int, hot_ke
         [cell(c, step) for c in probed for step in (-1, 0, 1)] + [either(c, 1) for c in probed],
         [either(c, r) for c in probed for r in (1, 2)],
     )
-
-    def close(x: str, y: str) -> str:
-        """SQL for 'a link of x and y may match this word at these places'."""
-        limit = f"greatest({2 * max_edits}, {word_limit(f'least({x}.m, {y}.m)')})"
-        shift = f"CASE WHEN {x}.pos < 0 OR {y}.pos < 0 THEN 0 ELSE {x}.pos - {y}.pos END"
-        flips = f"bit_count({x}.s0 ^ {y}.s0) + bit_count({x}.s1 ^ {y}.s1)"
-        return f"abs({shift}) + abs(({x}.m - {y}.m) - ({shift})) <= {limit} AND {flips} <= 2 * {limit}"
-
-    fields = ("h1", "m", "pos", "s0", "s1")
-    hot = homes.filter((F.col("rows") > hot_key) & (F.col("part.r") < 2))
-    heads = hot.groupBy("key", "part").agg(F.min(F.struct(*fields)).alias("y"))
-    led = hot.select("key", "part", F.struct(*fields).alias("x")).join(heads, ["key", "part"])
+    fields = ("h1", "m", "pos", "s0")
+    firsts = homes.filter("part.r < 2")
+    heads = firsts.groupBy("key", "part").agg(F.min(F.struct(*fields)).alias("y"))
+    led = firsts.select("key", "part", F.struct(*fields).alias("x")).join(heads, ["key", "part"])
     led = checkpoint_table(
         led.filter(f"x.h1 <> y.h1 AND {close('x', 'y')}").selectExpr("x.h1 AS a", "y.h1 AS b", "key", "x.pos AS pos"), "led-lines"
     )
     # a line meets the same head under many keys and is verified once
-    near_head = _checked(lines, led.select("a", "b"), max_edits)
+    near_head = _checked(distinct, led.select("a", "b"), max_edits)
     marks = led.join(near_head.select("a", "b").distinct(), ["a", "b"]).selectExpr("key", "a AS h1", "pos", "b AS head")
-    marks = checkpoint_table(
-        marks.unionByName(heads.join(marks.select("key", F.col("head").alias("h")).distinct(), "key").filter("h = y.h1").selectExpr(
-            "key", "y.h1 AS h1", "y.pos AS pos", "y.h1 AS head"
-        )).distinct(),
-        "led-marks",
-    )
+    own = heads.join(marks.select("key", F.col("head").alias("h")).distinct(), "key").filter("h = y.h1")
+    own = own.selectExpr("key", "y.h1 AS h1", "y.pos AS pos", "y.h1 AS head")
+    marks = checkpoint_table(marks.unionByName(own).distinct(), "led-marks")
     sides = [rows.join(_bounded(marks), ["key", "h1", "pos"], "left").alias(x) for rows, x in ((guests, "x"), (homes, "y"))]
-    pairs = sides[0].join(
+    more = sides[0].join(
         sides[1],
         F.expr(
             "x.key = y.key AND x.part = y.part AND x.h1 <> y.h1 AND (x.cls > y.cls OR x.cls = y.cls AND x.h1 < y.h1) "
             f"AND NOT coalesce(x.head = y.head, false) AND {close('x', 'y')}"
         ),
     )
-    near = _checked(lines, pairs.selectExpr("least(x.h1, y.h1) AS a", "greatest(x.h1, y.h1) AS b"), max_edits)
+    more = more.selectExpr("least(x.h1, y.h1) AS a", "greatest(x.h1, y.h1) AS b")
+    near = _checked(distinct, pairs.unionByName(more), max_edits)
     return near.unionByName(near_head).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
 
 
@@ -404,27 +405,25 @@ def similar_lines(
     min_chars: int = MIN_CHARS,
     hot_key: int = HOT_KEY,
     changed_words: bool = True,
+    hot_words: int = HOT_WORDS,
 ) -> DataFrame:
     """Edges (a, b) between identities (structs of h1, h2) of lines within the limits, enough
     of them to connect every such pair; without ``changed_words`` max_edits alone counts."""
     if min_chars < 2 * (max_edits + 1):
         raise ValueError("min_chars must be at least twice the number of segments")
-    long_lines = lines.filter(F.length("line") >= min_chars)
-    distinct = long_lines.select("line").distinct().select(F.xxhash64("line").alias("h1"), "line", F.length("line").alias("n"))
-    reworded = None
+    distinct = checkpoint_table(
+        lines.filter(F.length("line") >= min_chars).select("h1", "h2", "line").distinct().withColumn("n", F.length("line")), "lines"
+    )
+    reworded, all_lines = None, distinct
     if changed_words:
-        reworded = reworded_lines(long_lines, distinct, max_edits, hot_key)
+        reworded = reworded_lines(distinct, max_edits, hot_words)
         distinct = distinct.filter(F.size(words_of("line")) < settled(max_edits))
     shared = checkpoint_table(_met(key_rows(distinct, max_edits)), "line-keys")
-    shared = checkpoint_table(split_hot_keys(shared, long_lines, max_edits, hot_key), "split-keys")
+    shared = checkpoint_table(split_hot_keys(shared, all_lines, max_edits, hot_key), "split-keys")
     wanted = checkpoint_table(shared.select("h1").distinct(), "line-ids")
     counts = [f"length(line) - length(replace(line, '{c}', ''))" for c in COUNTED]
     texts = checkpoint_table(
-        lines.select("h1", "h2", "line")
-        .filter(F.length("line") >= min_chars)
-        .join(_bounded(wanted), "h1", "left_semi")
-        .distinct()
-        .selectExpr("h1", "h2", "line", "length(line) AS n", f"array({', '.join(counts)}) AS counts"),
+        all_lines.join(_bounded(wanted), "h1", "left_semi").selectExpr("h1", "h2", "line", "length(line) AS n", f"array({', '.join(counts)}) AS counts"),
         "line-texts",
     )
     rows = shared.join(texts, "h1").select("key", "probe", F.struct("h1", "h2").alias("id"), "line", "n", "counts", "rows")
@@ -458,12 +457,13 @@ def line_classes(
     min_chars: int = MIN_CHARS,
     hot_key: int = HOT_KEY,
     changed_words: bool = True,
+    hot_words: int = HOT_WORDS,
 ) -> DataFrame:
     """One row per line with a word: (id, th, line_no, n_words, class_doc_id, class_line_no,
     n_copies, first); the class is named by its first line in order of id, text hash, line."""
     lines = document_lines(docs, id_col, text_col)
     roots = checkpoint_table(
-        connected_components(similar_lines(lines, max_edits, min_chars, hot_key, changed_words)), "line-roots"
+        connected_components(similar_lines(lines, max_edits, min_chars, hot_key, changed_words, hot_words)), "line-roots"
     )
     names = roots.select("node.h1", "node.h2", F.col("root.h1").alias("r1"), F.col("root.h2").alias("r2"))
     classed = (

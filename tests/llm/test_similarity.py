@@ -226,7 +226,7 @@ def test_line_dedup_recall_of_changed_words(spark, hot):
     first = {}
     for k, x in enumerate(lines):
         first.setdefault(root[x], k)
-    got = line_dedup.line_classes(df, hot_key=hot).collect()
+    got = line_dedup.line_classes(df, hot_key=hot, hot_words=hot).collect()
     assert sorted((r.doc_id, r.class_doc_id) for r in got) == [(k, first[root[x]]) for k, x in enumerate(lines)]
 
 
