@@ -24,9 +24,9 @@ of words; classes are the transitive closure.
 * Keys under which only one line stands are dropped behind their exchange.  Texts are
   fetched for the remaining lines alone.
 * Inside a key a pair is first held against its character counts (an edit changes them by at
-  most two) or its words' parities (a changed word flips two at most).  Hot keys first compare each line with the
-  key's first line; two lines that are both within the limit of it are connected already and are
-  not paired again.
+  most two) or its words' parities (a changed word flips two at most).  Lines of a hot segment, and
+  lines with the same two longest words, are first compared with one of them, their head; lines that
+  heads within the limit connect are not paired again.
 * Survivors are verified by banded bit-parallel edit distance (Hyyrö 2003): the band of
   2 * limit + 1 diagonals is one integer, a step is a few bit operations.  Word pairs are compared
   with every word written as one character of 20 bits of its hash, without what both begin and end
@@ -165,34 +165,70 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def word_key_rows(distinct: DataFrame, max_edits: int) -> DataFrame:
-    """(key, h1, m, pos, s0): one more than the word limit of each line's words, the longest first.
+def with_ranked_words(lines: DataFrame, max_edits: int) -> DataFrame:
+    """``lines`` with m, g, s0, where they have 2 * RUN + 1 words and more (else NULL): the number of
+    words, the longest ones, and 64 parities of the numbers of words by hash.
 
-    Words are ordered by length, then hash, the same way in every line.  A pair within the limit
-    leaves at most that many words of either line unmatched, so the first matched word in this
-    order stands among the first limit + 1 of both: threshold-plus-one pieces, of which one is
-    shared.  Long words are rare ones.  ``pos`` is the word's place, -1 if the line repeats it: places of a
-    matched word differ by the limit at most.  s0: 64 parities of the numbers of words by hash,
-    of which a changed word flips two at most.  Two edits of characters change four words; lines that
-    segments of characters do not cover take that many."""
+    Words are ordered by length, then hash, the same way in every line; an element of g holds
+    length, hash and place.  There are two more than the limit (at least four), as many as keys
+    and one to tell whether the last key is repeated."""
     low = (1 << POSITION_BITS) - 1
     rank = (
         f"shiftleft(CAST(63 - least(length(w), 63) AS BIGINT), {WORD_BITS + POSITION_BITS}) "
         f"| shiftleft(xxhash64(w) & {(1 << WORD_BITS) - 1}L, {POSITION_BITS})"
     )
     ranked = f"sort_array(transform(words, (w, i) -> ({rank}) | least(CAST(i AS BIGINT), {low}L)))"
-    least = f"CASE WHEN m >= {settled(max_edits) - 2 * max_edits} THEN greatest({2 * max_edits}, {word_limit('m')}) ELSE {word_limit('m')} END"
-    lines = distinct.select("h1", words_of("line").alias("words")).filter(f"size(words) >= {2 * RUN + 1}")
-    sketch = f"aggregate(g, 0L, (s, x) -> s ^ shiftleft(1L, CAST(shiftright(x, {POSITION_BITS}) & 63 AS INT))) AS s0"
-    heads = lines.selectExpr("h1", "size(words) AS m", f"{ranked} AS g").selectExpr(
-        "h1", "m", f"slice(g, 1, CAST({least} + 2 AS INT)) AS g", f"CAST({least} + 1 AS INT) AS taken", sketch
+    sketch = f"aggregate(g, 0L, (s, x) -> s ^ shiftleft(1L, CAST(shiftright(x, {POSITION_BITS}) & 63 AS INT)))"
+    words = lines.withColumn("words", words_of("line"))
+    ranked_lines = words.selectExpr(*lines.columns, "size(words) AS m", f"CASE WHEN size(words) >= {2 * RUN + 1} THEN {ranked} END AS g")
+    return ranked_lines.selectExpr(*lines.columns, "m", f"slice(g, 1, CAST(greatest(4, {_taken(max_edits)} + 1) AS INT)) AS g", f"{sketch} AS s0")
+
+
+def _taken(max_edits: int) -> str:
+    """SQL for the number of a line's words that are keys: one more than its limit.  Two edits of
+    characters change four words; lines that segments do not cover take that many."""
+    return (
+        f"(1 + CASE WHEN m >= {settled(max_edits) - 2 * max_edits} THEN greatest({2 * max_edits}, {word_limit('m')}) "
+        f"ELSE {word_limit('m')} END)"
     )
+
+
+def word_key_rows(ranked: DataFrame, max_edits: int, *kept: str) -> DataFrame:
+    """(key, h1, m, pos, s0, kept): one more than the word limit of each line's words, the longest first.
+
+    A pair within the limit leaves at most that many words of either line unmatched, so the first
+    matched word in the common order stands among the first limit + 1 of both: threshold-plus-one
+    pieces, of which one is shared.  Long words are rare ones.  ``pos`` is the word's place, -1 if the
+    line repeats it: places of a matched word differ by the limit at most."""
+    low = (1 << POSITION_BITS) - 1
     word, same = f"shiftright(x, {POSITION_BITS})", f"shiftright(get(g, i {{}} 1), {POSITION_BITS})"
     repeated = f"coalesce({word} = {same.format('-')}, false) OR coalesce({word} = {same.format('+')}, false)"
     rows = f"transform(g, (x, i) -> struct({word} AS key, CASE WHEN {repeated} THEN -1 ELSE CAST(x & {low}L AS INT) END AS pos))"
-    return heads.selectExpr("h1", "m", "s0", f"inline(array_distinct(slice({rows}, 1, taken)))").select(
-        "key", "h1", "m", "pos", "s0"
+    out = ranked.filter("g IS NOT NULL").selectExpr(
+        "h1", "m", "s0", *kept, f"inline(array_distinct(slice({rows}, 1, CAST({_taken(max_edits)} AS INT))))"
     )
+    return out.select("key", "h1", "m", "pos", "s0", *kept)
+
+
+def _alike(x: str, y: str, max_edits: int) -> str:
+    """SQL for 'lengths and parities allow a link': a changed word flips two parities at most."""
+    limit = f"greatest({2 * max_edits}, {word_limit(f'least({x}.m, {y}.m)')})"
+    return f"abs({x}.m - {y}.m) <= {limit} AND bit_count({x}.s0 ^ {y}.s0) <= 2 * {limit}"
+
+
+def leading_lines(ranked: DataFrame, max_edits: int) -> tuple[DataFrame, DataFrame]:
+    """(checked pairs, (h1, led)): most copies of a line share its two longest words, or the next two.
+    Under these each line is compared with one head, the least of them.  ``led`` names what lines and
+    heads within the limit connect."""
+    word = f"shiftright(g[{{}}], {POSITION_BITS})"
+    pair = [f"xxhash64({word.format(k)}, {word.format(k + 1)}, {k})" for k in (0, 2)]
+    rows = ranked.filter("g IS NOT NULL").selectExpr("h1", "m", "s0", f"explode(array({', '.join(pair)})) AS key")
+    rows = rows.select("key", F.struct("h1", "m", "s0").alias("x"))
+    heads = rows.groupBy("key").agg(F.min("x").alias("y"))
+    met = rows.join(heads, "key").filter(f"x.h1 <> y.h1 AND {_alike('x', 'y', max_edits)}")
+    near = _checked(ranked, met.selectExpr("x.h1 AS a", "y.h1 AS b"), max_edits)
+    groups = connected_components(near.select("a", "b"))
+    return near, checkpoint_table(groups.selectExpr("node AS h1", "root AS led"), "led-lines")
 
 
 def banded_distance_within(a: str, b: str, t: str) -> str:
@@ -329,33 +365,28 @@ def _checked(lines: DataFrame, pairs: DataFrame, max_edits: int) -> DataFrame:
     return checkpoint_table(found[0].unionByName(found[1]).unionByName(found[2]), "near-lines")
 
 
-def reworded_lines(distinct: DataFrame, max_edits: int, hot_key: int) -> DataFrame:
-    """Edges (a, b) between identities of the stored lines (h1, h2, line) that share one of their longest
-    words and are within the word limit or ``max_edits`` edits, enough to connect every such pair."""
+def reworded_lines(ranked: DataFrame, max_edits: int, hot_key: int) -> DataFrame:
+    """Edges (a, b) between identities of the stored lines (see :func:`with_ranked_words`) that share one
+    of their longest words and are within the word limit or ``max_edits`` edits, enough to connect
+    every such pair."""
     from pyspark.sql import Window
 
-    counted = word_key_rows(distinct, max_edits).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    near_head, groups = leading_lines(ranked, max_edits)
+    led = ranked.select("h1", "m", "g", "s0").join(_bounded(groups), "h1", "left")
+    counted = word_key_rows(led, max_edits, "led").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key")))
     shared = checkpoint_table(counted.filter("rows > 1"), "word-keys")
-
-    def close(x: str, y: str) -> str:
-        """SQL for 'a link of x and y may match this word at these places'."""
-        limit = f"greatest({2 * max_edits}, {word_limit(f'least({x}.m, {y}.m)')})"
-        shift = f"CASE WHEN {x}.pos < 0 OR {y}.pos < 0 THEN 0 ELSE {x}.pos - {y}.pos END"
-        return f"abs({shift}) + abs(({x}.m - {y}.m) - ({shift})) <= {limit} AND bit_count({x}.s0 ^ {y}.s0) <= 2 * {limit}"
+    apart = "NOT coalesce(x.led = y.led, false)"  # else heads connect them already
+    limit = f"greatest({2 * max_edits}, {word_limit('least(x.m, y.m)')})"
+    shift = "CASE WHEN x.pos < 0 OR y.pos < 0 THEN 0 ELSE x.pos - y.pos END"
+    close = f"x.h1 <> y.h1 AND {apart} AND {_alike('x', 'y', max_edits)} AND abs({shift}) + abs((x.m - y.m) - ({shift})) <= {limit}"
 
     few = shared.filter(F.col("rows") <= hot_key).drop("rows")
-    pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key AND x.h1 < y.h1 AND {close('x', 'y')}"))
-    pairs = pairs.selectExpr("x.h1 AS a", "y.h1 AS b")
-    hot = shared.filter(F.col("rows") > hot_key).drop("rows")
-    if hot.isEmpty():
-        near = _checked(distinct, pairs, max_edits)
-        return near.select(F.col("ida").alias("a"), F.col("idb").alias("b"))
-
+    pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key AND x.h1 < y.h1 AND {close}"))
     # Classes of lengths: of a pair within the limit one line is in the other's class or the next.
     # A hot key's parts, by class c: r = 0 words that stand once, by cells of places as wide as the
     # largest limit in the class; r = 1 repeated words, whose places say nothing; r = 2 once more
     # those that stand once, for repeated ones to meet.
-    hot = hot.withColumn("cls", F.expr(f"CAST(floor(ln(m) / ln({STEP}D)) AS INT)"))
+    hot = shared.filter(F.col("rows") > hot_key).drop("rows").withColumn("cls", F.expr(f"CAST(floor(ln(m) / ln({STEP}D)) AS INT)"))
 
     def cell(c: str, step: int) -> str:
         width = f"greatest({2 * max_edits}, {word_limit(f'CAST(ceil(pow({STEP}D, {c} + 1)) AS INT)')})"
@@ -364,38 +395,23 @@ def reworded_lines(distinct: DataFrame, max_edits: int, hot_key: int) -> DataFra
     def either(c: str, r: int) -> str:
         return f"struct({c} AS c, 0L AS p, {r} AS r)"
 
-    def dealt(once: list[str], repeated: list[str]) -> DataFrame:
+    def parts(once: list[str], repeated: list[str]) -> DataFrame:
         return hot.selectExpr("*", f"explode(CASE WHEN pos < 0 THEN array({', '.join(repeated)}) ELSE array({', '.join(once)}) END) AS part")
 
     probed = ("cls", "(cls - 1)")
-    homes = dealt([cell("cls", 0), either("cls", 2)], [either("cls", 1)])
-    guests = dealt(
+    homes = parts([cell("cls", 0), either("cls", 2)], [either("cls", 1)])
+    guests = parts(
         [cell(c, step) for c in probed for step in (-1, 0, 1)] + [either(c, 1) for c in probed],
         [either(c, r) for c in probed for r in (1, 2)],
     )
-    fields = ("h1", "m", "pos", "s0")
-    firsts = homes.filter("part.r < 2")
-    heads = firsts.groupBy("key", "part").agg(F.min(F.struct(*fields)).alias("y"))
-    led = firsts.select("key", "part", F.struct(*fields).alias("x")).join(heads, ["key", "part"])
-    led = checkpoint_table(
-        led.filter(f"x.h1 <> y.h1 AND {close('x', 'y')}").selectExpr("x.h1 AS a", "y.h1 AS b", "key", "x.pos AS pos"), "led-lines"
+    more = guests.alias("x").join(
+        homes.alias("y"),
+        F.expr(f"x.key = y.key AND x.part = y.part AND (x.cls > y.cls OR x.cls = y.cls AND x.h1 < y.h1) AND {close}"),
     )
-    # a line meets the same head under many keys and is verified once
-    near_head = _checked(distinct, led.select("a", "b"), max_edits)
-    marks = led.join(near_head.select("a", "b").distinct(), ["a", "b"]).selectExpr("key", "a AS h1", "pos", "b AS head")
-    own = heads.join(marks.select("key", F.col("head").alias("h")).distinct(), "key").filter("h = y.h1")
-    own = own.selectExpr("key", "y.h1 AS h1", "y.pos AS pos", "y.h1 AS head")
-    marks = checkpoint_table(marks.unionByName(own).distinct(), "led-marks")
-    sides = [rows.join(_bounded(marks), ["key", "h1", "pos"], "left").alias(x) for rows, x in ((guests, "x"), (homes, "y"))]
-    more = sides[0].join(
-        sides[1],
-        F.expr(
-            "x.key = y.key AND x.part = y.part AND x.h1 <> y.h1 AND (x.cls > y.cls OR x.cls = y.cls AND x.h1 < y.h1) "
-            f"AND NOT coalesce(x.head = y.head, false) AND {close('x', 'y')}"
-        ),
+    met = pairs.selectExpr("x.h1 AS a", "y.h1 AS b").unionByName(
+        more.selectExpr("least(x.h1, y.h1) AS a", "greatest(x.h1, y.h1) AS b")
     )
-    more = more.selectExpr("least(x.h1, y.h1) AS a", "greatest(x.h1, y.h1) AS b")
-    near = _checked(distinct, pairs.unionByName(more), max_edits)
+    near = _checked(ranked, met, max_edits)
     return near.unionByName(near_head).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
 
 
@@ -411,13 +427,12 @@ def similar_lines(
     of them to connect every such pair; without ``changed_words`` max_edits alone counts."""
     if min_chars < 2 * (max_edits + 1):
         raise ValueError("min_chars must be at least twice the number of segments")
-    distinct = checkpoint_table(
-        lines.filter(F.length("line") >= min_chars).select("h1", "h2", "line").distinct().withColumn("n", F.length("line")), "lines"
-    )
+    distinct = lines.filter(F.length("line") >= min_chars).select("h1", "h2", "line").distinct().withColumn("n", F.length("line"))
+    distinct = checkpoint_table(with_ranked_words(distinct, max_edits) if changed_words else distinct, "lines")
     reworded, all_lines = None, distinct
     if changed_words:
         reworded = reworded_lines(distinct, max_edits, hot_words)
-        distinct = distinct.filter(F.size(words_of("line")) < settled(max_edits))
+        distinct = distinct.filter(F.col("m") < settled(max_edits))
     shared = checkpoint_table(_met(key_rows(distinct, max_edits)), "line-keys")
     shared = checkpoint_table(split_hot_keys(shared, all_lines, max_edits, hot_key), "split-keys")
     wanted = checkpoint_table(shared.select("h1").distinct(), "line-ids")

@@ -13,7 +13,7 @@ import pytest
 import corpus_pipeline
 from orderlens.llm import html_blocks, queries, secret_scan
 from orderlens.llm.tokens import load_tokenizer
-from test_similarity import brute_components, edits, plain_simhash, roots_of
+from test_similarity import brute_components, edits, plain_simhash, roots_of, word_edits
 from test_text_rules import brute_clean
 from orderlens.llm import line_cleaning
 
@@ -106,6 +106,14 @@ def brute_pipeline(docs):
                     # a cheap bound first: edits change the character counts by two at most
                     if (x < y or m > len(x)) and bag(x, y) <= 4 and edits(x, y) <= 2:
                         pairs.append((x, y))
+    cut = {x: re.sub(r"([\u2e80-\U0010ffff])", r"\1 ", x).split(" ") for x in texts}
+    wordy = [(x, cut[x], set(cut[x])) for x in texts if len(cut[x]) >= 19]
+    for k, (x, v, vs) in enumerate(wordy):
+        for y, w, ws in wordy[k + 1 :]:
+            limit = (min(len(v), len(w)) - 9) // 10
+            # a changed word takes one out of a line at most
+            if abs(len(v) - len(w)) <= limit and len(vs - ws) <= limit and len(ws - vs) <= limit and word_edits(v, w) <= limit:
+                pairs.append((x, y))
     root = roots_of(texts, pairs)
     first = {}
     for i, n, x in lines:
