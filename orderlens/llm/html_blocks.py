@@ -10,7 +10,9 @@ blocks between pages.
 
 Scripts, styles, comments, form controls and the head never become blocks.  Character
 references are decoded, white space inside a block becomes one blank, the blocks kept are
-joined by one blank in page order.
+joined by one blank in page order.  What is left open costs only itself: an element of that
+kind that is never closed loses its text up to the next block (raw text, as in browsers, up to
+the page's end), and a ``p`` or ``li`` ends where the next one starts.
 
 Defined results: a null, empty or text-free page gives the empty text; rows are handled one
 by one, so repeated rows and null or repeated ids give a row each; an empty table gives an
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,21 +34,29 @@ FEATURES = (
 MAX_TRAINING_ROWS = 10_000
 MAX_DEPTH = 6
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.DOTALL,
-)
+_MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_UNQUOTED = re.compile(r"[^<>\"']*")
+_HEAD_END = re.compile(r"</head\s*>|(?=<body\b)", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-# Elements whose content is no text of the page.
-_OPAQUE = frozenset(
-    "head script style noscript template svg math iframe object canvas textarea select button title option datalist".split()
+# Elements whose content is no text of the page; the first four hold raw text, which only their
+# end tag ends.
+_RAW = frozenset("script style textarea title".split())
+_OPAQUE = _RAW | frozenset(
+    "head noscript template svg iframe object canvas select button option datalist annotation annotation-xml".split()
 )
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr "
+    # formulas
+    "math mrow mi mn mo ms mtext mspace mstyle mfrac msqrt mroot msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts mtable mtr mtd mpadded mphantom menclose mfenced merror semantics".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Elements whose end tag may be left out, and the tags that then end them; any block ends a p.
+_CLOSED_BY = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
+}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _FOREIGN_TAGS = frozenset("nav footer aside form menu dialog".split())
 _MAIN_TAGS = frozenset("article main".split())
@@ -75,45 +86,159 @@ def _kind(tag: str, attributes: str) -> int:
     return 0
 
 
+class Markup:
+    """Forward scan of a page for its tags.  What is not found once is not looked for again, so
+    the scan takes time in proportion to the page, whatever is left open in it."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.missing: set[str] = set()
+        self.ends: dict[str, dict[int, int]] = {}
+        # places outside of quotes from which no tag ends before another quote or tag opens
+        self.dead: set[int] = set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where ``what`` comes next, -1 if not."""
+        if what in self.missing:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.missing.add(what)
+        return k
+
+    def tag_end(self, at: int) -> int:
+        """Position of the ``>`` that ends the tag whose name ends at ``at``: the first one outside
+        of quotes, or the first one of all where a quote or another tag comes between; or -1."""
+        first = self.find(">", at)
+        k, passed = at, []
+        while first >= 0 and k not in self.dead:
+            passed.append(k)
+            k = _UNQUOTED.match(self.page, k).end()
+            c = self.page[k : k + 1]
+            if c == ">":
+                return k
+            if c not in ('"', "'"):
+                break
+            k = self.find(c, k + 1) + 1
+            if not k:
+                break
+        self.dead.update(passed)
+        return first
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, closing, attributes) of the next tag from ``at`` on; comments and
+        declarations have no name.  A ``<`` that no ``>`` follows is text."""
+        while m := _MARKUP.search(self.page, at):
+            if m[2]:
+                end = self.tag_end(m.end())
+                if end >= 0:
+                    return m.start(), end + 1, m[2].lower(), bool(m[1]), self.page[m.end() : end]
+            elif m[0] == "<!--":
+                end = self.find("-->", m.end())
+                return m.start(), end + 3 if end >= 0 else len(self.page), "", False, ""
+            else:
+                end = self.find("]]>", m.end()) + 2 if m[0] == "<![CDATA[" else 1
+                end = end if end > 1 else self.find(">", m.end())
+                if end >= 0:
+                    return m.start(), end + 1, "", False, ""
+            at = m.end()
+        return None
+
+    def element_end(self, tag: str, at: int) -> int:
+        """End of the element whose start tag ends at ``at``, -1 if it is never closed.  Raw text
+        goes to the page's end then; a head ends where the body starts."""
+        if tag in _RAW:
+            m = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(self.page, at)
+            return m.end() if m else len(self.page)
+        if tag == "head":
+            m = "</head" not in self.missing and _HEAD_END.search(self.page, at)
+            if m:
+                return m.end()
+            self.missing.add("</head")
+            return -1
+        if tag not in self.ends:
+            self.ends[tag] = self._pairs(tag)
+        return self.ends[tag].get(at, -1)
+
+    def _pairs(self, tag: str) -> dict[int, int]:
+        """For every start tag with an end tag of its own: where the two end."""
+        ends: dict[int, int] = {}
+        opened: list[int] = []
+        end = 0
+        for m in re.finditer(rf"<(/?){tag}(?=[\s/>])", self.page, re.IGNORECASE):
+            if m.start() < end:
+                continue
+            end = self.tag_end(m.end())
+            if end < 0:
+                break
+            if not m[1]:
+                if self.page[end - 1] != "/":
+                    opened.append(end + 1)
+            elif opened:
+                ends[opened.pop()] = end + 1
+        return ends
+
+
 def text_blocks(page: str) -> list[tuple[str, list[float]]]:
     """(text, features) of the page's blocks in order."""
     blocks: list[tuple[str, int, int, int, int, int]] = []
-    stack: list[tuple[str, int]] = []
+    # Open containers: tag, kind of the nearest one that has a kind, how many hold something else
+    # than main text, how many hold main text.
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     link_parts: list[str] = []
     in_link = heading = 0
+    # inside of an opaque element that is never closed: its text goes up to the next block
+    muted = False
     at = 0
+    markup = Markup(page)
 
     def flush() -> None:
-        nonlocal parts, link_parts
+        nonlocal parts, link_parts, muted
         if parts:
             raw = "".join(parts)
             text = " ".join((_html.unescape(raw) if "&" in raw else raw).split())
             if text:
                 linked = len(" ".join(link_parts).split())
-                kinds = [k for _, k in stack if k]
-                blocks.append((text, len(text.split()), linked, heading, kinds[-1] if kinds else 0, kinds.count(-1)))
-        parts, link_parts = [], []
+                blocks.append((text, len(text.split()), linked, heading, *stack[-1][1:3]))
+        parts, link_parts, muted = [], [], False
 
     def add(text: str) -> None:
+        if muted:
+            return
         parts.append(text)
         if in_link:
             link_parts.append(text)
 
-    while m := _TAG.search(page, at):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    def push(tag: str, kind: int) -> None:
+        _, nearest, foreign, main = stack[-1]
+        stack.append((tag, kind or nearest, foreign + (kind == -1), main + (kind == 1)))
+        opened[tag] += 1
+
+    def close(tag: str) -> None:
+        while opened[tag]:
+            top = stack.pop()[0]
+            opened[top] -= 1
+            if top == tag:
+                break
+
+    while found := markup.next(at):
+        start, end, tag, closing, attributes = found
+        if start > at:
+            add(page[at:start])
+        at = end
         if not tag:
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if tag in _OPAQUE:
             if not closing and not attributes.rstrip().endswith("/"):
-                # the body starts even where the head was never closed
-                end = re.compile(r"</%s\s*>%s" % (re.escape(tag), r"|(?=<body\b)" if tag == "head" else ""), re.IGNORECASE)
-                stop = end.search(page, at)
-                at = stop.end() if stop else len(page)
+                stop = markup.element_end(tag, at)
+                if stop >= 0:
+                    at = stop
+                elif tag == "head":
+                    flush()
+                else:
+                    muted = True
             continue
         if tag == "a":
             in_link = 0 if closing else 1
@@ -132,17 +257,19 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
         if tag in ("html", "body"):
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-        elif tag not in ("p", "li", "dd", "dt", "tr", "td", "th") and tag not in _HEADINGS:
+            close(tag)
+            continue
+        if stack[-1][0] == "p":
+            close("p")
+        while tag in _CLOSED_BY.get(stack[-1][0], ()):
+            close(stack[-1][0])
+        if tag not in ("p", "li", "dd", "dt", "tr", "td", "th") and tag not in _HEADINGS:
             kind = _kind(tag, attributes)
-            if tag == "header" and not kind and not any(k == 1 for _, k in stack):
+            if tag == "header" and not kind and not stack[-1][3]:
                 kind = -1
-            stack.append((tag, kind))
+            push(tag, kind)
         elif attributes and _kind(tag, attributes) == -1:
-            stack.append((tag, -1))
+            push(tag, -1)
     add(page[at:])
     flush()
     out = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -52,6 +53,35 @@ def test_extraction_of_handmade_pages(spark):
     assert html_blocks.extract_text(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<article><p>Before.</p><button>Go<p>The rest.</p></article>", ["Before.", "The rest."]),
+    ("<button>Go <p>one</p> <button>x</button> two", ["one", "two"]),
+    ("<p>x <object>no <object>no</object> no</object> y</p>", ["x y"]),
+    ("<p>A <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a+b</annotation></math> sum.</p>", ["A a+b sum."]),
+    ("<head><title>no</title><p>Text", ["Text"]),
+    ("<p>a<script>no <p>no", ["a"]),
+    ("<p>a <b title='x>y'>bold</b> 1 < 2 <!-- no --> e", ["a bold 1 < 2 e"]),
+])
+def test_open_elements_cost_only_themselves(page, texts):
+    assert [t for t, _ in html_blocks.text_blocks(page)] == texts
+
+
+def test_an_open_paragraph_ends_at_the_next():
+    foreign = [f[-1] for _, f in html_blocks.text_blocks("<p class=notice>Ad<p>Text<ul><li class=ad>Ad<li>Item</ul>")]
+    assert foreign == [1.0, 0.0, 1.0, 0.0]
+
+
+@pytest.mark.parametrize("piece", [
+    "<a ", "<![CDATA[", "<!", "<div>a", "<div></x>", "<button>", "<button ", '<a "x>"', '<a "<a \'', "<head>", "<p class=notice>x",
+    ' "<a"', '<a "<a" ">" ', "&", "</script ", "<p class  ",
+])
+def test_pages_of_one_megabyte_end(piece):
+    start = time.perf_counter()
+    for page in (piece * (1_000_000 // len(piece)), "<button" + piece * (1_000_000 // len(piece)) + ">"):
+        html_blocks.text_blocks(page)
+    assert time.perf_counter() - start < 30
+
+
 def test_held_out_accuracy_of_the_tree(spark):
     """Leave one labelled page out: blocks of unseen pages are classified right."""
     right = total = 0
