@@ -174,6 +174,11 @@ class Graph:
             self._set(heads[some], self.prune(heads[some], cand))
 
 
+def _vector_type(frame: DataFrame) -> str:
+    """Type that holds the vectors ``v`` as they are: floats stay floats, other numbers are doubles."""
+    return "array<float>" if frame.schema["v"].dataType.elementType.typeName() == "float" else "array<double>"
+
+
 def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(row_no, vec_id, v): rows whose vector can be compared, as a stored table, so that row
     numbers stay what they are."""
@@ -210,8 +215,9 @@ def build_index(
     sizes = stored.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
     # one row per vector length
     dealt = stored.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("v"), "shards").cast("int"))
+    kind = _vector_type(stored)
     schema = (
-        "dim int, shard int, pos int, v array<float>, copies array<struct<vec_id:long,row_no:long>>, out array<int>"
+        f"dim int, shard int, pos int, v {kind}, copies array<struct<vec_id:long,row_no:long>>, out array<int>"
     )
 
     def build(pdf):
@@ -229,7 +235,7 @@ def build_index(
         )
 
     graphs = (
-        dealt.select("dim", "shard", F.col("v").cast("array<float>").alias("v"), "copies", F.xxhash64("v").alias("key"))
+        dealt.select("dim", "shard", F.col("v").cast(kind).alias("v"), "copies", F.xxhash64("v").alias("key"))
         .groupBy("dim", "shard")
         .applyInPandas(build, schema)
     )
@@ -258,7 +264,7 @@ def search_index(
     shards = index.select("dim", "shard").distinct()
     # Queries visit every shard of their length, block by block; graphs go once to each block.
     asked = (
-        queries.select("row_no", "vec_id", F.col("v").cast("array<float>").alias("v"), F.size("v").alias("dim"))
+        queries.select("row_no", "vec_id", F.col("v").cast(_vector_type(queries)).alias("v"), F.size("v").alias("dim"))
         .withColumn("block", F.pmod(F.xxhash64("row_no"), F.lit(blocks)).cast("int"))
         .join(F.broadcast(shards.groupBy("dim").agg(F.collect_set("shard").alias("shards"))), "dim")
         .select("dim", F.explode("shards").alias("shard"), "block", "row_no", "vec_id", "v")
@@ -273,18 +279,18 @@ def search_index(
         if not len(nodes) or not len(qs):
             return empty
         nodes = nodes.sort_values("pos", ignore_index=True)
-        x = np.stack(nodes["v"].to_numpy()).astype(np.float32)
-        graph = Graph(_same_norm(x), degree, 1.0, beam)
+        exact = np.stack(nodes["v"].to_numpy()).astype(np.float64)
+        graph = Graph(_same_norm(exact.astype(np.float32)), degree, 1.0, beam)
         for at, out in enumerate(nodes["out"]):
             graph.adj[at, : len(out)] = out
-        exact = x.astype(np.float64)
         copies = nodes["copies"].tolist()
         out = []
         for lo in range(0, len(qs), 512):
             part = qs.iloc[lo : lo + 512]
-            q = np.stack(part["v"].to_numpy()).astype(np.float32)
-            ids, _ = graph.search(np.concatenate([q, np.zeros((len(q), 1), np.float32)], axis=1), max(beam, k + 1))
-            scores = np.einsum("bkd,bd->bk", exact[ids], q.astype(np.float64))
+            q = np.stack(part["v"].to_numpy()).astype(np.float64)
+            padded = np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
+            ids, _ = graph.search(padded, max(beam, k + 1))
+            scores = np.einsum("bkd,bd->bk", exact[ids], q)
             scores[ids < 0] = -np.inf
             for row, (own, name) in enumerate(zip(part["row_no"], part["vec_id"])):
                 found = []

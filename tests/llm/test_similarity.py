@@ -303,6 +303,15 @@ def test_op7_recall_ranks_and_scores(spark):
     assert recall(got, want) >= 0.95
 
 
+def test_ann_scores_doubles_as_they_are(spark):
+    rng = np.random.default_rng(8)
+    data = [(i, (1.0 + 1e-9 * rng.normal(size=8)).tolist()) for i in range(30)]
+    vec = {i: np.array(v) for i, v in data}
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = graph_ann.nearest_neighbours(df, "vec_id % 20 = 0", k=20).collect()
+    assert len(got) == 40 and all(abs(r.score - vec[r.query_id] @ vec[r.vec_id]) < 1e-14 for r in got)
+
+
 def test_ann_many_shards_copies_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(5)
     data = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(1500)]
