@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANK = r"[\x20\x09-\x0D]"
+BLANKS = " \t\n\v\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -102,8 +103,8 @@ def clean_lines(
     struct ``source``."""
     extra = [F.struct(*[docs[c] for c in docs.columns]).alias("source")] if carry else []
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *extra)
-    body = F.regexp_replace("text", f"^{BLANK}+|{BLANK}+$", "")
-    frame = base.withColumn("_body", body).withColumn(
+    # Trimmed by characters: a pattern anchored at the end starts again at every blank of a run.
+    frame = base.withColumn("_body", F.btrim("text", F.lit(BLANKS))).withColumn(
         "_words", F.expr(f"CASE WHEN _body = '' THEN CAST(array() AS array<string>) ELSE split(_body, r'{BLANK}+') END")
     )
     frame = _repeat_words(frame, "_words")
