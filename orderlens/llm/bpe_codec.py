@@ -9,8 +9,8 @@ joins the strings of tokens by one space.
 Words are found as the file says: special strings first, in the raw text; then its
 normalization (NFC, white space to a blank, lower case) and its split pattern; then bytes as
 printable characters with ``</w>`` at the word's end.  None of these steps crosses white
-space, so results are kept per space-separated piece in a bounded cache per worker; the
-document's digest is joined from them.
+space, so results of short pieces and words are kept in a cache per worker, bounded in entries
+and in characters an entry; the document's digest is joined from them.
 
 Defined results: a null text is empty (no ids, digest of the empty string); rows are
 handled one by one, so repeated rows and null or repeated ids give a row each; an empty
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from orderlens.llm.tokens import byte_characters, load_tokenizer, text_slices
 
 CACHE_ENTRIES = 250_000
+# Longer pieces (text without blanks) are encoded each time, so the caches stay small in bytes too.
+CACHED_CHARS = 64
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -111,9 +113,11 @@ class BpeCodec:
                 raw = word.encode("utf-8")
                 symbols = [of_byte[b] for b in raw]
                 symbols[-1] = self._last[raw[-1]]
-                if len(words) >= self.cache_entries:
-                    words.clear()
-                got = words[word] = self.merge_word(symbols)
+                got = self.merge_word(symbols)
+                if len(word) <= CACHED_CHARS:
+                    if len(words) >= self.cache_entries:
+                        words.clear()
+                    words[word] = got
             ids += got
         return ids
 
@@ -139,10 +143,12 @@ class BpeCodec:
         for p in pieces:
             got = cache.get(p)
             if got is None:
-                if len(cache) >= self.cache_entries:
-                    cache.clear()
                 ids = self.encode(p)
-                got = cache[p] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+                got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+                if len(p) <= CACHED_CHARS:
+                    if len(cache) >= self.cache_entries:
+                        cache.clear()
+                    cache[p] = got
             if got[0]:
                 done.append(got)
         return sum(g[0] for g in done), " ".join([g[1] for g in done]), " ".join([g[2] for g in done])
