@@ -9,7 +9,9 @@ same text, so ``a = "x..."; password = a`` reports the literal of the first stat
 literal gets the score of its target name plus a score of its own characters, and is
 reported from ``THRESHOLD`` on.  Spans count code points, end exclusive.
 
-The lexer jumps from operator to operator, so prose costs one scan for two characters.
+The lexer jumps from operator to operator, so prose costs one scan for two characters.  Line
+starts, runs of bare characters and base spans are followed forward, each read once, so a long
+one-line text or a long list of credentials takes time in proportion to its length.
 
 Defined results: a null text is empty (no spans); rows are handled one by one, so repeated
 rows and null or repeated ids give a row each; an empty table gives an empty result; other
@@ -21,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,15 +111,15 @@ def _character_score(length: int, counts: dict[str, int], quoted: bool) -> float
     return score if quoted else (score - 0.1 if kinds >= 2 else -1.0)
 
 
-def _name_before(text: str, at: int) -> str:
-    """The assignment target that ends at ``at``."""
+def _name_before(text: str, at: int, line: int) -> str:
+    """The assignment target that ends at ``at``, on the line that starts at ``line``."""
     i = at - 1
     while i >= 0 and text[i] in _BLANKS:
         i -= 1
     if i >= 0 and text[i] == "]":
         i -= 1
     if i >= 0 and text[i] in "\"'`":
-        close = text.rfind(text[i], max(text.rfind("\n", 0, i), 0), i)
+        close = text.rfind(text[i], line, i)
         return text[close + 1 : i] if close >= 0 else ""
     end = i + 1
     while i >= 0 and text[i] in _NAME_CHARS:
@@ -145,10 +148,10 @@ _ENDS = 64
 class Value:
     """An expression's literals (pieces) and constants (shared values), in order."""
 
-    __slots__ = ("parts", "summary", "reported")
+    __slots__ = ("parts", "run", "summary", "reported")
 
-    def __init__(self, parts: list[Piece | Value]):
-        self.parts, self.summary, self.reported = parts, None, False
+    def __init__(self, parts: list[Piece | Value], run: BareRun | None = None):
+        self.parts, self.run, self.summary, self.reported = parts, run, None, False
 
     def _summarize(self, text: str) -> None:
         length, counts, head, tail, quoted = 0, Counter(), "", "", True
@@ -156,8 +159,9 @@ class Value:
             if isinstance(p, Value):
                 n, c, h, t, q = p.summary
             else:
-                v = text[p[0] : p[1]]
-                n, c, h, t, q = len(v), Counter(v), v[:_ENDS], v[-_ENDS:], p[2]
+                a, b, q = p
+                c = self.run.characters(text, a, b) if self.run else Counter(text[a:b])
+                n, h, t = b - a, text[a : min(b, a + _ENDS)], text[max(a, b - _ENDS) : b]
             if len(head) < _ENDS:
                 head = (head + h)[:_ENDS]
             length, tail, quoted = length + n, (tail + t)[-_ENDS:], quoted and q
@@ -200,7 +204,39 @@ class Value:
         return out
 
 
-def _expression(text: str, at: int, known: dict[str, Value], chains: dict[int, Value]) -> Value:
+class BareRun:
+    """The run of bare characters around the last position asked for, and its characters counted
+    from one position on.  Positions mostly grow, so a run with many operators is read once."""
+
+    __slots__ = ("start", "end", "counted", "counts")
+
+    def __init__(self) -> None:
+        self.start = self.end = self.counted = 0
+        self.counts: Counter = Counter()
+
+    def value(self, text: str, at: int) -> Value | None:
+        """The bare value that starts at ``at``."""
+        if not self.start <= at < self.end:
+            m = _BARE.match(text, at)
+            if not m:
+                return None
+            self.start = self.counted = at
+            self.end, self.counts = m.end(), Counter()
+        return Value([(at, self.end, False)], self)
+
+    def characters(self, text: str, start: int, end: int) -> Counter:
+        """Counts of the characters of a value of this run, or of an earlier one."""
+        if end != self.end or start < self.counted:
+            return Counter(text[start:end])
+        if self.counts:
+            self.counts.subtract(text[self.counted : start])
+        else:
+            self.counts = Counter(text[start:end])
+        self.counted = start
+        return +self.counts
+
+
+def _expression(text: str, at: int, known: dict[str, Value], chains: dict[int, Value], run: BareRun) -> Value:
     """Literals of the expression that starts at ``at``, identifiers replaced by their values.
     ``chains`` gets the value for the start of every further target of a chain."""
     starts = []
@@ -211,7 +247,7 @@ def _expression(text: str, at: int, known: dict[str, Value], chains: dict[int, V
     ):
         at = chained.end()
         starts.append(at)
-    value = Value(_parts(text, at, known))
+    value = _value(text, at, known, run)
     chains.update((k, value) for k in starts)
     return value
 
@@ -222,7 +258,7 @@ def _past_blanks(text: str, at: int) -> int:
     return at
 
 
-def _parts(text: str, at: int, known: dict[str, Value]) -> list[Piece | Value]:
+def _value(text: str, at: int, known: dict[str, Value], run: BareRun) -> Value:
     pieces: list[Piece | Value] = []
     first = True
     while True:
@@ -235,25 +271,25 @@ def _parts(text: str, at: int, known: dict[str, Value]) -> list[Piece | Value]:
         elif (m := _IDENTIFIER.match(text, at)) and (value := known.get(m[0])) is not None:
             pieces.append(value)
             at = m.end()
-        elif first and (m := _BARE.match(text, at)):
-            return [(m.start(), m.end(), False)]
+        elif first and (value := run.value(text, at)) is not None:
+            return value
         else:
-            return pieces
+            return Value(pieces)
         first = False
         while at < len(text) and text[at] in _BLANKS:
             at += 1
         if at < len(text) and text[at] in "+.":
             at += 1
         elif not (at < len(text) and text[at] in "\"'`"):
-            return pieces
+            return Value(pieces)
 
 
-def assignments(text: str) -> list[tuple[str, Value]]:
-    """(name, value) of every assignment, constants propagated as shared values."""
+def assignments(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, value) of every assignment in order, constants propagated as shared values."""
     known: dict[str, Value] = {}
     chains: dict[int, Value] = {}
-    out = []
-    skip = 0
+    run = BareRun()
+    skip = line = seen = 0
     for m in _OPERATOR.finditer(text):
         if m.start() < skip:
             continue
@@ -261,16 +297,18 @@ def assignments(text: str) -> list[tuple[str, Value]]:
         if end < 0:
             continue
         skip = end
-        name = _name_before(text, m.start())
+        line = max(line, text.rfind("\n", seen, m.start()) + 1)
+        seen = m.start()
+        name = _name_before(text, m.start(), line)
         if not name:
             continue
-        value = chains.pop(end, None) or _expression(text, end, known, chains)
+        value = chains.pop(end, None) or _expression(text, end, known, chains, run)
         if value.parts:
-            out.append((name, value))
             known[name] = value
+            yield name, value
     if "</" in text:
-        out += [(m[1], Value([(m.start(2), m.end(2), True)])) for m in _ELEMENT.finditer(text)]
-    return out
+        for m in _ELEMENT.finditer(text):
+            yield m[1], Value([(m.start(2), m.end(2), True)])
 
 
 def literal_spans(text: str) -> list[Span]:
@@ -285,6 +323,19 @@ def literal_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: s[1:])
 
 
+def _outside(spans: list[Span], base: list[Span]) -> list[Span]:
+    """The spans that lie inside no base span; both lists are in order of their starts."""
+    out = []
+    k = reach = 0
+    for s in spans:
+        while k < len(base) and base[k][1] <= s[1]:
+            reach = max(reach, base[k][2])
+            k += 1
+        if s[2] > reach:
+            out.append(s)
+    return out
+
+
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by start, then kind; a literal inside a base span adds
     nothing and is left out."""
@@ -292,7 +343,7 @@ def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     base = sorted(base_spans(text), key=order)
     more = []
     if _OPERATOR.search(text) or "</" in text:
-        more = [s for s in literal_spans(text) if not any(b[1] <= s[1] and s[2] <= b[2] for b in base)]
+        more = _outside(literal_spans(text), base)
     return base, sorted(base + more, key=order)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import duckdb
 import public_tokenizers
@@ -101,6 +102,16 @@ def test_line_cleaning_keeps_good_documents(spark):
     assert sum(junk) / len(junk) < 0.2
 
 
+def test_line_cleaning_ends_on_long_runs_of_blanks(spark):
+    blanks = " " * 1_000_000
+    texts = [blanks, "x" + blanks + "y", ("." + " " * 1000) * 1000, "a b c\t\n\x0b\x0c\r d." + blanks]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.perf_counter()
+    rows = {r.doc_id: r for r in line_cleaning.clean_lines(df).collect()}
+    assert time.perf_counter() - start < 60
+    assert [rows[k].n_words for k in range(4)] == [0, 2, 1000, 4] and not any(r.kept for r in rows.values())
+
+
 def test_clean_documents_keeps_columns(spark, edge):
     out = line_cleaning.clean_documents(edge)
     assert out.columns == edge.columns
@@ -146,6 +157,13 @@ def test_codec_special_strings_long_words_and_small_cache():
         assert c.round_trip(text)[0] == len(ids) and c.encode(text) == ids
 
 
+def test_codec_caches_short_pieces_only():
+    c = BpeCodec(WORD)
+    for k in range(30):
+        c.round_trip(chr(0x4E00 + k) * 2000 + " short words")
+    assert set(c._pieces) == {"short", "words"} and all(len(w) <= 64 for w in c._words)
+
+
 def test_codec_edges(spark, edge):
     rows = encode_decode(edge, WORD).collect()
     assert len(rows) == len(EDGE)
@@ -222,6 +240,28 @@ def test_lexer_long_chains_and_shared_constants():
     assert literals("a = 'b1-Z'\npassword = a + a") == ["b1-Z"]
 
 
+@pytest.mark.parametrize("text, n", [
+    ("password = 'Zx9kQw82Tr'\n" * 40_000, 40_000), ("{" + ",".join(f'"k{k}": "v{k}"' for k in range(80_000)) + "}", 0),
+    ("1:" * 500_000, 0), ("password:" * 110_000, 55_001), ("'=" * 500_000, 0), ("=" + " " * 1_000_000, 0),
+], ids=["credentials", "one line", "colons", "nested", "quotes", "blanks"])
+def test_texts_of_one_megabyte_end(text, n):
+    start = time.perf_counter()
+    assert len(secret_scan.find_spans(text)[1]) == n
+    assert time.perf_counter() - start < 30
+
+
+def test_values_of_one_bare_run():
+    from collections import Counter
+
+    text = "a:b=" + "xY7/" * 200 + "!password=" + "qR5?" * 90
+    run = secret_scan.BareRun()
+    for at in (0, 2, 4, 300, 700, len(text) - 300):
+        value = run.value(text, at)
+        a, b, _ = value.parts[0]
+        assert (a, b) == (at, len(text)) and run.characters(text, a, b) == Counter(text[a:b])
+    assert run.characters(text, 2, 9) == Counter(text[2:9])
+
+
 def test_scan_edges_and_redaction(spark, edge):
     rows = secret_scan.scan_secrets(edge).collect()
     assert len(rows) == len(EDGE) and all(r.spans == "" for r in rows if r.doc_id in (1, 2))
