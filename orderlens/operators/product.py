@@ -15,26 +15,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import DELIVERED_STATUS, money_total, money_units_sql, units_sum
+from .joins import count_equal_rows, join_pairing_missing
 from .sales import PURCHASE_TS, parse_timestamps, price_units
 
 
-def _revenue_by_key(sales: DataFrame, key: str) -> DataFrame:
+def _revenue_by_key(sales: DataFrame, key: str, keep_missing: bool = False) -> DataFrame:
     return (
-        sales.where(F.col(key).isNotNull())
+        (sales if keep_missing else sales.where(F.col(key).isNotNull()))
         .groupBy(key)
         .agg(units_sum(price_units(sales)).alias("key_revenue"))
     )
 
 
-def revenue_by_category(sales: DataFrame, products: DataFrame) -> DataFrame:
+def _to_dimension(per_key: DataFrame, dimension: DataFrame, key: str, pair_missing: bool) -> DataFrame:
+    """``key_revenue`` brought to the rows of a dimension; with ``pair_missing`` the one total of a
+    missing key meets the dimension's rows without a key, equal ones counted first (S16)."""
+    if not pair_missing:
+        return per_key.join(dimension, key)
+    joined = join_pairing_missing(count_equal_rows(dimension), per_key, key)
+    return joined.withColumn("key_revenue", F.expr("CAST(key_revenue * n_rows AS decimal(38,0))")).drop("n_rows")
+
+
+def revenue_by_category(sales: DataFrame, products: DataFrame, pair_missing: bool = False) -> DataFrame:
     """``product_category_name, revenue`` sorted by revenue descending, category ascending
-    on ties (A7, S18).  Missing categories are dropped (S2)."""
-    per_product = _revenue_by_key(sales, "product_id")
+    on ties (A7, S18).  Missing categories are dropped (S2).  ``pair_missing`` lets a missing
+    product id match a missing one, as pandas' merge does (S16)."""
+    per_product = _revenue_by_key(sales, "product_id", pair_missing)
     cats = products.select("product_id", "product_category_name").where(
         F.col("product_category_name").isNotNull()
     )
     return (
-        per_product.join(cats, "product_id")
+        _to_dimension(per_product, cats, "product_id", pair_missing)
         .groupBy("product_category_name")
         .agg(money_total("key_revenue").alias("revenue"))
         .orderBy(F.desc("revenue"), F.asc("product_category_name"))
@@ -62,7 +73,11 @@ def category_count(category_revenue: DataFrame) -> DataFrame:
 
 
 def revenue_by_state(
-    sales: DataFrame, orders: DataFrame, customers: DataFrame, assume_unique_orders: bool = False
+    sales: DataFrame,
+    orders: DataFrame,
+    customers: DataFrame,
+    assume_unique_orders: bool = False,
+    pair_missing: bool = False,
 ) -> DataFrame:
     """``customer_state, price`` (revenue) sorted descending, state ascending on ties.
 
@@ -74,23 +89,33 @@ def revenue_by_state(
     (``build_order_sales(carry_customer=True)``) and skips the join back to orders -- one
     shuffle of the orders table less.  Equal to the default only when every order id occurs
     once in orders; with repeated ids the default fans out to each repeat's customer.
+
+    ``pair_missing`` lets missing order and customer ids match missing ones, as pandas' merge
+    does (S16).
     """
+    if assume_unique_orders and pair_missing:
+        raise ValueError("missing order ids that match each other are not unique")
     if assume_unique_orders:
         if "customer_id" not in sales.columns:
             raise ValueError("sales carry no customer_id; build them with carry_customer=True")
         return _state_revenue_from_customers(_revenue_by_key(sales, "customer_id"), customers)
-    return state_revenue_from_orders(_revenue_by_key(sales, "order_id"), orders, customers)
+    per_order = _revenue_by_key(sales, "order_id", pair_missing)
+    return state_revenue_from_orders(per_order, orders, customers, pair_missing)
 
 
-def state_revenue_from_orders(per_order: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
+def state_revenue_from_orders(
+    per_order: DataFrame, orders: DataFrame, customers: DataFrame, pair_missing: bool = False
+) -> DataFrame:
     """State revenue from ``order_id, key_revenue`` (exact units per order id)."""
-    owners = orders.select("order_id", "customer_id").where(F.col("customer_id").isNotNull())
+    owners = orders.select("order_id", "customer_id")
+    if not pair_missing:
+        owners = owners.where(F.col("customer_id").isNotNull())
     per_customer = (
-        per_order.join(owners, "order_id")
+        _to_dimension(per_order, owners, "order_id", pair_missing)
         .groupBy("customer_id")
         .agg(F.sum("key_revenue").alias("key_revenue"))
     )
-    return _state_revenue_from_customers(per_customer, customers)
+    return _state_revenue_from_customers(per_customer, customers, pair_missing)
 
 
 def build_customer_sales(order_sales: DataFrame, orders: DataFrame) -> DataFrame:
@@ -155,10 +180,12 @@ def state_revenue_of_period(
     return _state_revenue_from_customers(per_customer, customers)
 
 
-def _state_revenue_from_customers(per_customer: DataFrame, customers: DataFrame) -> DataFrame:
+def _state_revenue_from_customers(
+    per_customer: DataFrame, customers: DataFrame, pair_missing: bool = False
+) -> DataFrame:
     states = customers.select("customer_id", "customer_state").where(F.col("customer_state").isNotNull())
     return (
-        per_customer.join(states, "customer_id")
+        _to_dimension(per_customer, states, "customer_id", pair_missing)
         .groupBy("customer_state")
         .agg(money_total("key_revenue").alias("price"))
         .orderBy(F.desc("price"), F.asc("customer_state"))

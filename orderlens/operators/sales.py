@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import DELIVERED_STATUS, money_units_sql, units_sum, units_to_money
+from .joins import join_pairing_missing
 
 PURCHASE_TS = "order_purchase_timestamp"
 DELIVERED_TS = "order_delivered_customer_date"
@@ -73,16 +74,22 @@ def _with_period_columns(df: DataFrame) -> DataFrame:
 
 
 def build_sales_data(
-    order_items: DataFrame, orders: DataFrame, status: str | None = DELIVERED_STATUS, lenient: bool = False
+    order_items: DataFrame,
+    orders: DataFrame,
+    status: str | None = DELIVERED_STATUS,
+    lenient: bool = False,
+    pair_missing: bool = False,
 ) -> DataFrame:
     """Delivered line items with order metadata, ``month`` and ``year``.
 
     Inner equi-join on ``order_id`` (S15-S17); the status filter lands on the orders side
     below the join.  ``status=None`` keeps every status; ``lenient`` reads malformed text
-    timestamps as missing instead of raising.
+    timestamps as missing instead of raising.  ``pair_missing`` lets a missing order id match a
+    missing one, as pandas' merge does (S16).
     """
     items = order_items.select("order_id", "order_item_id", "product_id", "price")
-    joined = items.join(_orders_meta(orders, status, lenient=lenient), "order_id")
+    meta = _orders_meta(orders, status, lenient=lenient)
+    joined = join_pairing_missing(items, meta, "order_id") if pair_missing else items.join(meta, "order_id")
     return _with_period_columns(joined).select(*SALES_COLUMNS)
 
 
