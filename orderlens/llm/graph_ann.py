@@ -61,6 +61,9 @@ class Graph:
         qn = np.einsum("ij,ij->i", queries, queries)
         dist[:, 0] = qn + self.norm[self.start] - 2 * (queries @ self.x[self.start])
         open_[:, 0] = True
+        met = np.zeros((b, len(self.x)), dtype=bool)  # a distance is computed once per query and node
+        met[:, self.start] = True
+        flat = met.reshape(-1)
         seen: list = []
         live = np.arange(b)
         while len(live):
@@ -74,19 +77,23 @@ class Graph:
             open_[live, at] = False
             if visited:
                 seen.append((live, node, dist[live, at]))
-            nbr = self.adj[node]
-            old = ids[live]
-            known = (nbr[:, :, None] == old[:, None, :]).any(axis=2) | (nbr < 0)
-            d = qn[live, None] + self.norm[nbr] - 2 * np.einsum("brd,bd->br", self.x[nbr], queries[live])
-            d = np.where(known, np.inf, d).astype(np.float32)
-            all_d = np.concatenate([dist[live], d], axis=1)
+            nbr = self.adj.take(node, axis=0)
+            fresh = (nbr >= 0) & ~flat.take(live[:, None] * len(self.x) + nbr)
+            moved = fresh.any(axis=1)
+            who, nbr, fresh = live[moved], nbr[moved], fresh[moved]
+            r, c = np.nonzero(fresh)
+            q, new = who[r], nbr[r, c]
+            met[q, new] = True
+            d = np.full(nbr.shape, np.inf, dtype=np.float32)
+            inner = np.einsum("nd,nd->n", self.x.take(new, axis=0), queries.take(q, axis=0))
+            d[r, c] = qn[q] + self.norm[new] - 2 * inner
+            all_d = np.concatenate([dist[who], d], axis=1)
             pick = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
-            rows = np.arange(len(live))[:, None]
-            all_i = np.concatenate([old, nbr], axis=1)
-            all_o = np.concatenate([open_[live], ~known], axis=1)
-            dist[live] = all_d[rows, pick]
-            ids[live] = np.where(np.isinf(dist[live]), -1, all_i[rows, pick])
-            open_[live] = all_o[rows, pick] & (ids[live] >= 0)
+            pick += np.arange(len(who))[:, None] * all_d.shape[1]
+            near = all_d.take(pick)
+            dist[who] = near
+            ids[who] = np.where(np.isinf(near), -1, np.concatenate([ids[who], nbr], axis=1).take(pick))
+            open_[who] = np.concatenate([open_[who], fresh], axis=1).take(pick) & ~np.isinf(near)
         return (ids, dist, seen) if visited else (ids, dist)
 
     def prune(self, nodes, cand):
@@ -98,7 +105,6 @@ class Graph:
         norm = self.norm[cand]
         own = norm + self.norm[nodes][:, None] - 2 * np.einsum("bcd,bd->bc", x, self.x[nodes])
         alive = (cand >= 0) & (cand != nodes[:, None])
-        between = norm[:, :, None] + norm[:, None, :] - 2 * (x @ x.transpose(0, 2, 1))
         a2 = self.alpha**2  # squared distances
         rows = np.arange(len(nodes))
         for k in range(self.degree):
@@ -107,7 +113,9 @@ class Graph:
             if not ok.any():
                 break
             out[ok, k] = cand[rows[ok], best[ok]]
-            alive &= a2 * between[rows, best] > own
+            # by picks, not for all pairs: a batch of small products would keep BLAS threads spinning
+            between = norm + norm[rows, best][:, None] - 2 * np.einsum("bcd,bd->bc", x, x[rows, best])
+            alive &= a2 * between > own
             alive[rows, best] = False
         return out
 
@@ -135,17 +143,15 @@ class Graph:
 
     def _insert(self, nodes) -> None:
         np = self.np
-        ids, _, seen = self.search(self.x[nodes], self.beam, visited=True)
-        # candidates: the final beam and everything expanded on the way
+        _, _, seen = self.search(self.x[nodes], self.beam, visited=True)
+        # candidates: everything expanded on the way, which the final beam is part of
         extra: list[list[int]] = [[] for _ in nodes]
         for live, node, _ in seen:
             for q, v in zip(live.tolist(), node.tolist()):
                 extra[q].append(v)
-        width = max(map(len, extra))
-        cand = np.full((len(nodes), self.beam + width), -1, dtype=np.int32)
-        cand[:, : self.beam] = ids
+        cand = np.full((len(nodes), max(map(len, extra))), -1, dtype=np.int32)
         for q, vs in enumerate(extra):
-            cand[q, self.beam : self.beam + len(vs)] = vs
+            cand[q, : len(vs)] = vs
         cand.sort(axis=1)
         cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
         self._set(nodes, self.prune(nodes, cand))
