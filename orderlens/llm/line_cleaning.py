@@ -14,8 +14,10 @@ A line with words fails when
 
 * punctuation: it has more than one mark (``MARKS``) for every two words;
 * navigation: it has two or more separators (``SEPARATORS``), one for every four words at
-  least; or it has at most three words and does not end like a sentence;
-* boilerplate: it has at most 25 words and one of the phrases of ``BOILERPLATE``.
+  least; or it has at most three words, does not end like a sentence and stands in a run of
+  three such lines or more (a heading stays; a line without words ends a run);
+* boilerplate: it has at most 25 words and one of the phrases of ``BOILERPLATE``, which name what
+  a page asks for ("accept cookies", "copyright 2020"), not words of prose ("cookie", "copyright").
 
 ``kept``: not ``base_failed``, and the removed lines hold at most half of the word
 characters.
@@ -27,6 +29,9 @@ empty result; extra columns are ignored, or kept by :func:`clean_documents`.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +48,15 @@ SEPARATORS = r"[|»›•·]"
 SENTENCE_END = r"[.!?:;,…\"')\]»。！？][\x20\x09-\x0D]*$"
 BOILERPLATE = (
     r"(?i)all rights reserved|privacy policy|terms of (use|service)"
-    r"|cookie|copyright|©|click here|read more|sign (in|up)|log ?in |subscribe|enable javascript"
-    r"|lorem ipsum|powered by"
+    r"|(accept|allow|use|uses|using|these|our|all) cookies|cookie (policy|settings|notice|consent|preferences)"
+    r"|copyright (©|\(c\)|[0-9]{4})|(©|\(c\)) ?[0-9]{4}|click here|read more"
+    r"|subscribe (now|today|here|to (our|the|this|my) (newsletter|channel|feed|blog|updates|mailing list))"
+    r"|(sign (in|up)|log ?in) (now|here|today|with|or|to (your|our|continue|view|comment))"
+    r"|enable javascript|lorem ipsum|powered by"
 )
+SHORT_WORDS = 3
+SHORT_RUN = 3
+PHRASE_WORDS = 25
 
 
 def _count(col: Column, pattern: str) -> Column:
@@ -57,18 +68,30 @@ def word_characters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, BLANK + "+", "")).cast("long")
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line with words that breaks a rule."""
-    words = _count(line, WORD)
+def _in_run(i: Column) -> Column:
+    """True if line ``i`` stands in a run of at least ``SHORT_RUN`` short lines (column _short)."""
+    short = lambda k: F.coalesce(F.get("_short", i + k), F.lit(False))
+    runs = [[k for k in range(first, first + SHORT_RUN) if k] for first in range(1 - SHORT_RUN, 1)]
+    return short(0) & reduce(or_, [reduce(and_, [short(k) for k in run]) for run in runs])
+
+
+def _line_fails(line: Column, i: Column) -> Column:
+    """True for line ``i`` (words counted in _n) if it has words and breaks a rule."""
+    words = F.get("_n", i)
     separators = _count(line, SEPARATORS)
     punctuation = 2 * _count(line, MARKS) > words
-    navigation = ((separators >= 2) & (4 * separators >= words)) | (
-        (words <= 3) & ~line.rlike(SENTENCE_END)
-    )
-    boilerplate = (words <= 25) & line.rlike(BOILERPLATE)
+    navigation = _in_run(i) | ((separators >= 2) & (4 * separators >= words))
+    boilerplate = (words <= PHRASE_WORDS) & line.rlike(BOILERPLATE)
     return (words > 0) & (punctuation | navigation | boilerplate)
 
 
+def _with_line_counts(frame: DataFrame) -> DataFrame:
+    """Add _lines, _n (words of each, counted once) and _short (few words, no end of a sentence)."""
+    frame = frame.withColumn("_lines", F.split("text", "\n")).withColumn("_n", F.transform("_lines", lambda x: _count(x, WORD)))
+    few = lambda i: F.get("_n", i).between(1, SHORT_WORDS)
+    return frame.withColumn("_short", F.transform("_lines", lambda x, i: few(i) & ~x.rlike(SENTENCE_END)))
+
+
 def _repeat_words(frame: DataFrame, words: str) -> DataFrame:
     """Add _repeat: words inside windows that occur twice or more in the row's array."""
     hashes = (
@@ -108,11 +131,10 @@ def clean_lines(
         "_words", F.expr(f"CASE WHEN _body = '' THEN CAST(array() AS array<string>) ELSE split(_body, r'{BLANK}+') END")
     )
     frame = _repeat_words(frame, "_words")
-    frame = frame.withColumn("_lines", F.split("text", "\n"))
-    with_words = F.filter("_lines", lambda x: x.rlike(WORD))
+    frame = _with_line_counts(frame)
     frame = (
-        frame.withColumn("_with_words", with_words)
-        .withColumn("clean_text", F.array_join(F.filter("_lines", lambda x: ~line_fails(x)), "\n"))
+        frame.withColumn("_with_words", F.filter("_lines", lambda x, i: F.get("_n", i) > 0))
+        .withColumn("clean_text", F.array_join(F.filter("_lines", lambda x, i: ~_line_fails(x, i)), "\n"))
         .withColumn("word_chars", word_characters(F.col("text")))
         .withColumn("_clean_chars", word_characters(F.col("clean_text")))
     )
@@ -167,9 +189,13 @@ l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS k F
 f AS (SELECT doc_id, k, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
              len(regexp_extract_all(line, '[!#*$%&|<>=~^_{}\\]')) AS marks,
              len(regexp_extract_all(line, '[|»›•·]')) AS seps FROM l),
+s AS (SELECT *, n BETWEEN 1 AND 3 AND NOT regexp_matches(line, '[.!?:;,…"'')\]»。！？][\x20\x09-\x0D]*$') AS short FROM f),
+r AS (SELECT *, coalesce(lag(short) OVER o, false) AS b1, coalesce(lag(short, 2) OVER o, false) AS b2,
+             coalesce(lead(short) OVER o, false) AS a1, coalesce(lead(short, 2) OVER o, false) AS a2
+      FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
 j AS (SELECT *, n > 0 AND (2 * marks > n OR (seps >= 2 AND 4 * seps >= n)
-        OR (n <= 3 AND NOT regexp_matches(line, '[.!?:;,…"'')\]»。！？][\x20\x09-\x0D]*$'))
-        OR (n <= 25 AND regexp_matches(line, '(?i)all rights reserved|privacy policy|terms of (use|service)|cookie|copyright|©|click here|read more|sign (in|up)|log ?in |subscribe|enable javascript|lorem ipsum|powered by'))) AS fails FROM f),
+        OR (short AND ((b1 AND b2) OR (b1 AND a1) OR (a1 AND a2)))
+        OR (n <= 25 AND regexp_matches(line, '(?i)all rights reserved|privacy policy|terms of (use|service)|(accept|allow|use|uses|using|these|our|all) cookies|cookie (policy|settings|notice|consent|preferences)|copyright (©|\(c\)|[0-9]{4})|(©|\(c\)) ?[0-9]{4}|click here|read more|subscribe (now|today|here|to (our|the|this|my) (newsletter|channel|feed|blog|updates|mailing list))|(sign (in|up)|log ?in) (now|here|today|with|or|to (your|our|continue|view|comment))|enable javascript|lorem ipsum|powered by'))) AS fails FROM r),
 c AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
              coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (fails), 0) AS lost
       FROM j GROUP BY doc_id),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import time
 
@@ -44,18 +45,23 @@ def brute_clean(text):
     lines = [x for x in text.split("\n") if word.search(x)]
     failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
 
-    def fails(x):
+    def is_short(x):
+        return 0 < len(word.findall(x)) <= 3 and not re.search(line_cleaning.SENTENCE_END.replace("$", r"\Z"), x)
+
+    def fails(x, run):
         n = len(word.findall(x))
         seps = len(re.findall(line_cleaning.SEPARATORS, x))
         return (
             2 * len(re.findall(line_cleaning.MARKS, x)) > n
             or (seps >= 2 and 4 * seps >= n)
-            or (n <= 3 and not re.search(line_cleaning.SENTENCE_END.replace("$", r"\Z"), x))
+            or run >= 3
             or (n <= 25 and bool(re.search(line_cleaning.BOILERPLATE, x)))
         )
 
-    chars = sum(map(len, words))
-    lost = sum(len(w) for x in lines if fails(x) for w in word.findall(x))
+    chars, lost = sum(map(len, words)), 0
+    for short, group in itertools.groupby(text.split("\n"), is_short):
+        group = list(group)
+        lost += sum(len(w) for x in group for w in word.findall(x) if fails(x, len(group) if short else 0))
     return (
         len(words), chars, len(re.findall(line_cleaning.SYMBOLS, text)), len(lines) - len(set(lines)),
         len(covered), failed, not failed and lost <= 0.5 * chars,
@@ -102,6 +108,25 @@ def test_line_cleaning_keeps_good_documents(spark):
     assert sum(junk) / len(junk) < 0.2
 
 
+def test_prose_is_no_boilerplate(spark):
+    """Words that pages use, in prose, and headings stay; requests of a page and menus go."""
+    prose = [
+        "Chocolate cookies", "", "Bake every cookie for ten minutes and let the cookies cool.", "Method", "Part two",
+        "The copyright of the poem went to the heirs.", "They would subscribe to that view at once.",
+        "There was a sign in the window.", "He put another log in the fire.",
+    ]
+    page = [
+        "We use cookies to improve this site.", "Copyright 2020 by the owners", "Subscribe to our newsletter",
+        "Log in to continue", "Home", "About us", "Contact", "© 2019 The Firm",
+    ]
+    texts = ["\n".join(prose), "\n".join(page), "\n".join(prose + page), "\n".join([*prose, "", *page])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in line_cleaning.clean_lines(df).collect()}
+    assert [rows[k].clean_text for k in range(4)] == [texts[0], "", texts[0], texts[0] + "\n"]
+    assert [rows[k].kept for k in range(4)] == [True, False, True, True]
+    assert all(tuple(rows[k][c] for c in COLS) == brute_clean(texts[k]) for k in range(4))
+
+
 def test_line_cleaning_ends_on_long_runs_of_blanks(spark):
     blanks = " " * 1_000_000
     texts = [blanks, "x" + blanks + "y", ("." + " " * 1000) * 1000, "a b c\t\n\x0b\x0c\r d." + blanks]
