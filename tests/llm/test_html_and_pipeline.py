@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import time
 import zlib
@@ -120,7 +121,7 @@ def brute_pipeline(docs):
     kept = []
     for i, t in docs:
         if brute_clean(t)[-1]:
-            lines = [x for x in t.split("\n") if not line_fails(x)]
+            lines = kept_lines(t)
             kept.append((i, "\n".join(lines)))
     lines = [(i, n, x.strip(" \t\x0b\x0c\r")) for i, t in kept for n, x in enumerate(t.split("\n"))]
     lines = [x for x in lines if x[2]]
@@ -165,13 +166,24 @@ def bag(x, y):
     return sum(((a - b) + (b - a)).values())
 
 
+def short_line(x):
+    return 0 < len(re.findall(line_cleaning.WORD, x)) <= 3 and not re.search(line_cleaning.SENTENCE_END.replace("$", r"\Z"), x)
+
+
+def kept_lines(text):
+    out = []
+    for short, run in itertools.groupby(text.split("\n"), short_line):
+        run = list(run)
+        out += [x for x in run if not (short and len(run) >= 3) and not line_fails(x)]
+    return out
+
+
 def line_fails(x):
     n = len(re.findall(line_cleaning.WORD, x))
     seps = len(re.findall(line_cleaning.SEPARATORS, x))
     return n > 0 and (
         2 * len(re.findall(line_cleaning.MARKS, x)) > n
         or (seps >= 2 and 4 * seps >= n)
-        or (n <= 3 and not re.search(line_cleaning.SENTENCE_END.replace("$", r"\Z"), x))
         or (n <= 25 and bool(re.search(line_cleaning.BOILERPLATE, x)))
     )
 
