@@ -10,7 +10,7 @@ Words are found as the file says: special strings first, in the raw text; then i
 normalization (NFC, white space to a blank, lower case) and its split pattern; then bytes as
 printable characters with ``</w>`` at the word's end.  None of these steps crosses white
 space, so results of short pieces and words are kept in a cache per worker, bounded in entries
-and in characters an entry; the document's digest is joined from them.
+and in characters an entry, frequent ones longest; the document's digest is joined from them.
 
 Defined results: a null text is empty (no ids, digest of the empty string); rows are
 handled one by one, so repeated rows and null or repeated ids give a row each; an empty
@@ -19,9 +19,11 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -32,9 +34,33 @@ from orderlens.llm.tokens import byte_characters, load_tokenizer, text_slices
 CACHE_ENTRIES = 250_000
 # Longer pieces (text without blanks) are encoded each time, so the caches stay small in bytes too.
 CACHED_CHARS = 64
+# A heap entry is one number: a merge's rank above a place in the word.
+PLACE_BITS = 32
+_PLACE = (1 << PLACE_BITS) - 1
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+class Cache(dict):
+    """Results of ``make`` for short strings, bounded, in two generations: entries that were not
+    asked for while ``entries`` others came are forgotten, so frequent ones stay."""
+
+    def __init__(self, entries: int, make):
+        super().__init__()
+        self.entries, self.make = entries, make
+        self.old: dict = {}
+
+    def __missing__(self, key: str):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= CACHED_CHARS:
+            if len(self) >= self.entries:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class BpeCodec:
     """Encoder and decoder of a word-level BPE file with a word-end suffix."""
 
@@ -47,11 +73,16 @@ class BpeCodec:
         self.vocab: dict[str, int] = model["vocab"]
         vocab = self.vocab
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        # a pair of neighbours is one number; its merge gives the rank and the merged symbol
-        self.merges = {vocab[a] << 20 | vocab[b]: (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        # a pair of neighbours is one number; its merge is the rank, shifted to make room for a place
+        self.merges: dict[int, int] = {}
+        self.merged: list[int] = []
+        for r, (a, b) in enumerate(pairs):
+            self.merges[vocab[a] << 20 | vocab[b]] = r << PLACE_BITS
+            self.merged.append(vocab[a + b])
         self.suffix = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
+        self._decimals = {i: str(i) for i in self.strings}
         names = sorted(self.special, key=len, reverse=True)
         self._specials = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -62,96 +93,111 @@ class BpeCodec:
         self._ascii_lower = steps == ["NFC", "Replace", "Lowercase"]
         self._bytes = [vocab[c] for c in byte_characters()]
         self._last = [vocab[c + self.suffix] for c in byte_characters()]
-        self.cache_entries = cache_entries
-        self._pieces: dict[str, tuple[int, str, str]] = {}
-        self._words: dict[str, list[int]] = {}
+        self._pieces = Cache(cache_entries, self._piece)
+        self._words = Cache(cache_entries, self._word)
 
     def merge_word(self, symbols: list[int]) -> list[int]:
         """Apply merges, best rank first and leftmost among equals, until none applies."""
         find, pop, push = self.merges.get, heapq.heappop, heapq.heappush
-        heap = []
-        for i, pair in enumerate(zip(symbols, symbols[1:])):
-            m = find(pair[0] << 20 | pair[1])
-            if m is not None:
-                heap.append((m[0], i, pair, m[1]))
+        # the entry that holds for each place and its neighbour, without the place
+        now = [find(a << 20 | b) for a, b in zip(symbols, symbols[1:])]
+        heap = [m | i for i, m in enumerate(now) if m is not None]
         if not heap:
             return symbols
         heapq.heapify(heap)
-        n = len(symbols)
+        now.append(None)
+        n, merged_ids = len(symbols), self.merged
         sym = list(symbols)
         prev = list(range(-1, n - 1))
         nxt = [*range(1, n), -1]
         while heap:
-            _, i, (a, b), merged = pop(heap)
-            j = nxt[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
+            entry = pop(heap)
+            i = entry & _PLACE
+            if now[i] != entry ^ i:
                 continue  # stale: one of the two has been merged since
-            sym[i], sym[j] = merged, -1
+            j = nxt[i]
+            sym[i] = merged = merged_ids[entry >> PLACE_BITS]
+            sym[j], now[i], now[j] = -1, None, None
             k = nxt[i] = nxt[j]
             if k >= 0:
                 prev[k] = i
-                m = find(merged << 20 | sym[k])
+                m = now[i] = find(merged << 20 | sym[k])
                 if m is not None:
-                    push(heap, (m[0], i, (merged, sym[k]), m[1]))
+                    push(heap, m | i)
             h = prev[i]
             if h >= 0:
-                m = find(sym[h] << 20 | merged)
+                m = now[h] = find(sym[h] << 20 | merged)
                 if m is not None:
-                    push(heap, (m[0], h, (sym[h], merged), m[1]))
+                    push(heap, m | h)
         return [x for x in sym if x >= 0]
 
-    def _encode_plain(self, text: str) -> list[int]:
+    def _word(self, word: str) -> tuple[int, str, str]:
+        """(number of ids, ids joined by blanks, decoded text) of a word."""
+        raw = word.encode("utf-8")
+        of_byte = self._bytes
+        symbols = [of_byte[b] for b in raw]
+        symbols[-1] = self._last[raw[-1]]
+        ids = self.merge_word(symbols)
+        return len(ids), " ".join([self._decimals[i] for i in ids]), self.decode(ids)
+
+    def _plain_words(self, text: str) -> list[tuple[int, str, str]]:
+        """:meth:`_word` for every word of a text without special strings."""
         if self._ascii_lower and text.isascii() and text.isprintable() and " " not in text:
             text = text.lower()
         else:
             text = self._normalize(text)
-        ids: list[int] = []
-        words, of_byte = self._words, self._bytes
-        for word in self._split.findall(text):
-            got = words.get(word)
-            if got is None:
-                raw = word.encode("utf-8")
-                symbols = [of_byte[b] for b in raw]
-                symbols[-1] = self._last[raw[-1]]
-                got = self.merge_word(symbols)
-                if len(word) <= CACHED_CHARS:
-                    if len(words) >= self.cache_entries:
-                        words.clear()
-                    words[word] = got
-            ids += got
-        return ids
+        return list(map(self._words.__getitem__, self._split.findall(text)))
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text, special strings in it as their own ids."""
+    def _all_words(self, text: str) -> list[tuple[int, str, str]]:
+        """:meth:`_plain_words`, special strings in the text as words of one id."""
         if self._specials is None:
-            return self._encode_plain(text)
-        ids: list[int] = []
-        for part in self._specials.split(text):
+            return self._plain_words(text)
+        parts = self._specials.split(text)
+        if len(parts) == 1:
+            return self._plain_words(text)
+        words = []
+        for part in parts:
             if part in self.special:
-                ids.append(self.special[part])
+                i = self.special[part]
+                words.append((1, str(i), self.strings[i]))
             elif part:
-                ids += self._encode_plain(part)
-        return ids
+                words += self._plain_words(part)
+        return words
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text, special strings in it as their own ids."""
+        return [int(i) for _, ids, _ in self._all_words(text) for i in ids.split(" ")]
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.strings[i] for i in ids)
+        return " ".join([self.strings[i] for i in ids])
+
+    def _piece(self, piece: str) -> tuple[int, str, str]:
+        words = self._all_words(piece)
+        return words[0] if len(words) == 1 else _joined(words)
 
     def round_trip(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids joined by blanks, decoded text) of a whole text."""
         pieces = [text] if _SEPARATORS.search(text) else text.split()
-        cache, done = self._pieces, []
-        for p in pieces:
-            got = cache.get(p)
-            if got is None:
-                ids = self.encode(p)
-                got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-                if len(p) <= CACHED_CHARS:
-                    if len(cache) >= self.cache_entries:
-                        cache.clear()
-                    cache[p] = got
-            if got[0]:
-                done.append(got)
-        return sum(g[0] for g in done), " ".join([g[1] for g in done]), " ".join([g[2] for g in done])
+        return _joined([got for got in map(self._pieces.__getitem__, pieces) if got[0]])
+
+
+def _joined(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+    if not parts:
+        return 0, "", ""
+    n, ids, decoded = zip(*parts)
+    return sum(n), " ".join(ids), " ".join(decoded)
+
+
+@contextmanager
+def _uncollected():
+    """No cyclic garbage collection inside: it would walk the caches, which hold no cycles, again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 @lru_cache(maxsize=2)
@@ -175,7 +221,8 @@ def encode_decode(
         c = codec(tokenizer_path)
         for batch in batches:
             for lo, texts in text_slices(batch.column("text")):
-                rows = [c.round_trip(t) for t in texts]
+                with _uncollected():
+                    rows = [c.round_trip(t) for t in texts]
                 if digests:
                     rows = [(n, sha256(a.encode()).hexdigest(), sha256(b.encode()).hexdigest()) for n, a, b in rows]
                 n, ids, decoded = zip(*rows)

@@ -189,6 +189,17 @@ def test_codec_caches_short_pieces_only():
     assert set(c._pieces) == {"short", "words"} and all(len(w) <= 64 for w in c._words)
 
 
+def test_codec_keeps_frequent_words_when_caches_overflow(monkeypatch):
+    merged, merge_word = [], BpeCodec.merge_word
+    monkeypatch.setattr(BpeCodec, "merge_word", lambda self, s: merged.append(len(s)) or merge_word(self, s))
+    c = BpeCodec(WORD, cache_entries=8)
+    for k in range(60):
+        word = "x" + "".join(chr(97 + int(d)) for d in str(k))
+        assert c.round_trip(f"frequently {word}")[0] == len(_lib().encode(f"frequently {word}", add_special_tokens=False).ids)
+    assert merged.count(len("frequently")) == 1
+    assert len(c._pieces) + len(c._pieces.old) <= 2 * 8 and len(c._words) + len(c._words.old) <= 2 * 8
+
+
 def test_codec_edges(spark, edge):
     rows = encode_decode(edge, WORD).collect()
     assert len(rows) == len(EDGE)
