@@ -3,7 +3,7 @@
 Large-star hooks every larger neighbour of a node to the smallest node around it, small-star
 the smaller ones (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014).  The
 table never has more edges than it began with.  Each round is cut off as a table in the
-shared checkpoint folder, and the loop ends when a round changes nothing.  Minima are
+shared checkpoint folder, which replaces the table of the round before, and the loop ends when a round changes nothing.  Minima are
 partial aggregates; the joins that spread them are plain equi-joins, which adaptive
 execution splits at hubs.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.session import checkpoint_table
+from orderlens.session import StepTables
 
 
 def _star(directed: DataFrame) -> DataFrame:
@@ -47,12 +47,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     a, b = edges.columns
     # larger node first, so that small-star sees smaller neighbours
-    now = checkpoint_table(
+    rounds = StepTables()
+    now = rounds.store(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges"
     )
     state = _mark(now)
     for _ in range(max_rounds):
-        now = checkpoint_table(_round(now), "edges")
+        before, now = now, rounds.store(_round(now), "edges")
+        rounds.drop(before)
         mark = _mark(now)
         if mark == state:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

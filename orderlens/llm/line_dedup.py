@@ -23,6 +23,8 @@ of words; classes are the transitive closure.
   class and the next lower one.
 * Keys under which only one line stands are dropped behind their exchange.  Texts are
   fetched for the remaining lines alone.
+* The tables between the steps are deleted, and the shuffle files of each step removed, as soon
+  as the last step that reads them has ended.
 * Inside a key a pair is first held against its character counts (an edit changes them by at
   most two) or its words' parities (a changed word flips two at most).  Lines of a hot segment, and
   lines with the same two longest words, are first compared with one of them, their head; lines that
@@ -45,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.components import connected_components
-from orderlens.session import checkpoint_table
+from orderlens.session import StepTables, checkpoint_table
 
 MAX_EDITS = 2
 MIN_CHARS = 20
@@ -127,7 +129,7 @@ def _met(rows: DataFrame) -> DataFrame:
     return counted.filter("rows > 1 AND indexed > 0").drop("indexed")
 
 
-def split_hot_keys(shared: DataFrame, lines: DataFrame, max_edits: int, hot_key: int) -> DataFrame:
+def split_hot_keys(shared: DataFrame, lines: DataFrame, max_edits: int, hot_key: int, steps: StepTables) -> DataFrame:
     """``shared`` with the rows of keys with more than ``hot_key`` rows dealt to keys of a second segment.
 
     Of a pair that meets under a key and is within the limit, what stands before and behind the
@@ -135,7 +137,7 @@ def split_hot_keys(shared: DataFrame, lines: DataFrame, max_edits: int, hot_key:
     hot = shared.filter(F.col("rows") > hot_key)
     if hot.isEmpty():
         return shared.drop("spot")
-    wanted = checkpoint_table(hot.select("h1").distinct(), "line-ids")
+    wanted = steps.store(hot.select("h1").distinct(), "line-ids")
     texts = lines.select("h1", "line").join(_bounded(wanted), "h1", "left_semi")
     rest = "concat(substring(line, 1, CAST(shiftright(spot, 32) AS INT)), substring(line, CAST(shiftright(spot, 32) + (spot & 4294967295L) + 1 AS INT)))"
     rests = hot.join(texts, "h1").selectExpr("h1", "key AS outer", "probe", f"{rest} AS line").withColumn("n", F.length("line"))
@@ -216,7 +218,7 @@ def _alike(x: str, y: str, max_edits: int) -> str:
     return f"abs({x}.m - {y}.m) <= {limit} AND bit_count({x}.s0 ^ {y}.s0) <= 2 * {limit}"
 
 
-def leading_lines(ranked: DataFrame, max_edits: int) -> tuple[DataFrame, DataFrame]:
+def leading_lines(ranked: DataFrame, max_edits: int, steps: StepTables) -> tuple[DataFrame, DataFrame]:
     """(checked pairs, (h1, led)): most copies of a line share its two longest words, or the next two.
     Under these each line is compared with one head, the least of them.  ``led`` names what lines and
     heads within the limit connect."""
@@ -226,9 +228,9 @@ def leading_lines(ranked: DataFrame, max_edits: int) -> tuple[DataFrame, DataFra
     rows = rows.select("key", F.struct("h1", "m", "s0").alias("x"))
     heads = rows.groupBy("key").agg(F.min("x").alias("y"))
     met = rows.join(heads, "key").filter(f"x.h1 <> y.h1 AND {_alike('x', 'y', max_edits)}")
-    near = _checked(ranked, met.selectExpr("x.h1 AS a", "y.h1 AS b"), max_edits)
+    near = _checked(ranked, met.selectExpr("x.h1 AS a", "y.h1 AS b"), max_edits, steps)
     groups = connected_components(near.select("a", "b"))
-    return near, checkpoint_table(groups.selectExpr("node AS h1", "root AS led"), "led-lines")
+    return near, steps.store(groups.selectExpr("node AS h1", "root AS led"), "led-lines")
 
 
 def banded_distance_within(a: str, b: str, t: str) -> str:
@@ -329,52 +331,55 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+def _texts(lines: DataFrame, pairs: DataFrame, steps: StepTables) -> DataFrame:
     """(h1, h2, line, n, m, coded), stored: the lines whose h1 is in the stored pairs (a, b), their
     numbers of characters and words, and the words as characters of 20 bits of their hash."""
-    wanted = checkpoint_table(pairs.selectExpr("explode(array(a, b)) AS h1").distinct(), "line-ids")
+    wanted = steps.store(pairs.selectExpr("explode(array(a, b)) AS h1").distinct(), "line-ids")
     found = lines.select("h1", "h2", "line").join(_bounded(wanted), "h1", "left_semi")
     code = "decode(unhex(lpad(hex((xxhash64(w) & 1048575) + 65536), 8, '0')), 'UTF-32')"
     written = f"array_join(transform(words, w -> {code}), '') AS coded"
     coded = found.withColumn("words", words_of("line")).selectExpr("h1", "h2", "line", "length(line) AS n", "size(words) AS m", written)
-    return checkpoint_table(coded, "line-texts")
-
-
-def _checked(lines: DataFrame, pairs: DataFrame, max_edits: int) -> DataFrame:
-    """(a, b, ida, idb), stored: the pairs (a, b) of h1 whose lines are within either limit."""
-    pairs = checkpoint_table(pairs.distinct(), "line-pairs")
-    texts = _texts(lines, pairs)
-    sides = [
-        texts.select(F.col("h1").alias(x), F.struct("h1", "h2").alias(f"id{x}"), *[F.col(c).alias(c + x) for c in ("n", "m", "coded")])
-        for x in "ab"
-    ]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("t", F.expr(f"CAST({word_limit('least(ma, mb)')} AS INT)"))
-    ids = ["a", "b", "ida", "idb"]
-    wide = f"(abs(ma - mb) <= t AND levenshtein(codeda, codedb, t) >= 0)"
-    # beyond WIDEST, two edits of characters are within the word limit, too
-    coded = both.selectExpr(*ids, "na", "nb", "t", f"CASE WHEN t > {WIDEST} THEN {wide} END AS near", "split(codeda, '') AS v", "split(codedb, '') AS w")
-    far = unlike_middles(coded.filter("near IS NULL").select(*ids, "na", "nb", "t", "v", "w"), "v", "w")
-    narrow = checkpoint_table(
-        far.selectExpr(*ids, "na", "nb", "_row", f"{banded_distance_within('_long', '_short', 't')} AS near"), "word-checks"
-    )
-    few = narrow.filter(f"NOT near AND abs(na - nb) <= {max_edits}").select(*ids)
-    for x in "ab":
-        few = few.join(texts.select(F.col("h1").alias(x), F.col("line").alias(f"line{x}")), x)
-    few = verified(few, "linea", "lineb", max_edits)
-    found = [df.select(*ids) for df in (coded.filter("near"), narrow.filter("near"), few)]
-    return checkpoint_table(found[0].unionByName(found[1]).unionByName(found[2]), "near-lines")
+    return steps.store(coded, "line-texts")
+
+
+def _checked(lines: DataFrame, pairs: DataFrame, max_edits: int, steps: StepTables, *used: DataFrame) -> DataFrame:
+    """(a, b, ida, idb), stored: the pairs (a, b) of h1 whose lines are within either limit.  The
+    tables ``used`` are read for the pairs alone and dropped then."""
+    with StepTables() as own:
+        pairs = own.store(pairs.distinct(), "line-pairs")
+        steps.drop(*used)
+        texts = _texts(lines, pairs, own)
+        sides = [
+            texts.select(F.col("h1").alias(x), F.struct("h1", "h2").alias(f"id{x}"), *[F.col(c).alias(c + x) for c in ("n", "m", "coded")])
+            for x in "ab"
+        ]
+        both = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("t", F.expr(f"CAST({word_limit('least(ma, mb)')} AS INT)"))
+        ids = ["a", "b", "ida", "idb"]
+        wide = f"(abs(ma - mb) <= t AND levenshtein(codeda, codedb, t) >= 0)"
+        # beyond WIDEST, two edits of characters are within the word limit, too
+        coded = both.selectExpr(*ids, "na", "nb", "t", f"CASE WHEN t > {WIDEST} THEN {wide} END AS near", "split(codeda, '') AS v", "split(codedb, '') AS w")
+        far = unlike_middles(coded.filter("near IS NULL").select(*ids, "na", "nb", "t", "v", "w"), "v", "w")
+        narrow = own.store(
+            far.selectExpr(*ids, "na", "nb", "_row", f"{banded_distance_within('_long', '_short', 't')} AS near"), "word-checks"
+        )
+        few = narrow.filter(f"NOT near AND abs(na - nb) <= {max_edits}").select(*ids)
+        for x in "ab":
+            few = few.join(texts.select(F.col("h1").alias(x), F.col("line").alias(f"line{x}")), x)
+        few = verified(few, "linea", "lineb", max_edits)
+        found = [df.select(*ids) for df in (coded.filter("near"), narrow.filter("near"), few)]
+        return steps.store(found[0].unionByName(found[1]).unionByName(found[2]), "near-lines")
 
 
-def reworded_lines(ranked: DataFrame, max_edits: int, hot_key: int) -> DataFrame:
+def reworded_lines(ranked: DataFrame, max_edits: int, hot_key: int, steps: StepTables) -> DataFrame:
     """Edges (a, b) between identities of the stored lines (see :func:`with_ranked_words`) that share one
     of their longest words and are within the word limit or ``max_edits`` edits, enough to connect
     every such pair."""
     from pyspark.sql import Window
 
-    near_head, groups = leading_lines(ranked, max_edits)
+    near_head, groups = leading_lines(ranked, max_edits, steps)
     led = ranked.select("h1", "m", "g", "s0").join(_bounded(groups), "h1", "left")
     counted = word_key_rows(led, max_edits, "led").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    shared = checkpoint_table(counted.filter("rows > 1"), "word-keys")
+    shared = steps.store(counted.filter("rows > 1"), "word-keys")
     apart = "NOT coalesce(x.led = y.led, false)"  # else heads connect them already
     limit = f"greatest({2 * max_edits}, {word_limit('least(x.m, y.m)')})"
     shift = "CASE WHEN x.pos < 0 OR y.pos < 0 THEN 0 ELSE x.pos - y.pos END"
@@ -411,12 +416,13 @@ def reworded_lines(ranked: DataFrame, max_edits: int, hot_key: int) -> DataFrame
     met = pairs.selectExpr("x.h1 AS a", "y.h1 AS b").unionByName(
         more.selectExpr("least(x.h1, y.h1) AS a", "greatest(x.h1, y.h1) AS b")
     )
-    near = _checked(ranked, met, max_edits)
+    near = _checked(ranked, met, max_edits, steps, shared, groups)
     return near.unionByName(near_head).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
 
 
 def similar_lines(
     lines: DataFrame,
+    steps: StepTables,
     max_edits: int = MAX_EDITS,
     min_chars: int = MIN_CHARS,
     hot_key: int = HOT_KEY,
@@ -424,28 +430,31 @@ def similar_lines(
     hot_words: int = HOT_WORDS,
 ) -> DataFrame:
     """Edges (a, b) between identities (structs of h1, h2) of lines within the limits, enough
-    of them to connect every such pair; without ``changed_words`` max_edits alone counts."""
+    of them to connect every such pair; without ``changed_words`` max_edits alone counts.  They read
+    the tables of ``steps``."""
     if min_chars < 2 * (max_edits + 1):
         raise ValueError("min_chars must be at least twice the number of segments")
     distinct = lines.filter(F.length("line") >= min_chars).select("h1", "h2", "line").distinct().withColumn("n", F.length("line"))
-    distinct = checkpoint_table(with_ranked_words(distinct, max_edits) if changed_words else distinct, "lines")
+    distinct = steps.store(with_ranked_words(distinct, max_edits) if changed_words else distinct, "lines")
     reworded, all_lines = None, distinct
     if changed_words:
-        reworded = reworded_lines(distinct, max_edits, hot_words)
+        reworded = reworded_lines(distinct, max_edits, hot_words, steps)
         distinct = distinct.filter(F.col("m") < settled(max_edits))
-    shared = checkpoint_table(_met(key_rows(distinct, max_edits)), "line-keys")
-    shared = checkpoint_table(split_hot_keys(shared, all_lines, max_edits, hot_key), "split-keys")
-    wanted = checkpoint_table(shared.select("h1").distinct(), "line-ids")
+    met = steps.store(_met(key_rows(distinct, max_edits)), "line-keys")
+    shared = steps.store(split_hot_keys(met, all_lines, max_edits, hot_key, steps), "split-keys")
+    steps.drop(met)
+    wanted = steps.store(shared.select("h1").distinct(), "line-ids")
     counts = [f"length(line) - length(replace(line, '{c}', ''))" for c in COUNTED]
-    texts = checkpoint_table(
+    texts = steps.store(
         all_lines.join(_bounded(wanted), "h1", "left_semi").selectExpr("h1", "h2", "line", "length(line) AS n", f"array({', '.join(counts)}) AS counts"),
         "line-texts",
     )
+    steps.drop(all_lines)
     rows = shared.join(texts, "h1").select("key", "probe", F.struct("h1", "h2").alias("id"), "line", "n", "counts", "rows")
     hot = rows.filter(F.col("rows") > hot_key)
     heads = hot.groupBy("key").agg(F.min_by(F.struct("id", "line"), "id").alias("head"))
     led = hot.join(heads, "key").select("key", "probe", "id", F.col("head.id").alias("head"), "line", F.col("head.line").alias("first"))
-    near_head = checkpoint_table(
+    near_head = steps.store(
         verified(led.filter("id <> head"), "line", "first", max_edits).select("key", "probe", "id", "head"), "hot-lines"
     )
     marks = near_head.select("key", "probe", "id").distinct().withColumn("led", F.lit(True))
@@ -477,9 +486,9 @@ def line_classes(
     """One row per line with a word: (id, th, line_no, n_words, class_doc_id, class_line_no,
     n_copies, first); the class is named by its first line in order of id, text hash, line."""
     lines = document_lines(docs, id_col, text_col)
-    roots = checkpoint_table(
-        connected_components(similar_lines(lines, max_edits, min_chars, hot_key, changed_words, hot_words)), "line-roots"
-    )
+    with StepTables() as steps:
+        edges = similar_lines(lines, steps, max_edits, min_chars, hot_key, changed_words, hot_words)
+        roots = checkpoint_table(connected_components(edges), "line-roots")
     names = roots.select("node.h1", "node.h2", F.col("root.h1").alias("r1"), F.col("root.h2").alias("r2"))
     classed = (
         lines.select(

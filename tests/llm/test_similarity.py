@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from xxhash import xxh64_intdigest
 
 from orderlens.llm import graph_ann, line_dedup, queries, simhash_vptree
 from orderlens.llm.components import connected_components
+from orderlens.session import SHUFFLE_CLEANUP, StepTables, checkpoint_table, ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -257,6 +260,42 @@ def test_line_dedup_documents(spark):
     assert line_dedup.line_classes(df.limit(0)).collect() == []
 
 
+def files_in(*folders):
+    return {os.path.join(at, f) for folder in folders for at, _, names in os.walk(folder) for f in names}
+
+
+def test_line_dedup_leaves_no_tables_of_its_steps(spark):
+    kept = ensure_checkpoint_dir(spark).removeprefix("file:")
+    words, before = [f"word{k}" for k in range(40)], files_in(kept)
+    rows = [(k, " ".join([*words[:k], f"other{k}", *words[k + 1 :]])) for k in range(12)] + [(99, "a line that is like no other")]
+    out = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string"), hot_key=3, hot_words=3)
+    left = {re.sub(r"-[0-9a-f]{32}$", "", f.split("/")[-2]) for f in files_in(kept) - before}
+    assert left == {"line-roots", "edges"}
+    assert sorted((r.doc_id, r.class_doc_id) for r in out.collect()) == [*((k, 0) for k in range(12)), (99, 99)]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    local = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f for f in files_in(*local) if "/shuffle_" in f}
+    before, setting = shuffled(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    table = checkpoint_table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    for _ in range(50):  # they go in the background
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+    assert sorted(r["count"] for r in table.collect()) == [142] * 1 + [143] * 6
+
+
+def test_step_tables_go_even_if_a_step_fails(spark):
+    with pytest.raises(ZeroDivisionError), StepTables() as steps:
+        table = steps.store(spark.range(3), "step")
+        (path,) = {os.path.dirname(f.removeprefix("file:")) for f in table.inputFiles()[:1]}
+        assert table.count() == 3 and os.path.isdir(path.replace("//", "/"))
+        1 / 0
+    assert not os.path.exists(path.replace("//", "/"))
+
+
 def test_line_dedup_plan_has_no_python(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     plan = line_dedup.line_classes(df)._jdf.queryExecution().toString()
