@@ -26,9 +26,10 @@ of words; classes are the transitive closure.
 * The tables between the steps are deleted, and the shuffle files of each step removed, as soon
   as the last step that reads them has ended.
 * Inside a key a pair is first held against its character counts (an edit changes them by at
-  most two) or its words' parities (a changed word flips two at most).  Lines of a hot segment, and
-  lines with the same two longest words, are first compared with one of them, their head; lines that
-  heads within the limit connect are not paired again.
+  most two) or its words' parities (a changed word flips two at most); there are more parities the
+  wider the word limit is.  Lines of a hot segment are first compared with one of them, their head,
+  lines with the same two longest words with several; lines that heads within the limit connect are
+  not paired again.
 * Survivors are verified by banded bit-parallel edit distance (Hyyrö 2003): the band of
   2 * limit + 1 diagonals is one integer, a step is a few bit operations.  Word pairs are compared
   with every word written as one character of 20 bits of its hash, without what both begin and end
@@ -64,6 +65,11 @@ POSITION_BITS = 24
 STEP = 1.25
 # Widest word limit that the bit-parallel distance verifies (30 would fit a long).
 WIDEST = 4
+# Widest word limit with 64 parities of words; beyond it there are four longs of them, or one for
+# every eight words of the limit, as changed words that share a parity hide each other.
+NARROW = 2
+# Heads of a group that a line is compared with.
+HEADS = 8
 BROADCAST_ROWS = 1_000_000
 BLANKS = " \t\x0b\x0c\r"
 # Characters whose counts are compared before an edit distance is computed.
@@ -169,7 +175,8 @@ def _let(value: str, name: str, body: str) -> str:
 
 def with_ranked_words(lines: DataFrame, max_edits: int) -> DataFrame:
     """``lines`` with m, g, s0, where they have 2 * RUN + 1 words and more (else NULL): the number of
-    words, the longest ones, and 64 parities of the numbers of words by hash.
+    words, the longest ones, and 64 parities of the numbers of words by hash; s holds more parities of
+    the same kind where the word limit is beyond ``NARROW``, a power of two of longs.
 
     Words are ordered by length, then hash, the same way in every line; an element of g holds
     length, hash and place.  There are two more than the limit (at least four), as many as keys
@@ -181,9 +188,20 @@ def with_ranked_words(lines: DataFrame, max_edits: int) -> DataFrame:
     )
     ranked = f"sort_array(transform(words, (w, i) -> ({rank}) | least(CAST(i AS BIGINT), {low}L)))"
     sketch = f"aggregate(g, 0L, (s, x) -> s ^ shiftleft(1L, CAST(shiftright(x, {POSITION_BITS}) & 63 AS INT)))"
+    wider = f"CAST(greatest(4, pow(2, ceil(log2({word_limit('m')} / 8)))) AS INT)"
+    # bits in order, so that one pass fills part after part
+    bits = f"sort_array(transform(g, x -> shiftright(x, {POSITION_BITS}) & (64L * parts - 1)))"
+    step = (
+        "CASE WHEN shiftright(x, 6) = p.part THEN struct(p.done AS done, p.part AS part, p.now ^ shiftleft(1L, CAST(x & 63 AS INT)) AS now) "
+        "ELSE struct(concat(p.done, array(p.now), array_repeat(0L, CAST(shiftright(x, 6) - p.part - 1 AS INT))) AS done, "
+        "shiftright(x, 6) AS part, shiftleft(1L, CAST(x & 63 AS INT)) AS now) END"
+    )
+    ended = "concat(p.done, array(p.now), array_repeat(0L, CAST(parts - p.part - 1 AS INT)))"
+    filled = f"aggregate({bits}, struct(CAST(array() AS array<bigint>) AS done, 0L AS part, 0L AS now), (p, x) -> {step}, p -> {ended})"
+    wide = f"CASE WHEN g IS NOT NULL AND {word_limit('m')} > {NARROW} THEN {_let(wider, 'parts', filled)} END"
     words = lines.withColumn("words", words_of("line"))
     ranked_lines = words.selectExpr(*lines.columns, "size(words) AS m", f"CASE WHEN size(words) >= {2 * RUN + 1} THEN {ranked} END AS g")
-    return ranked_lines.selectExpr(*lines.columns, "m", f"slice(g, 1, CAST(greatest(4, {_taken(max_edits)} + 1) AS INT)) AS g", f"{sketch} AS s0")
+    return ranked_lines.selectExpr(*lines.columns, "m", f"slice(g, 1, CAST(greatest(4, {_taken(max_edits)} + 1) AS INT)) AS g", f"{sketch} AS s0", f"{wide} AS s")
 
 
 def _taken(max_edits: int) -> str:
@@ -196,7 +214,7 @@ def _taken(max_edits: int) -> str:
 
 
 def word_key_rows(ranked: DataFrame, max_edits: int, *kept: str) -> DataFrame:
-    """(key, h1, m, pos, s0, kept): one more than the word limit of each line's words, the longest first.
+    """(key, h1, m, n, pos, s0, s, kept): one more than the word limit of each line's words, the longest first.
 
     A pair within the limit leaves at most that many words of either line unmatched, so the first
     matched word in the common order stands among the first limit + 1 of both: threshold-plus-one
@@ -207,28 +225,40 @@ def word_key_rows(ranked: DataFrame, max_edits: int, *kept: str) -> DataFrame:
     repeated = f"coalesce({word} = {same.format('-')}, false) OR coalesce({word} = {same.format('+')}, false)"
     rows = f"transform(g, (x, i) -> struct({word} AS key, CASE WHEN {repeated} THEN -1 ELSE CAST(x & {low}L AS INT) END AS pos))"
     out = ranked.filter("g IS NOT NULL").selectExpr(
-        "h1", "m", "s0", *kept, f"inline(array_distinct(slice({rows}, 1, CAST({_taken(max_edits)} AS INT))))"
+        "h1", "m", "n", "s0", "s", *kept, f"inline(array_distinct(slice({rows}, 1, CAST({_taken(max_edits)} AS INT))))"
     )
-    return out.select("key", "h1", "m", "pos", "s0", *kept)
+    return out.select("key", "h1", "m", "n", "pos", "s0", "s", *kept)
 
 
 def _alike(x: str, y: str, max_edits: int) -> str:
-    """SQL for 'lengths and parities allow a link': a changed word flips two parities at most."""
-    limit = f"greatest({2 * max_edits}, {word_limit(f'least({x}.m, {y}.m)')})"
-    return f"abs({x}.m - {y}.m) <= {limit} AND bit_count({x}.s0 ^ {y}.s0) <= 2 * {limit}"
+    """SQL for 'lengths and parities allow a link': a changed word flips two parities at most, an edit
+    of a character three, as it joins or parts two words at most."""
+    limit = word_limit(f"least({x}.m, {y}.m)")
+
+    def folded(s: str, other: str) -> str:
+        """SQL for s with as many parities as the other one, if that has half as many."""
+        half = f"size({s}) div 2"
+        return f"CASE WHEN size({s}) > size({other}) THEN zip_with(slice({s}, 1, {half}), slice({s}, {half} + 1, {half}), (p, q) -> p ^ q) ELSE {s} END"
+
+    # lengths within the limit are less than a factor of two apart; 64 parities if either line has no more
+    unlike = f"aggregate(zip_with({folded(f'{x}.s', f'{y}.s')}, {folded(f'{y}.s', f'{x}.s')}, (p, q) -> bit_count(p ^ q)), 0, (n, k) -> n + k)"
+    flips = f"bit_count({x}.s0 ^ {y}.s0)"
+    words = f"abs({x}.m - {y}.m) <= {limit} AND {flips} <= 2 * {limit} AND ({x}.s IS NULL OR {y}.s IS NULL OR {unlike} <= 2 * {limit})"
+    edits = f"abs({x}.n - {y}.n) <= {max_edits} AND abs({x}.m - {y}.m) <= {max_edits} AND {flips} <= {3 * max_edits}"
+    return f"({words} OR {edits})"
 
 
 def leading_lines(ranked: DataFrame, max_edits: int, steps: StepTables) -> tuple[DataFrame, DataFrame]:
     """(checked pairs, (h1, led)): most copies of a line share its two longest words, or the next two.
-    Under these each line is compared with one head, the least of them.  ``led`` names what lines and
-    heads within the limit connect."""
+    Under these each line is compared with ``HEADS`` heads, the least of as many parts.  ``led`` names
+    what lines and heads within the limit connect."""
     word = f"shiftright(g[{{}}], {POSITION_BITS})"
     pair = [f"xxhash64({word.format(k)}, {word.format(k + 1)}, {k})" for k in (0, 2)]
-    rows = ranked.filter("g IS NOT NULL").selectExpr("h1", "m", "s0", f"explode(array({', '.join(pair)})) AS key")
-    rows = rows.select("key", F.struct("h1", "m", "s0").alias("x"))
-    heads = rows.groupBy("key").agg(F.min("x").alias("y"))
+    rows = ranked.filter("g IS NOT NULL").selectExpr("h1", "m", "n", "s0", "s", f"explode(array({', '.join(pair)})) AS key")
+    rows = rows.select("key", F.struct("h1", "m", "n", "s0", "s").alias("x"))
+    heads = rows.groupBy("key", F.expr(f"pmod(x.h1, {HEADS})").alias("part")).agg(F.expr("min_by(x, x.h1)").alias("y"))
     met = rows.join(heads, "key").filter(f"x.h1 <> y.h1 AND {_alike('x', 'y', max_edits)}")
-    near = _checked(ranked, met.selectExpr("x.h1 AS a", "y.h1 AS b"), max_edits, steps)
+    near = _checked(ranked, met.selectExpr("least(x.h1, y.h1) AS a", "greatest(x.h1, y.h1) AS b"), max_edits, steps)
     groups = connected_components(near.select("a", "b"))
     return near, steps.store(groups.selectExpr("node AS h1", "root AS led"), "led-lines")
 
@@ -355,19 +385,21 @@ def _checked(lines: DataFrame, pairs: DataFrame, max_edits: int, steps: StepTabl
         ]
         both = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("t", F.expr(f"CAST({word_limit('least(ma, mb)')} AS INT)"))
         ids = ["a", "b", "ida", "idb"]
-        wide = f"(abs(ma - mb) <= t AND levenshtein(codeda, codedb, t) >= 0)"
+        wide = "(abs(ma - mb) <= t AND levenshtein(codeda, codedb, t) >= 0)"
         # beyond WIDEST, two edits of characters are within the word limit, too
-        coded = both.selectExpr(*ids, "na", "nb", "t", f"CASE WHEN t > {WIDEST} THEN {wide} END AS near", "split(codeda, '') AS v", "split(codedb, '') AS w")
-        far = unlike_middles(coded.filter("near IS NULL").select(*ids, "na", "nb", "t", "v", "w"), "v", "w")
-        narrow = own.store(
-            far.selectExpr(*ids, "na", "nb", "_row", f"{banded_distance_within('_long', '_short', 't')} AS near"), "word-checks"
+        arrays = [f"CASE WHEN t <= {WIDEST} THEN split(coded{x}, '') END AS {v}" for x, v in zip("ab", "vw")]
+        coded = both.selectExpr(*ids, "na", "nb", "t", f"CASE WHEN t > {WIDEST} THEN {wide} END AS wide", *arrays)
+        middles = unlike_middles(coded.filter("coalesce(wide, true)"), "v", "w")
+        banded = banded_distance_within("_long", "_short", "t")
+        checks = own.store(
+            middles.selectExpr(*ids, "na", "nb", "_row", f"CASE WHEN wide THEN true ELSE {banded} END AS near"), "word-checks"
         )
-        few = narrow.filter(f"NOT near AND abs(na - nb) <= {max_edits}").select(*ids)
+        few = checks.filter(f"NOT near AND abs(na - nb) <= {max_edits}").select(*ids)
         for x in "ab":
             few = few.join(texts.select(F.col("h1").alias(x), F.col("line").alias(f"line{x}")), x)
-        few = verified(few, "linea", "lineb", max_edits)
-        found = [df.select(*ids) for df in (coded.filter("near"), narrow.filter("near"), few)]
-        return steps.store(found[0].unionByName(found[1]).unionByName(found[2]), "near-lines")
+        few = verified(few, "linea", "lineb", max_edits).select(*ids)
+        found = checks.filter("near").select(*ids)
+        return steps.store(found.unionByName(few), "near-lines")
 
 
 def reworded_lines(ranked: DataFrame, max_edits: int, hot_key: int, steps: StepTables) -> DataFrame:
@@ -377,7 +409,7 @@ def reworded_lines(ranked: DataFrame, max_edits: int, hot_key: int, steps: StepT
     from pyspark.sql import Window
 
     near_head, groups = leading_lines(ranked, max_edits, steps)
-    led = ranked.select("h1", "m", "g", "s0").join(_bounded(groups), "h1", "left")
+    led = ranked.select("h1", "m", "n", "g", "s0", "s").join(_bounded(groups), "h1", "left")
     counted = word_key_rows(led, max_edits, "led").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key")))
     shared = steps.store(counted.filter("rows > 1"), "word-keys")
     apart = "NOT coalesce(x.led = y.led, false)"  # else heads connect them already

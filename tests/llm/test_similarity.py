@@ -233,6 +233,57 @@ def test_line_dedup_recall_of_changed_words(spark, hot):
     assert sorted((r.doc_id, r.class_doc_id) for r in got) == [(k, first[root[x]]) for k, x in enumerate(lines)]
 
 
+def test_unlike_long_lines_are_not_paired(spark, monkeypatch):
+    """Long lines that share their longest word meet under it; their parities keep unlike ones apart,
+    also where one line has twice as many, and lose no copy within the limit."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(5000)]
+    shared = "commonlongestword"
+    rows = [(i, " ".join([shared, *(rng.choice(vocabulary) for _ in range(rng.randint(335, 345)))])) for i in range(60)]
+    for k in range(12):  # lines of 330 to 341 words, before and behind the step from four longs to eight at 339
+        base = [shared, *(rng.choice(vocabulary) for _ in range(337 + k % 3))]
+        copy = base + [rng.choice(vocabulary) for _ in range(k % 4)]
+        for place in rng.sample(range(1, len(base)), 28):
+            copy[place] = f"new{place}"
+        rows += [(100 + 2 * k, " ".join(base)), (101 + 2 * k, " ".join(copy))]
+    pairs, store = [], line_dedup.StepTables.store
+
+    def counted(self, df, name):
+        table = store(self, df, name)
+        if name == "line-pairs":
+            pairs.append(table.count())
+        return table
+
+    monkeypatch.setattr(line_dedup.StepTables, "store", counted)
+    got = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_doc_id for r in got} == {i: i - i % 2 if i >= 100 else i for i, _ in rows}
+    assert sum(pairs) <= 60  # of 3486
+
+
+def test_copies_around_a_base_are_not_all_paired(spark, monkeypatch):
+    """Copies with changed words of one line are compared with some heads, not all with all."""
+    rng = random.Random(12)
+    base = [f"word{rng.randrange(10**6)}" for _ in range(59)] + ["longestwordofall", "longestwordofalls"]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for place in rng.sample(range(40), rng.randint(1, 3)):
+            copy[place] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    pairs, store = [], line_dedup.StepTables.store
+
+    def counted(self, df, name):
+        table = store(self, df, name)
+        if name == "line-pairs":
+            pairs.append(table.count())
+        return table
+
+    monkeypatch.setattr(line_dedup.StepTables, "store", counted)
+    got = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_doc_id for r in got} == {0}
+    assert sum(pairs) <= 8 * 2 * len(rows)
+
+
 def test_line_dedup_documents(spark):
     a, b = "This is a line of the first document here.", "Another line which is only found in one."
     rows = [
