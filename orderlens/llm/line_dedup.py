@@ -26,8 +26,8 @@ of words; classes are the transitive closure.
 * The tables between the steps are deleted, and the shuffle files of each step removed, as soon
   as the last step that reads them has ended.
 * Inside a key a pair is first held against its character counts (an edit changes them by at
-  most two) or its words' parities (a changed word flips two at most); there are more parities the
-  wider the word limit is.  Lines of a hot segment are first compared with one of them, their head,
+  most two) or its words' parities (a changed word flips two at most); pairs that pass are held
+  against more parities, the more the wider the word limit is, before texts are fetched.  Lines of a hot segment are first compared with one of them, their head,
   lines with the same two longest words with several; lines that heads within the limit connect are
   not paired again.
 * Survivors are verified by banded bit-parallel edit distance (Hyyrö 2003): the band of
@@ -214,7 +214,7 @@ def _taken(max_edits: int) -> str:
 
 
 def word_key_rows(ranked: DataFrame, max_edits: int, *kept: str) -> DataFrame:
-    """(key, h1, m, n, pos, s0, s, kept): one more than the word limit of each line's words, the longest first.
+    """(key, h1, m, pos, s0, kept): one more than the word limit of each line's words, the longest first.
 
     A pair within the limit leaves at most that many words of either line unmatched, so the first
     matched word in the common order stands among the first limit + 1 of both: threshold-plus-one
@@ -225,27 +225,39 @@ def word_key_rows(ranked: DataFrame, max_edits: int, *kept: str) -> DataFrame:
     repeated = f"coalesce({word} = {same.format('-')}, false) OR coalesce({word} = {same.format('+')}, false)"
     rows = f"transform(g, (x, i) -> struct({word} AS key, CASE WHEN {repeated} THEN -1 ELSE CAST(x & {low}L AS INT) END AS pos))"
     out = ranked.filter("g IS NOT NULL").selectExpr(
-        "h1", "m", "n", "s0", "s", *kept, f"inline(array_distinct(slice({rows}, 1, CAST({_taken(max_edits)} AS INT))))"
+        "h1", "m", "s0", *kept, f"inline(array_distinct(slice({rows}, 1, CAST({_taken(max_edits)} AS INT))))"
     )
-    return out.select("key", "h1", "m", "n", "pos", "s0", "s", *kept)
+    return out.select("key", "h1", "m", "pos", "s0", *kept)
 
 
 def _alike(x: str, y: str, max_edits: int) -> str:
     """SQL for 'lengths and parities allow a link': a changed word flips two parities at most, an edit
     of a character three, as it joins or parts two words at most."""
-    limit = word_limit(f"least({x}.m, {y}.m)")
+    limit, flips, longer = word_limit(f"least({x}.m, {y}.m)"), f"bit_count({x}.s0 ^ {y}.s0)", f"abs({x}.m - {y}.m)"
+    return f"({longer} <= {limit} AND {flips} <= 2 * {limit} OR {longer} <= {max_edits} AND {flips} <= {3 * max_edits})"
+
+
+def _few_flips(x: str, y: str, max_edits: int) -> str:
+    """SQL for 'the parities s allow a link'; their limits are such that two edits count as changed words."""
 
     def folded(s: str, other: str) -> str:
         """SQL for s with as many parities as the other one, if that has half as many."""
         half = f"size({s}) div 2"
         return f"CASE WHEN size({s}) > size({other}) THEN zip_with(slice({s}, 1, {half}), slice({s}, {half} + 1, {half}), (p, q) -> p ^ q) ELSE {s} END"
 
-    # lengths within the limit are less than a factor of two apart; 64 parities if either line has no more
-    unlike = f"aggregate(zip_with({folded(f'{x}.s', f'{y}.s')}, {folded(f'{y}.s', f'{x}.s')}, (p, q) -> bit_count(p ^ q)), 0, (n, k) -> n + k)"
-    flips = f"bit_count({x}.s0 ^ {y}.s0)"
-    words = f"abs({x}.m - {y}.m) <= {limit} AND {flips} <= 2 * {limit} AND ({x}.s IS NULL OR {y}.s IS NULL OR {unlike} <= 2 * {limit})"
-    edits = f"abs({x}.n - {y}.n) <= {max_edits} AND abs({x}.m - {y}.m) <= {max_edits} AND {flips} <= {3 * max_edits}"
-    return f"({words} OR {edits})"
+    # lengths within the limit are less than a factor of two apart
+    flips = f"aggregate(zip_with({folded(f'{x}.s', f'{y}.s')}, {folded(f'{y}.s', f'{x}.s')}, (p, q) -> bit_count(p ^ q)), 0, (n, k) -> n + k)"
+    return f"{flips} <= greatest({3 * max_edits}, 2 * {word_limit(f'least({x}.m, {y}.m)')})"
+
+
+def _like_pairs(lines: DataFrame, pairs: DataFrame, max_edits: int, steps: StepTables) -> DataFrame:
+    """The stored pairs (a, b) of h1 without those that the parities s tell apart.  They are too wide for
+    the rows of keys, and far smaller than the texts."""
+    wanted = steps.store(pairs.selectExpr("explode(array(a, b)) AS h1").distinct(), "line-ids")
+    found = lines.filter("s IS NOT NULL").select("h1", "m", "s").join(_bounded(wanted), "h1", "left_semi")
+    sides = [found.select(F.col("h1").alias(c), F.struct("m", "s").alias(x)) for c, x in (("a", "x"), ("b", "y"))]
+    both = pairs.join(sides[0], "a", "left").join(sides[1], "b", "left")
+    return steps.store(both.filter(f"x IS NULL OR y IS NULL OR {_few_flips('x', 'y', max_edits)}").select("a", "b"), "like-pairs")
 
 
 def leading_lines(ranked: DataFrame, max_edits: int, steps: StepTables) -> tuple[DataFrame, DataFrame]:
@@ -254,8 +266,8 @@ def leading_lines(ranked: DataFrame, max_edits: int, steps: StepTables) -> tuple
     what lines and heads within the limit connect."""
     word = f"shiftright(g[{{}}], {POSITION_BITS})"
     pair = [f"xxhash64({word.format(k)}, {word.format(k + 1)}, {k})" for k in (0, 2)]
-    rows = ranked.filter("g IS NOT NULL").selectExpr("h1", "m", "n", "s0", "s", f"explode(array({', '.join(pair)})) AS key")
-    rows = rows.select("key", F.struct("h1", "m", "n", "s0", "s").alias("x"))
+    rows = ranked.filter("g IS NOT NULL").selectExpr("h1", "m", "s0", f"explode(array({', '.join(pair)})) AS key")
+    rows = rows.select("key", F.struct("h1", "m", "s0").alias("x"))
     heads = rows.groupBy("key", F.expr(f"pmod(x.h1, {HEADS})").alias("part")).agg(F.expr("min_by(x, x.h1)").alias("y"))
     met = rows.join(heads, "key").filter(f"x.h1 <> y.h1 AND {_alike('x', 'y', max_edits)}")
     near = _checked(ranked, met.selectExpr("least(x.h1, y.h1) AS a", "greatest(x.h1, y.h1) AS b"), max_edits, steps)
@@ -378,6 +390,7 @@ def _checked(lines: DataFrame, pairs: DataFrame, max_edits: int, steps: StepTabl
     with StepTables() as own:
         pairs = own.store(pairs.distinct(), "line-pairs")
         steps.drop(*used)
+        pairs = _like_pairs(lines, pairs, max_edits, own)
         texts = _texts(lines, pairs, own)
         sides = [
             texts.select(F.col("h1").alias(x), F.struct("h1", "h2").alias(f"id{x}"), *[F.col(c).alias(c + x) for c in ("n", "m", "coded")])
@@ -409,7 +422,7 @@ def reworded_lines(ranked: DataFrame, max_edits: int, hot_key: int, steps: StepT
     from pyspark.sql import Window
 
     near_head, groups = leading_lines(ranked, max_edits, steps)
-    led = ranked.select("h1", "m", "n", "g", "s0", "s").join(_bounded(groups), "h1", "left")
+    led = ranked.select("h1", "m", "g", "s0").join(_bounded(groups), "h1", "left")
     counted = word_key_rows(led, max_edits, "led").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key")))
     shared = steps.store(counted.filter("rows > 1"), "word-keys")
     apart = "NOT coalesce(x.led = y.led, false)"  # else heads connect them already
